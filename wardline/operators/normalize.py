@@ -49,10 +49,13 @@ def extract_iocs(
         "host": F.transform(F.regexp_extract_all(text, F.lit(URL_HOST), F.lit(1)), F.lower),
         "sha1": F.filter(F.regexp_extract_all(text, F.lit(HEX_RUN), F.lit(0)), lambda h: F.length(h) == 40),
     }
-    tagged = [
-        F.transform(F.array_distinct(found[t]), lambda v, t=t: F.struct(F.lit(t).alias("ioc_type"), v.alias("ioc")))
-        for t in types
-    ]
+
+    def tag(kind: str) -> Column:
+        return F.transform(
+            F.array_distinct(found[kind]), lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("ioc"))
+        )
+
+    tagged = [tag(kind) for kind in types]
     return df.select(F.col(id_col), F.explode(F.concat(*tagged)).alias("i")).select(id_col, "i.ioc_type", "i.ioc")
 
 

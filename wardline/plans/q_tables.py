@@ -111,7 +111,7 @@ def decode_logs(spark, sf):
  UNION ALL SELECT doc_id, 'host', lower(unnest(regexp_extract_all(text, '{normalize.URL_HOST}', 1))) FROM documents
  UNION ALL SELECT doc_id, 'sha1', unnest(regexp_extract_all(text, '{normalize.HEX_RUN}')) FROM documents)
 SELECT DISTINCT doc_id, ioc_type, ioc FROM f WHERE (ioc_type <> 'sha1' OR length(ioc) = 40) AND (ioc_type <> 'ipv4' OR (
- regexp_matches(ioc, '^(0|[1-9][0-9]{{0,2}})([.](0|[1-9][0-9]{{0,2}})){{3}}$') AND list_max(list_transform(string_split(ioc, '.'), x -> TRY_CAST(x AS INT))) <= 255))""")
+ regexp_matches(ioc, '^(0|[1-9][0-9]{{0,2}})([.](0|[1-9][0-9]{{0,2}})){{3}}$') AND list_max(list_transform(string_split(ioc, '.'), lambda x: TRY_CAST(x AS INT))) <= 255))""")
 def extract_iocs(spark, sf):
     return normalize.extract_iocs(v.table(spark, sf, "documents"), "doc_id", "text")
 

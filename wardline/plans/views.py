@@ -198,7 +198,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
 
 
 def with_views(names: str, body: str, recursive: bool = False, extra: str = "") -> str:
-    """`body` after the named views (and what they read) as common table expressions."""
+    """`body` after the named views (and what they read) as common table expressions; a body may begin with further ones."""
     order: list[str] = []
 
     def visit(n: str) -> None:
@@ -212,5 +212,6 @@ def with_views(names: str, body: str, recursive: bool = False, extra: str = "")
     ctes = [f"{n} AS (\n{SQL_VIEWS[n][1]})" for n in order]
     if extra:
         ctes.append(extra)
-    head = ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) if ctes else ""
-    return f"{head}\n{body}"
+    if not ctes:
+        return body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(ctes) + "\n" + body
