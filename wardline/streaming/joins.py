@@ -48,12 +48,16 @@ def stream_correlate(
         & (F.col("effect_ts") > F.col("cause_ts"))
         & (F.col("effect_ts") <= F.col("cause_ts") + reach),
     )
-    near = F.max(F.struct("cause_ts", "cause_id"))
+    # A plain number for the cause's time: only one event time may go on to the aggregate.
+    pairs = pairs.select(
+        key, "effect_id", "effect_ts", F.struct(F.unix_micros("cause_ts").alias("us"), "cause_id").alias("_pair")
+    )
+    near = F.max("_pair")
     return (
         pairs.groupBy(key, "effect_id", "effect_ts")
         .agg(near.alias("_c"), F.count("*").alias("n_causes"))
         .select(
-            key, "effect_id", "effect_ts", F.col("_c.cause_id").alias("cause_id"), F.col("_c.cause_ts").alias("cause_ts"),
+            key, "effect_id", "effect_ts", F.col("_c.cause_id").alias("cause_id"), F.timestamp_micros("_c.us").alias("cause_ts"),
             "n_causes",
         )
     )

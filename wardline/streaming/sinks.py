@@ -71,6 +71,13 @@ def stream_upsert(sdf: DataFrame, path: str, ckpt: str, key: str, order: list[st
     return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
+def current_table(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of a table that `stream_upsert` keeps."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("v")).scalar()
+    return versions.filter(F.col("v") == newest).drop("v")
+
+
 def split_late(sdf: DataFrame, path: str, ckpt: str, delay_s: int, t: str = "ts") -> StreamingQuery:
     """Mark records that lie more than the delay behind the highest event time of all earlier micro-batches.
 
