@@ -7,6 +7,14 @@ import re
 from pyspark.sql import Column, functions as F
 
 
+def find_all(text: Column, pattern: str, group: int = 0, needs: str | None = None) -> Column:
+    """All matches of a pattern; a text without the literal `needs`, which any match must contain, is not searched."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
+    if needs is None:
+        return found
+    return F.when(text.contains(needs), found).otherwise(F.array().cast("array<string>"))
+
+
 def first_token(col: Column, sep: str = " ") -> Column:
     """First field of a separated string."""
     return F.split_part(col, F.lit(sep), F.lit(1))

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.operators.ordered import (
-    Running, exact_quantiles, micros, nth_before, previous, profile_keys, running, value_ranks,
+    KeySplit, Running, exact_quantiles, micros, nth_before, previous, profile_keys, running, value_ranks,
 )
 from wardline.operators.sizing import checked_broadcast
 from wardline.session import checkpointed
@@ -45,19 +45,21 @@ def frequency_rule(
 
 
 def dedup_alerts(
-    alerts: DataFrame, keys: Sequence[str], quiet_s: int, t: str = "ts", id_col: str = "event_id"
+    alerts: DataFrame, keys: Sequence[str], quiet_s: int, t: str = "ts", id_col: str = "event_id",
+    split: KeySplit | None = None,
 ) -> DataFrame:
     """Drop an alert that comes within the quiet time of the previous raw alert of the same keys."""
-    seen = previous(alerts, list(keys), [t, id_col], micros(t), _prev=micros(t))
+    seen = previous(alerts, list(keys), [t, id_col], micros(t), split, _prev=micros(t))
     return seen.filter(F.col("_prev").isNull() | (micros(t) - F.col("_prev") > quiet_s * _US)).drop("_prev")
 
 
 def session_starts(
-    df: DataFrame, keys: Sequence[str], gap_s: int, t: str = "ts", id_col: str = "event_id", out: str = "session_start"
+    df: DataFrame, keys: Sequence[str], gap_s: int, t: str = "ts", id_col: str = "event_id", out: str = "session_start",
+    split: KeySplit | None = None,
 ) -> DataFrame:
     """Add the start time of the run that each row belongs to; gaps inside a run are at most `gap_s`."""
     keys, order, at = list(keys), [t, id_col], micros(t)
-    split = profile_keys(df, keys, at)
+    split = split or profile_keys(df, keys, at)
     gapped = running(df, keys, order, at, [Running("_prev", "previous", at)], split=split)
     starts = F.when(F.col("_prev").isNull() | (at - F.col("_prev") > gap_s * _US), F.col(t))
     return running(gapped, keys, order, at, [Running(out, "last", starts, strict=False)], split=split).drop("_prev")

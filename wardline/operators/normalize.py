@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.functions import is_ipv4, rewrite_line
+from wardline.functions import find_all, is_ipv4, rewrite_line
 from wardline.functions.times import elapsed_parts
 from wardline.operators.ordered import parts
 
@@ -44,10 +44,10 @@ def extract_iocs(
     """One row per (id, type, distinct value) for the indicators found in the whole text."""
     text = F.col(text_col)
     found = {
-        "ipv4": F.filter(F.regexp_extract_all(text, F.lit(DOTTED_DIGITS), F.lit(0)), is_ipv4),
-        "email": F.transform(F.regexp_extract_all(text, F.lit(EMAIL), F.lit(0)), F.lower),
-        "host": F.transform(F.regexp_extract_all(text, F.lit(URL_HOST), F.lit(1)), F.lower),
-        "sha1": F.filter(F.regexp_extract_all(text, F.lit(HEX_RUN), F.lit(0)), lambda h: F.length(h) == 40),
+        "ipv4": F.filter(find_all(text, DOTTED_DIGITS, needs="."), is_ipv4),
+        "email": F.transform(find_all(text, EMAIL, needs="@"), F.lower),
+        "host": F.transform(find_all(text, URL_HOST, 1, needs="://"), F.lower),
+        "sha1": F.filter(find_all(text, HEX_RUN), lambda h: F.length(h) == 40),
     }
 
     def tag(kind: str) -> Column:

@@ -8,7 +8,9 @@ into pieces along the order column at measured quantiles; each piece is its own
 window partition, and what a piece must know of the earlier ones (last value,
 running total, ...) comes from one small row per piece.
 
-The profile decides only how work is split, never a result.
+The profile decides only how work is split, never a result.  It may therefore be
+taken from any frame with the same keys and times, such as the raw events below a
+costly plan, and be passed on (`split`).
 
 Two session settings steer it: ``wardline.hot.rows`` (rows from which a key is
 heavy) and ``wardline.hot.pieces`` (pieces into which heavy rows are cut).
@@ -77,7 +79,7 @@ def profile_keys(df: DataFrame, keys: Sequence[str], at: Column) -> KeySplit:
         .select(at.cast("double").alias("at"))
         .approxQuantile("at", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
     )
-    return KeySplit(split.keys, split.hashes, tuple(sorted(set(cuts))))
+    return KeySplit(split.keys, split.hashes, tuple(sorted(set(cuts))) or (0.0,))
 
 
 @dataclass(frozen=True)
@@ -182,9 +184,9 @@ def _merge(s: Running) -> Column:
     )
 
 
-def previous(df, keys, order, at, **values: Column) -> DataFrame:
+def previous(df, keys, order, at, split: KeySplit | None = None, **values: Column) -> DataFrame:
     """The given values of the row before, per key."""
-    return running(df, keys, order, at, [Running(n, "previous", v) for n, v in values.items()])
+    return running(df, keys, order, at, [Running(n, "previous", v) for n, v in values.items()], split=split)
 
 
 def following(df, keys, order, at, **values: Column) -> DataFrame:

@@ -24,11 +24,14 @@ def scan_diff(prev: DataFrame, curr: DataFrame, keys: Sequence[str], cols: Seque
 
 
 def latest_findings(finding: DataFrame, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str]) -> DataFrame:
-    """Current state: per key the row that is greatest in `order`; a combined aggregate, no window."""
-    ranked = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)])
+    """Current state: per key the row that is greatest in `order`.
+
+    An aggregate, not a window: repeated findings of one key are combined before the shuffle.
+    """
+    ranked = [o.alias(f"o{i}") for i, o in enumerate(order)]
     return (
         finding.groupBy(*keys)
-        .agg(F.max_by(F.struct(*cols), ranked).alias("_r"))
+        .agg(F.max(F.struct(*ranked, *cols)).alias("_r"))
         .select(*keys, *[F.col(f"_r.{c}").alias(c) for c in cols])
     )
 

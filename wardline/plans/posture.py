@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.operators import detect, graph, response, risk as risk_ops, surface
+from wardline.operators.ordered import micros, profile_keys
 from wardline.plans import views as v
 
 HALF_DAY_S = 12 * 3600
@@ -45,7 +46,10 @@ def cases(spark: SparkSession, sf: str) -> DataFrame:
     """
     events = v.tel(spark, sf).select("event_id", "entity_id", "ts", "category", "magnitude", "attr", "level")
     hits = detect.match_rules(events, v.rule(spark)).filter("is_best")
-    kept = detect.dedup_alerts(hits, ["entity_id", "category"], HALF_DAY_S)
+    keys = ["entity_id", "category"]
+    # Heavy keys of the hits are heavy among the events, which are cheaper to profile.
+    split = profile_keys(events, keys, micros("ts"))
+    kept = detect.dedup_alerts(hits, keys, HALF_DAY_S, split=split)
     strongest = F.max_by("category", F.struct("level", -F.col("event_id")))
     per_asset = kept.groupBy(F.col("entity_id").alias("asset_id")).agg(
         strongest.alias("category"), F.count("*").alias("n_alerts"), F.max("rule_level").alias("rule_level")

@@ -116,7 +116,7 @@ def stream_late_split(spark, sf):
     events.filter("event_id % 7 = 0").coalesce(1).write.mode("append").parquet(path)
     out, ckpt = shared_dir(spark, "late"), shared_dir(spark, "late-ckpt")
     streaming.split_late(event_stream(spark, path, "*.parquet"), out, ckpt, DAY).awaitTermination()
-    return spark.read.option("recursiveFileLookup", "false").parquet(f"{out}/rows").select("event_id", "late")
+    return spark.read.parquet(f"{out}/rows").select("event_id", F.col("late").cast("boolean").alias("late"))
 
 
 @query("stream_upsert", with_views("tel", """SELECT entity_id, max(event_id) AS event_id, arg_max(category, (ts, event_id)) AS category FROM tel GROUP BY entity_id"""))
@@ -124,9 +124,9 @@ def stream_upsert(spark, sf):
     path = _files(spark, v.table(spark, sf, "events"), 4)
     out, ckpt = shared_dir(spark, "upsert"), shared_dir(spark, "upsert-ckpt")
     latest = event_stream(spark, path, "*.parquet").select("entity_id", "event_id", "ts", "category")
-    done = streaming.stream_upsert(latest, out, ckpt, "entity_id", ["ts", "event_id"])
-    done.awaitTermination()
-    return streaming.current_table(spark, out).select("entity_id", "event_id", "category")
+    order = ["ts", "event_id"]
+    streaming.stream_upsert(latest, out, ckpt, "entity_id", order).awaitTermination()
+    return streaming.current_table(spark, out, "entity_id", order).select("entity_id", "event_id", "category")
 
 
 @query("stream_buffered", "SELECT event_id, event_type, value FROM events")

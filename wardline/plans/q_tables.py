@@ -52,9 +52,9 @@ def ingest_lines(spark, sf):
     src, out, ckpt = (shared_dir(spark, n) for n in ("lines-in", "lines-out", "lines-ckpt"))
     events = v.table(spark, sf, "events")
     events.select(F.concat_ws(" ", "event_id", "event_type", "props").alias("value")).write.option(
-        "maxRecordsPerFile", 2000
+        "maxRecordsPerFile", 20000
     ).text(src)
-    sources.ingest_lines(spark, src, out, ckpt, max_files=2).awaitTermination()
+    sources.ingest_lines(spark, src, out, ckpt, max_files=4).awaitTermination()
     return spark.read.schema("value string").parquet(out)
 
 

@@ -7,7 +7,7 @@ from pyspark.sql.types import (
     DoubleType, LongType, StringType, StructField, StructType, TimestampNTZType,
 )
 
-from wardline.functions import url_host
+from wardline.functions import find_all, url_host
 from wardline.operators.graph import build_edges
 from wardline.operators.normalize import normalize_events
 
@@ -49,7 +49,8 @@ def canonical(events: DataFrame) -> DataFrame:
             "event_id": F.col("event_id"),
             "ts": F.col("ts"),
             "entity_id": F.col("user_id"),
-            "category": F.lower(F.trim("event_type")),
+            # As it is, so that a filter on it reaches the scan.
+            "category": F.col("event_type"),
             "magnitude": F.col("value"),
             "attr": k.try_cast("int"),
             "level": F.least(F.lit(15), F.floor(F.col("value") / 20)).cast("int"),
@@ -123,12 +124,12 @@ def strong_edge(spark: SparkSession, sf: str, level: int = 8) -> DataFrame:
 
 def ioc_obs(spark: SparkSession, sf: str) -> DataFrame:
     text = F.col("text")
-    found = lambda kind, pattern: F.transform(
-        F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))),
+    found = lambda kind, pattern, needs: F.transform(
+        F.array_distinct(find_all(text, pattern, needs=needs)),
         lambda v: F.struct(F.lit(kind).alias("ioc_type"), v.alias("ioc")),
     )
     # Both kinds in one pass over the texts.
-    both = F.concat(found("ipv4", IPV4_LOOSE), found("email", EMAIL))
+    both = F.concat(found("ipv4", IPV4_LOOSE, "."), found("email", EMAIL, "@"))
     texts = table(spark, sf, "documents").select("doc_id", F.explode(both).alias("i")).select("doc_id", "i.*")
     hosts = table(spark, sf, "pages").select(
         F.col("page_id").alias("doc_id"), F.lit("host").alias("ioc_type"), url_host(F.col("url")).alias("ioc")

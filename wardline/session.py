@@ -27,7 +27,9 @@ def get_session(app: str = "wardline", master: str | None = None, **conf: str) -
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**RUNTIME_CONF, **conf}.items():
+    # Checkpoint files go when their frame is no longer in use; a setting of the context, so only here.
+    static = {"spark.cleaner.referenceTracking.cleanCheckpoints": "true"}
+    for key, value in {**RUNTIME_CONF, **static, **conf}.items():
         builder = builder.config(key, value)
     return tune(builder.getOrCreate())
 

@@ -1,11 +1,11 @@
 """Structured Streaming forms of the operators."""
 
 from wardline.streaming.joins import stream_correlate, stream_enrich
-from wardline.streaming.sinks import current_table, drain, event_stream, split_late, stream_buffered, stream_upsert
+from wardline.streaming.sinks import compact_table, current_table, drain, event_stream, split_late, stream_buffered, stream_upsert
 from wardline.streaming.state import stream_dedup, stream_throttle
 from wardline.streaming.windows import stream_sessions, stream_sliding, stream_tumbling
 
 __all__ = [
-    "current_table", "drain", "event_stream", "split_late", "stream_buffered", "stream_correlate", "stream_dedup", "stream_enrich",
+    "compact_table", "current_table", "drain", "event_stream", "split_late", "stream_buffered", "stream_correlate", "stream_dedup", "stream_enrich",
     "stream_sessions", "stream_sliding", "stream_throttle", "stream_tumbling", "stream_upsert",
 ]

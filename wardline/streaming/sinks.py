@@ -55,27 +55,31 @@ def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
 
 
 def stream_upsert(sdf: DataFrame, path: str, ckpt: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keep the latest row of each key in a table, one version of it per micro-batch.
+    """Keep the latest row of each key: every micro-batch writes its own newest rows, reading merges them.
 
-    Version n is made from version n - 1 and batch n only, so a repeated batch gives the same table.
+    A batch costs what the batch holds, not what the table holds; a repeated batch writes the same
+    folder again.  `current_table` reads the table, `compact_table` shortens it.
     """
-    rest = [c for c in sdf.columns if c != key]
 
-    def merge(batch: DataFrame, epoch: int) -> None:
-        rows = batch
-        if epoch > 0:
-            rows = batch.unionByName(batch.sparkSession.read.schema(batch.schema).parquet(f"{path}/v={epoch - 1}"))
-        newest = rows.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r"))
-        newest.select(key, "_r.*").write.mode("overwrite").parquet(f"{path}/v={epoch}")
+    def keep(batch: DataFrame, epoch: int) -> None:
+        _newest(batch, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+
+    return sdf.writeStream.foreachBatch(keep).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+
+
+def _newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    rest = [c for c in df.columns if c != key]
+    return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
+
 
-    return sdf.writeStream.foreachBatch(merge).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
+def current_table(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
+    """The table that `stream_upsert` keeps."""
+    return _newest(spark.read.parquet(path).drop("v"), key, order)
 
 
-def current_table(spark: SparkSession, path: str) -> DataFrame:
-    """The newest version of a table that `stream_upsert` keeps."""
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("v")).scalar()
-    return versions.filter(F.col("v") == newest).drop("v")
+def compact_table(spark: SparkSession, path: str, target: str, key: str, order: list[str]) -> None:
+    """The current table as the first version of a new one."""
+    current_table(spark, path, key, order).write.parquet(f"{target}/v=-1")
 
 
 def split_late(sdf: DataFrame, path: str, ckpt: str, delay_s: int, t: str = "ts") -> StreamingQuery:
