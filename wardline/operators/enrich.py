@@ -24,12 +24,12 @@ def enrich_iocs(obs: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFrame
 
 def ioc_hits(obs: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Observations that the feed knows."""
-    return obs.join(checked_broadcast(feed.select(*on).distinct()), list(on), "left_semi")
+    return obs.join(checked_broadcast(feed.select(*on).distinct()), list(on), "left_semi").select(*obs.columns)
 
 
 def unmatched_iocs(obs: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFrame:
     """Observations that the feed does not know."""
-    return obs.join(checked_broadcast(feed.select(*on).distinct()), list(on), "left_anti")
+    return obs.join(checked_broadcast(feed.select(*on).distinct()), list(on), "left_anti").select(*obs.columns)
 
 
 def domain_suffix_match(obs: DataFrame, feed: DataFrame, host: str = "host", ioc: str = "ioc") -> DataFrame:
@@ -47,7 +47,7 @@ def domain_suffix_match(obs: DataFrame, feed: DataFrame, host: str = "host", ioc
         .groupBy(host)
         .agg(F.max_by(ioc, F.length(ioc)).alias("matched"))
     )
-    return obs.join(best, host)
+    return obs.join(best, host).select(*obs.columns, "matched")
 
 
 def cidr_match(obs: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
@@ -75,7 +75,7 @@ def cidr_match(obs: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
         .agg(F.max(F.struct("prefix", "net")).alias("b"))
         .select(ip, F.col("b.net").alias("net"), F.col("b.prefix").alias("prefix"))
     )
-    return obs.join(best, ip)
+    return obs.join(best, ip).select(*obs.columns, "net", "prefix")
 
 
 def asset_context(alerts: DataFrame, asset: DataFrame, entity: str = "entity_id", key: str = "asset_id") -> DataFrame:
@@ -172,10 +172,12 @@ def match_vulnerabilities(service: DataFrame, vuln: DataFrame) -> DataFrame:
     affected = versions.join(vuln, "vendor").filter(
         (k >= version_key(F.col("lo"))) & (F.col("hi").isNull() | (k < version_key(F.col("hi"))))
     )
-    return service.join(affected.select("vendor", "version", "vuln_id"), ["vendor", "version"])
+    return service.join(affected.select("vendor", "version", "vuln_id"), ["vendor", "version"]).select(
+        *service.columns, "vuln_id"
+    )
 
 
 def apply_share_policy(objs: DataFrame, peers: DataFrame, marking: str = "marking") -> DataFrame:
     """Each object once for each peer that shares and whose `allowed` list has the object's marking."""
     grants = peers.filter("shares").select("peer", F.explode(F.array_distinct("allowed")).alias(marking))
-    return objs.join(grants, marking)
+    return objs.join(grants, marking).select(*objs.columns, "peer")

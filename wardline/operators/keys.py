@@ -11,7 +11,7 @@ from wardline.functions import version_key
 
 def membership_filter(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
     """Keep rows whose key equals a member of the allowed set."""
-    return df.join(allowed.select(key), key, "left_semi")
+    return df.join(allowed.select(key), key, "left_semi").select(*df.columns)
 
 
 def missing_required(required: DataFrame, present: DataFrame, key: str) -> DataFrame:
