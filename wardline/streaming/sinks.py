@@ -10,7 +10,7 @@ from wardline.session import shared_dir
 
 
 def stream_buffered(
-    spark: SparkSession, path: str, schema: StructType, max_files: int, pattern: str | None = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType | str, max_files: int, pattern: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
     """A file stream in batches of at most `max_files`: a slow sink delays rows but never loses one."""
     reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
