@@ -36,8 +36,8 @@ def test_query_with_heavy_keys(heavy, con, name):
     assert compare.difference(df, con, entry.oracle_sql()[name]) is None
 
 
-def test_only_models_and_noise_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"dp_counts", "fan_out_approx", "kmeans_anomalies"}
+def test_only_models_and_sketches_go_without_sql():
+    assert set(entry.queries()) - set(entry.oracle_sql()) == {"fan_out_approx", "kmeans_anomalies"}
 
 
 def test_entry(spark):

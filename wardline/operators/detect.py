@@ -104,6 +104,7 @@ def root_cause(
     Every (incident, node) asks for the first alert at or after the start of the look-back; alerts
     and questions run through one ordered pass per node.
     """
+    incidents = checkpointed(incidents)
     links = edge.select(F.col("dst").alias("_at"), F.col("src").alias("_up")).distinct()
     reach = incidents.select(entity).distinct().select(F.col(entity).alias("_e"), F.col(entity).alias("node"))
     for _ in range(hops):

@@ -226,6 +226,9 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, *, descending:
     specs = [Running("below", "sum", F.col("cnt")), Running("distinct_below", "sum", F.lit(1).cast("long"))]
     ranked = running(counted, groups, [value], F.col(value), specs, descending=descending, split=split)
     sizes = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    if not split.plain:
+        # The pieces of a heavy group must not meet again for the sake of this join.
+        sizes = checked_broadcast(sizes)
     return ranked.join(sizes, list(groups)).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("below", "distinct_below")}
     )

@@ -68,12 +68,18 @@ def l_diversity(df: DataFrame, qids: Sequence[str], sensitive: str, l: int) -> D
     )
 
 
-def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float, seed: int) -> DataFrame:
-    """Counts of subjects with Laplace(1/epsilon) noise; a subject counts once per key."""
+def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float, secret: str) -> DataFrame:
+    """Counts of subjects with Laplace(1/epsilon) noise; a subject counts once per key.
+
+    The noise is drawn from a hash of the secret and the key: a task that runs again, or a query that
+    is asked again, gives the same noise, so repeating it reveals nothing.
+    """
     counts = df.select(subject, *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    u = F.col("_u")
-    noise = -F.signum(u) * F.log(1 - 2 * F.abs(u)) / F.lit(float(epsilon))
-    noisy = counts.withColumn("_u", F.rand(seed) - 0.5)
+    digest = F.sha2(F.concat_ws("|", F.lit(secret), *[F.col(k).cast("string") for k in keys]), 256)
+    # 52 bits of the digest as a number strictly between -1/2 and 1/2.
+    u = (F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") + 0.5) / F.lit(2.0**52) - 0.5
+    noise = -F.signum(F.col("_u")) * F.log(1 - 2 * F.abs("_u")) / F.lit(float(epsilon))
+    noisy = counts.withColumn("_u", u)
     return noisy.select(*keys, (F.col("n") + noise).alias("noisy_n"))
 
 

@@ -18,14 +18,18 @@ def severity(cvss: Column) -> Column:
 def exposure_rollup(finding: DataFrame, asset: DataFrame) -> DataFrame:
     """Finding counts by site, subnet and severity, with subtotals and grand total.
 
-    Findings are counted per asset before the join, and per finest cell before the rollup.
+    Findings are counted per asset, one column per severity, so that the join finds them partitioned
+    already; and per finest cell before the rollup.
     """
-    per_asset = finding.groupBy("asset_id", severity(F.col("cvss")).alias("severity")).agg(F.count("*").alias("n"))
-    cells = (
+    kinds = ("high", "medium", "low")
+    is_of = lambda kind: severity(F.col("cvss")) == kind
+    per_asset = finding.groupBy("asset_id").agg(*[F.count_if(is_of(k)).alias(k) for k in kinds])
+    wide = (
         per_asset.join(asset.select("asset_id", "site", "subnet"), "asset_id")
-        .groupBy("site", "subnet", "severity")
-        .agg(F.sum("n").alias("n"))
+        .groupBy("site", "subnet")
+        .agg(*[F.sum(k).alias(k) for k in kinds])
     )
+    cells = wide.unpivot(["site", "subnet"], list(kinds), "severity", "n").filter("n > 0")
     return cells.rollup("site", "subnet", "severity").agg(
         F.sum("n").alias("n"), F.grouping_id().cast("int").alias("grouping")
     )

@@ -39,14 +39,14 @@ def unmatched_iocs(spark, sf):
 
 @query("domain_suffix_match", """WITH h AS (SELECT page_id, lower(regexp_extract(url, 'https?://([^/?#:]+)', 1)) AS host FROM pages),
  f AS (SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+$') AS ioc FROM h UNION SELECT DISTINCT regexp_extract(host, '[^.]+[.][^.]+[.][^.]+$')
- FROM h WHERE length(host) % 2 = 0),
+ FROM h WHERE starts_with(host, 'blog.')),
  m AS (SELECT page_id, host, ioc, row_number() OVER (PARTITION BY page_id ORDER BY length(ioc) DESC) AS rn
  FROM h JOIN f ON host = ioc OR ends_with(host, '.' || ioc))
 SELECT page_id, host, ioc AS matched FROM m WHERE rn = 1 AND ioc <> ''""")
 def domain_suffix_match(spark, sf):
     obs = v.table(spark, sf, "pages").select("page_id", url_host(F.col("url")).alias("host"))
     tail = lambda n: F.regexp_extract("host", "[^.]+" + "[.][^.]+" * (n - 1) + "$", 0).alias("ioc")
-    feed = obs.select(tail(2)).union(obs.filter(F.length("host") % 2 == 0).select(tail(3))).filter("ioc <> ''")
+    feed = obs.select(tail(2)).union(obs.filter(F.col("host").startswith("blog.")).select(tail(3))).filter("ioc <> ''")
     return enrich.domain_suffix_match(obs, feed.distinct()).select("page_id", "host", "matched")
 
 

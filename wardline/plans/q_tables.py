@@ -26,9 +26,9 @@ def scan_glob(spark, sf):
 
 
 @query("read_indicator_csv", """SELECT s_suppkey AS ioc_id, s_name AS name,
- CASE WHEN s_nationkey % 5 = 0 THEN -1.0 ELSE s_acctbal END AS score, s_nationkey % 5 = 0 AS is_corrupt FROM supplier""")
+ CASE WHEN s_acctbal < 1000 THEN -1.0 ELSE s_acctbal END AS score, s_acctbal < 1000 AS is_corrupt FROM supplier""")
 def read_indicator_csv(spark, sf):
-    score = F.when(F.col("s_nationkey") % 5 == 0, "n/a").otherwise(F.col("s_acctbal").cast("string"))
+    score = F.when(F.col("s_acctbal") < 1000, "n/a").otherwise(F.col("s_acctbal").cast("string"))
     lines = v.table(spark, sf, "supplier").select(F.concat_ws(",", "s_suppkey", "s_name", score).alias("value"))
     path = shared_dir(spark, "indicators")
     lines.write.text(path)
@@ -224,11 +224,11 @@ def exclude_reserved(spark, sf):
     return keys.exclude_reserved(v.tel(spark, sf).select("event_id", "category"), "category", ["view", "click"])
 
 
-@query("lookup_default", """SELECT c_custkey, n_name AS subnet, CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) ELSE n_name END AS resolved
+@query("lookup_default", """SELECT c_custkey, n_name AS subnet, CASE WHEN n_regionkey = 1 THEN lower(n_name) ELSE n_name END AS resolved
  FROM customer JOIN nation ON c_nationkey = n_nationkey""")
 def lookup_default(spark, sf):
     nation = v.table(spark, sf, "nation")
-    aliases = nation.filter("n_nationkey % 3 = 0").select(F.col("n_name").alias("subnet"), F.lower("n_name").alias("alias"))
+    aliases = nation.filter("n_regionkey = 1").select(F.col("n_name").alias("subnet"), F.lower("n_name").alias("alias"))
     placed = v.table(spark, sf, "customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return keys.lookup_default(placed.select("c_custkey", F.col("n_name").alias("subnet")), aliases, "subnet", "alias")
 
@@ -245,14 +245,15 @@ _CUSTOMER = ["c_custkey", "c_name", "c_acctbal"]
 def _updates(spark, sf):
     c = v.table(spark, sf, "customer").select(*_CUSTOMER)
     balance = F.round(F.col("c_acctbal") + 100, 2)
-    changed = c.filter("c_custkey % 10 = 0").withColumn("c_acctbal", balance)
-    new = c.filter("c_custkey % 50 = 1").withColumns({"c_custkey": F.col("c_custkey") + 1_000_000, "c_acctbal": balance})
+    changed = c.filter("c_acctbal < 2000").withColumn("c_acctbal", balance)
+    # New customers: negative keys, which the table does not have.
+    new = c.filter("c_acctbal > 8000").withColumns({"c_custkey": -1 - F.col("c_custkey"), "c_acctbal": balance})
     return c, changed.unionByName(new)
 
 
 _SQL_UPDATES = """WITH c AS (SELECT c_custkey, c_name, c_acctbal FROM customer),
- u AS (SELECT c_custkey, c_name, round(c_acctbal + 100, 2) AS c_acctbal FROM c WHERE c_custkey % 10 = 0
- UNION ALL SELECT c_custkey + 1000000, c_name, round(c_acctbal + 100, 2) FROM c WHERE c_custkey % 50 = 1)
+ u AS (SELECT c_custkey, c_name, round(c_acctbal + 100, 2) AS c_acctbal FROM c WHERE c_acctbal < 2000
+ UNION ALL SELECT -1 - c_custkey, c_name, round(c_acctbal + 100, 2) FROM c WHERE c_acctbal > 8000)
 """
 
 
@@ -268,11 +269,11 @@ def insert_if_absent(spark, sf):
     return keys.insert_if_absent(target, updates, "c_custkey")
 
 
-@query("replace_stale", _SQL_UPDATES + """, k AS (SELECT * FROM c WHERE c_custkey % 20 <> 0)
+@query("replace_stale", _SQL_UPDATES + """, k AS (SELECT * FROM c WHERE c_acctbal >= 1000)
 SELECT * FROM k UNION ALL SELECT * FROM u WHERE c_custkey NOT IN (SELECT c_custkey FROM k)""")
 def replace_stale(spark, sf):
     target, updates = _updates(spark, sf)
-    return keys.replace_stale(target, target.filter("c_custkey % 20 = 0").select("c_custkey"), updates, "c_custkey")
+    return keys.replace_stale(target, target.filter("c_acctbal < 1000").select("c_custkey"), updates, "c_custkey")
 
 
 @query("semver_latest", with_views("service", """SELECT version FROM (SELECT DISTINCT version, major, minor FROM service
