@@ -108,21 +108,28 @@ def timeline(sources: dict[str, DataFrame], t: str, key: str, id_col: str) -> Da
     return position(both, [key], [t, "source", id_col], micros(t))
 
 
-def hunt_text(df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str], ctx: int = 20) -> DataFrame:
-    """One row per (text, hunt) with hits: their number and the first one within its context."""
+def hunt_text(
+    df: DataFrame, id_col: str, text_col: str, patterns: dict[str, str | tuple[str, str]], ctx: int = 20
+) -> DataFrame:
+    """One row per (text, hunt) with hits: their number and the first one within its context.
+
+    A hunt is a pattern, or a pattern and a literal that any match must contain; the literal is looked for first.
+    """
     text = F.col(text_col)
     hunts = []
-    for name, pattern in patterns.items():
+    for name, hunt in patterns.items():
+        pattern, needs = hunt if isinstance(hunt, tuple) else (hunt, "")
+        hits = F.regexp_count(text, F.lit(pattern)).cast("long")
         first = F.regexp_extract(text, pattern, 0)
         start = F.instr(text, first)
         begin = F.greatest(start - ctx, F.lit(1))
         snippet = F.substr(text, begin, start - begin + F.length(first) + ctx)
         hunts.append(
             F.when(
-                text.rlike(pattern),
+                text.contains(needs) & (hits > 0),
                 F.struct(
                     F.lit(name).alias("hunt"),
-                    F.regexp_count(text, F.lit(pattern)).cast("long").alias("hits"),
+                    hits.alias("hits"),
                     snippet.alias("snippet"),
                 ),
             )

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.operators.sizing import checked_broadcast
 
-HOT_ROWS = 2_000_000
+HOT_ROWS = 20_000_000  # what one task may still sort in good time
 HOT_KEYS = 4096  # also: a key with more than 1/HOT_KEYS of all rows is always found
 TRACKED = 8 * HOT_KEYS
 PIECES = 1024

@@ -90,10 +90,12 @@ def pseudonymize(df: DataFrame, cols: Sequence[str], salt: str) -> DataFrame:
 
 def redact_text(df: DataFrame, col: str, types: Sequence[str] = tuple(REDACTIONS)) -> DataFrame:
     """Replace sensitive tokens by type tags; `n_redacted` counts the replacements."""
-    out, total = F.col(col), F.lit(0).cast("long")
+    out, text, n = df.withColumn("n_redacted", F.lit(0).cast("long")), F.col(col), F.col("n_redacted")
     for t in types:
         # A cheap test first: most texts hold none.
-        may = out.contains(NEEDS[t]) if t in NEEDS else F.lit(True)
-        total = total + F.when(may, F.regexp_count(out, F.lit(REDACTIONS[t]))).otherwise(0)
-        out = F.when(may, F.regexp_replace(out, REDACTIONS[t], f"[{t}]")).otherwise(out)
-    return df.withColumns({col: out, "n_redacted": total})
+        may = text.contains(NEEDS[t]) if t in NEEDS else F.lit(True)
+        hits = F.coalesce(F.when(may, F.regexp_count(text, F.lit(REDACTIONS[t]))), F.lit(0))
+        out = out.withColumn("_hits", hits)
+        cleaned = F.when(F.col("_hits") > 0, F.regexp_replace(text, REDACTIONS[t], f"[{t}]")).otherwise(text)
+        out = out.withColumns({col: cleaned, "n_redacted": n + F.col("_hits")}).drop("_hits")
+    return out

@@ -347,12 +347,12 @@ def timeline(spark, sf):
     return lines.select("entity_id", "source", "ref_id", "seq")
 
 
-HUNTS = {"token": "token = .[0-9a-f]{40}", "mail": EMAIL}
+HUNTS = {"token": ("token = .[0-9a-f]{40}", "token = "), "mail": (EMAIL, "@")}
 
 
 @query("hunt_text", "WITH h AS (" + " UNION ALL ".join(
     f"""SELECT doc_id, '{n}' AS hunt, text, regexp_extract(text, '{p}') AS m, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM documents"""
-    for n, p in HUNTS.items()
+    for n, (p, _) in HUNTS.items()
 ) + """) SELECT doc_id, hunt, hits, substr(text, greatest(strpos(text, m) - 20, 1), strpos(text, m) - greatest(strpos(text, m) - 20, 1) + length(m) + 20) AS snippet
  FROM h WHERE hits > 0""")
 def hunt_text(spark, sf):
