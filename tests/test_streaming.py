@@ -36,6 +36,14 @@ def test_dedup_needs_a_delay_that_covers_the_disorder(spark):
     assert ids("1 minute") == [1, 2, 3]
 
 
+def test_dedup_of_very_many_copies(spark):
+    path = shared_dir(spark, "t")
+    put(spark, path, [(7, 0, 1, "error", 1.0)] * 400 + [(i, i, 1, "error", 1.0) for i in range(20, 50)])
+    put(spark, path, [(7, 0, 1, "error", 1.0)] * 100)
+    rows = streaming.stream_dedup(event_stream(spark, path, "*.parquet"), ["event_id"], "1 day", salts=8)
+    assert sorted(r.event_id for r in drain(rows, "t").collect()) == [7, *range(20, 50)]
+
+
 def test_throttle_looks_at_what_was_emitted(spark):
     path = shared_dir(spark, "t")
     # 8 s after the last raw alert, but 16 s after the last emitted one.

@@ -151,7 +151,8 @@ def harmonic_closeness(edge: DataFrame, k: int, lg_k: int = 12) -> DataFrame:
 def blast_radius(edge: DataFrame, node_value: DataFrame, seeds: DataFrame) -> DataFrame:
     """For each seed the number and the total worth of all other nodes it reaches.
 
-    `seeds` has `node`, `node_value` has (`node`, `worth`).  All seeds are followed at once.
+    `seeds` has `node`, `node_value` has (`node`, `worth`).  All seeds are followed at once; the work
+    grows with what the seeds reach together, so seeds are the nodes of open cases, not all nodes.
     """
     starts = seeds.select(F.col("node").alias("seed"), "node")
     reached = k_hop(edge, starts, None, by=["seed"]).filter(F.col("hops") > 0)

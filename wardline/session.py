@@ -47,15 +47,13 @@ def shared_root(spark: SparkSession) -> str:
     Only a local master may fall back to a temporary folder: on a cluster the
     executors would not see it.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if root is None:
-        if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if context.getCheckpointDir() is None:
+        if named is None and not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-        root = tempfile.mkdtemp(prefix="wardline-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(root)
-    return root
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="wardline-"))
+    return named or context.getCheckpointDir()
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:

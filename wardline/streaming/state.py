@@ -10,9 +10,17 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def stream_dedup(sdf: DataFrame, keys: Sequence[str], delay: str, t: str = "ts") -> DataFrame:
-    """One copy of each key within the watermark; the delay must cover the disorder of the source."""
-    return sdf.withWatermark(t, delay).dropDuplicatesWithinWatermark(list(keys))
+def stream_dedup(sdf: DataFrame, keys: Sequence[str], delay: str, t: str = "ts", salts: int = 1) -> DataFrame:
+    """One copy of each key within the watermark; the delay must cover the disorder of the source.
+
+    Where one key may come in very many copies, `salts` > 1 first spreads them over that many state
+    partitions, so that the last step sees at most `salts` copies of a key.
+    """
+    rows = sdf.withWatermark(t, delay)
+    if salts > 1:
+        spread = rows.withColumn("_salt", (F.rand() * salts).cast("int"))
+        rows = spread.dropDuplicatesWithinWatermark([*keys, "_salt"]).drop("_salt")
+    return rows.dropDuplicatesWithinWatermark(list(keys))
 
 
 def stream_throttle(
