@@ -39,6 +39,9 @@ def test_merged_model_is_the_central_fit(spark, sf):
 def test_pagerank_adds_up_to_one(spark, sf):
     ranks = graph.pagerank(v.edge(spark, sf))
     assert ranks.agg(F.sum("rank")).first()[0] == pytest.approx(1.0)
+    # Slicing the edges of a node changes nothing.
+    sliced = graph.pagerank(v.edge(spark, sf), slice_edges=3).withColumnRenamed("rank", "again")
+    assert ranks.join(sliced, "node").filter(F.abs(F.col("rank") - F.col("again")) < 1e-12).count() == ranks.count()
 
 
 def test_closeness_sketch_stays_near_the_exact_value_on_a_larger_graph(spark):

@@ -69,11 +69,14 @@ def threat_score(alerts: DataFrame, as_of: str, half_life_s: int, key: str = "en
 
 
 def criticality_score(asset: DataFrame, weights: dict[str, float], centrality: DataFrame) -> DataFrame:
-    """Mission weight x (1 + centrality / its maximum), scaled to 0-10; an asset outside the graph has centrality 0."""
+    """Mission weight x (1 + centrality / its maximum), scaled to 0-10; an asset outside the graph has centrality 0.
+
+    `centrality` (node, total) is read twice, so it had better be materialised, as `degree_centrality` returns it.
+    """
     weight = F.lit(0.0)
     for mission, w in weights.items():
         weight = F.when(F.col("mission") == mission, F.lit(float(w))).otherwise(weight)
-    links = checkpointed(centrality.select(F.col("node").alias("asset_id"), F.col("total").alias("_deg")))
+    links = centrality.select(F.col("node").alias("asset_id"), F.col("total").alias("_deg"))
     most = links.agg(F.max("_deg")).scalar()
     share = F.when(most > 0, F.coalesce(F.col("_deg"), F.lit(0)) / most).otherwise(0.0)
     raw = checkpointed(asset.join(links, "asset_id", "left").select("asset_id", (weight * (1 + share)).alias("_raw")))
