@@ -21,8 +21,6 @@ def no_broadcast(spark):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
 
 
-NOT_STREAMS = [n for n in sorted(QUERIES) if not n.startswith(("stream_", "ingest_", "custom_", "kmeans"))]
-
 
 @pytest.mark.parametrize("name", [
     "apply_share_policy", "asset_context", "base_risk", "cidr_match", "context_asof", "correlate_pairs",
@@ -83,3 +81,14 @@ def test_scores_are_built_in_expressions(spark, sf):
     for name in ("normalize_events", "extract_iocs", "redact_text", "hunt_text", "decode_logs", "pseudonymize"):
         text = plan(QUERIES[name](spark, sf))
         assert "Python" not in text and "Pandas" not in text and "Exchange" not in text
+
+
+def test_pagerank_rounds_do_not_move_the_edges(no_broadcast, sf, monkeypatch):
+    from wardline.operators import graph
+
+    plans, keep = [], graph.checkpointed
+    monkeypatch.setattr(graph, "checkpointed", lambda df: plans.append(plan(df)) or keep(df))
+    graph.pagerank(v.edge(no_broadcast, sf), iters=1)
+    above_cache = plans[-1].split("InMemoryTableScan")[0].splitlines()
+    join = next(i for i, line in enumerate(above_cache) if "_slice" in line and "SortMergeJoin" in line)
+    assert not any("Exchange" in line or "Sort [" in line for line in above_cache[join:])

@@ -109,6 +109,8 @@ def pagerank(edge: DataFrame, d: float = 0.85, iters: int = 10, slice_edges: int
         .sortWithinPartitions(*place)
         .persist(StorageLevel.MEMORY_AND_DISK)
     )
+    # Spark knows how a cached frame is partitioned only once it is filled.
+    links.count()
     n = nodes.count()
     ranks = nodes.withColumn("rank", F.lit(1.0 / n))
     for _ in range(iters):
