@@ -13,7 +13,8 @@ The tree has three levels, and every level is exact:
   As a cell needs several equal shingles and no other, a passage that many documents share rarely makes one.
 * Pages.  The points of a cell, in order of size, are cut into pages; a page has the smallest and the largest
   value of each coordinate.  Pages are compared by the bound on their boxes.
-* Points.  Points of two pages are compared by the bound on the counts; what is left is verified on the sets.
+* Points.  Points of two pages are compared by the bound on the counts, what is left by the bound on counts of
+  more groups, and what is left then is verified on the sets.
 
 Most work is saved by comparing first with the two outermost members of each cell and keeping to pairs that
 are not yet in one component: within a group of near copies nearly all pairs need no comparison.
@@ -34,6 +35,7 @@ from wardline.operators.sizing import checked_broadcast
 
 U = np.uint64
 GROUPS = 64
+FINE = 512
 PAGE = 128
 
 
@@ -83,6 +85,12 @@ def _vector(s: np.ndarray) -> bytes:
     return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
 
 
+def _fine(s: np.ndarray) -> bytes:
+    # Cut at 15, two counts in a byte.
+    counts = np.minimum(np.bincount((s >> U(40)).astype(np.int64) & (FINE - 1), minlength=FINE), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
+
+
 def _sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[np.ndarray]:
     data, offsets = W.column_bytes(batch.column(batch.schema.get_field_index(text)))
     starts, ends, docs = W.word_spans(data, offsets)
@@ -133,14 +141,16 @@ def _text_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in W.slices(whole, "text"):
-                a, b, sets = [], [], []
+                a, b, sets, fine = [], [], [], []
                 for s in _sets(batch, "text", k):
                     x, y = _mark(s)
                     a.append(x)
                     b.append(y)
                     sets.append(s.tobytes())
+                    fine.append(_fine(s))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.binary())], names=["mark_a", "mark_b", "set"]
+                    [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary())],
+                    names=["mark_a", "mark_b", "set", "fine"],
                 )
 
     return run
@@ -170,6 +180,22 @@ def _bounded(percent: int):
     return run
 
 
+def _closer(percent: int):
+    """Pairs that the counts of more groups leave over."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            if not t.num_rows:
+                continue
+            va, vb = _matrix(t.column("va")).astype(np.int8), _matrix(t.column("vb")).astype(np.int8)
+            apart = np.abs((va & 15) - (vb & 15)).sum(1, dtype=np.int64) + np.abs((va >> 4 & 15) - (vb >> 4 & 15)).sum(1, dtype=np.int64)
+            both = t.column("na").to_numpy() + t.column("nb").to_numpy()
+            ok = pa.array((100 - percent) * both >= (100 + percent) * apart)
+            yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], names=["a", "b"])
+
+    return run
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -184,7 +210,12 @@ def _verified(percent: int):
 
 
 def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    joined = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
+    """The pairs (a, b) whose sets link; the sets travel only where the finer counts leave a pair over."""
+    with_fine = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va")), "a")
+    with_fine = with_fine.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb")), "b")
+    close = with_fine.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_closer(percent), "a long, b long")
+    close = saved(close, "close")
+    joined = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
     return joined.mapInArrow(_verified(percent), "a long, b long")
 
@@ -292,9 +323,9 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # The sets of all points that take part in a comparison, from the texts once more.
     ids = checked_broadcast(vectors.select("id").distinct())
     texts = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_text_sets(k), "mark_a long, mark_b long, set binary")
-    marks = vectors.select("mark_a", "mark_b", "node")
-    sets = saved(sets.join(marks, ["mark_a", "mark_b"]).dropDuplicates(["mark_a", "mark_b", "node"]).select("node", "set"), "sets")
+    sets = texts.mapInArrow(_text_sets(k), "mark_a long, mark_b long, set binary, fine binary")
+    marks = vectors.select("mark_a", "mark_b", "node", "n")
+    sets = saved(sets.join(marks, ["mark_a", "mark_b"]).dropDuplicates(["mark_a", "mark_b", "node"]).select("node", "n", "fine", "set"), "sets")
 
     # The best partner of every point first: this joins most of a group of copies with one comparison each.
     best = ends.groupBy("b").agg(F.max(F.struct("score", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
