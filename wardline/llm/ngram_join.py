@@ -34,9 +34,10 @@ from wardline.llm.links import components
 from wardline.operators.sizing import checked_broadcast
 
 U = np.uint64
-GROUPS = 64
+GROUPS = 256
 FINE = 512
 PAGE = 128
+ROUNDS = 3
 
 
 def _need(na, nb, percent):
@@ -80,15 +81,15 @@ class _Cells:
         return np.unique(np.concatenate(out)).view(np.int64)
 
 
-def _vector(s: np.ndarray) -> bytes:
-    # Cut at 255: differences of cut counts are never larger than the true ones, so the bound stays a bound.
-    return np.minimum(np.bincount((s >> U(58)).astype(np.int64), minlength=GROUPS), 255).astype(np.uint8).tobytes()
+def _vector(s: np.ndarray, shift: int, groups: int) -> bytes:
+    # Cut at 15, two counts in a byte.  Cut counts never differ by more than the true ones, so the bound holds.
+    counts = np.minimum(np.bincount((s >> U(shift)).astype(np.int64) & (groups - 1), minlength=groups), 15).astype(np.uint8)
+    return (counts[::2] | counts[1::2] << 4).tobytes()
 
 
-def _fine(s: np.ndarray) -> bytes:
-    # Cut at 15, two counts in a byte.
-    counts = np.minimum(np.bincount((s >> U(40)).astype(np.int64) & (FINE - 1), minlength=FINE), 15).astype(np.uint8)
-    return (counts[::2] | counts[1::2] << 4).tobytes()
+def _counts(packed: np.ndarray) -> np.ndarray:
+    """Counts of rows of packed vectors, the even groups before the odd ones."""
+    return np.concatenate([packed & 15, packed >> 4], axis=-1).astype(np.int8)
 
 
 def _sets(batch: pa.RecordBatch, text: str, k: int) -> Iterator[np.ndarray]:
@@ -120,7 +121,7 @@ def _features(k: int, percent: int):
                     a.append(x)
                     b.append(y)
                     key.append(cells(s))
-                    vec.append(_vector(s))
+                    vec.append(_vector(s, 56, GROUPS))
                 at = np.concatenate([[0], np.cumsum([len(x) for x in key])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -147,7 +148,7 @@ def _text_sets(k: int):
                     a.append(x)
                     b.append(y)
                     sets.append(s.tobytes())
-                    fine.append(_fine(s))
+                    fine.append(_vector(s, 40, FINE))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(sets, pa.binary()), pa.array(fine, pa.binary())],
                     names=["mark_a", "mark_b", "set", "fine"],
@@ -169,7 +170,7 @@ def _bounded(percent: int):
             na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
             if not t.num_rows:
                 continue
-            apart = np.abs(_matrix(t.column("va")).astype(np.int16) - _matrix(t.column("vb"))).sum(1, dtype=np.int64)
+            apart = np.abs(_counts(_matrix(t.column("va"))) - _counts(_matrix(t.column("vb")))).sum(1, dtype=np.int64)
             most = np.minimum((na + nb - apart) // 2, np.minimum(na, nb))
             ok = (100 + percent) * most >= _need(na, nb, percent)
             score = most / np.maximum(na + nb - most, 1)
@@ -187,8 +188,7 @@ def _closer(percent: int):
         for t in batches:
             if not t.num_rows:
                 continue
-            va, vb = _matrix(t.column("va")).astype(np.int8), _matrix(t.column("vb")).astype(np.int8)
-            apart = np.abs((va & 15) - (vb & 15)).sum(1, dtype=np.int64) + np.abs((va >> 4 & 15) - (vb >> 4 & 15)).sum(1, dtype=np.int64)
+            apart = np.abs(_counts(_matrix(t.column("va"))) - _counts(_matrix(t.column("vb")))).sum(1, dtype=np.int64)
             both = t.column("na").to_numpy() + t.column("nb").to_numpy()
             ok = pa.array((100 - percent) * both >= (100 + percent) * apart)
             yield pa.RecordBatch.from_arrays([t.column("a").filter(ok), t.column("b").filter(ok)], names=["a", "b"])
@@ -238,10 +238,9 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low, high in zip(at, np.concatenate([at[1:], [len(cell)]])):
             for x in range(low, high, PAGE):
                 y = min(x + PAGE, high)
-                v = vec[x:y]
-                rows.append(
-                    (cell[x], n[x:y].min(), n[x:y].max(), v.min(0).tobytes(), v.max(0).tobytes(), n[x:y].tobytes(), node[x:y].tobytes(), comp[x:y].tobytes(), v.tobytes())
-                )
+                v = _counts(vec[x:y])
+                sizes = n[x:y].min(), n[x:y].max()
+                rows.append((cell[x], *sizes, v.min(0).tobytes(), v.max(0).tobytes(), *(c[x:y].tobytes() for c in (n, node, comp, vec))))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(zip(*rows), types)], names=names)
 
 
@@ -263,8 +262,7 @@ def _page_pairs(percent: int):
                 x, y = np.nonzero((ca[:, None] != cb[None, :]) & (100 * np.minimum(na[:, None], nb) >= percent * np.maximum(na[:, None], nb)))
                 if not len(x):
                     continue
-                va = np.frombuffer(r["vec_a"], np.uint8).reshape(len(na), -1).astype(np.int16)
-                vb = np.frombuffer(r["vec_b"], np.uint8).reshape(len(nb), -1).astype(np.int16)
+                va, vb = (_counts(np.frombuffer(r[c], np.uint8).reshape(-1, GROUPS // 2)) for c in ("vec_a", "vec_b"))
                 most = (na[x] + nb[y] - np.abs(va[x] - vb[y]).sum(1, dtype=np.int64)) // 2
                 ok = (100 + percent) * most >= _need(na[x], nb[y], percent)
                 found.append(np.stack([np.minimum(ia[x], ib[y])[ok], np.maximum(ia[x], ib[y])[ok]], 1))
@@ -314,11 +312,16 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     to_ends = member.where("node <> lo").select(F.col("node").alias("b"), F.col("lo").alias("a")).unionAll(
         member.where("node <> hi and node <> lo").select(F.col("hi").alias("b"), F.col("node").alias("a"))
     )
-    pairs = to_ends.distinct()
-    pairs = pairs.join(vectors.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
-    pairs = pairs.join(vectors.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
-    pairs = pairs.where(F.lit(100) * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "va", "vb")
-    ends = saved(pairs.mapInArrow(_bounded(percent), "a long, b long, score double"), "ends")
+    shape = vectors.select("node", "n", "vec")
+
+    def promising(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that pass the bound, with their score."""
+        pairs = pairs.distinct().join(shape.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
+        pairs = pairs.join(shape.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
+        pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "va", "vb")
+        return pairs.mapInArrow(_bounded(percent), "a long, b long, score double")
+
+    ends = saved(promising(to_ends), "ends")
 
     # The sets of all points that take part in a comparison, from the texts once more.
     ids = checked_broadcast(vectors.select("id").distinct())
@@ -332,22 +335,41 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     links = saved(_verify(best, sets, percent), "links")
     known = components(links, "a", "b")
 
-    def apart(p: DataFrame, known: DataFrame) -> DataFrame:
-        p = p.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
-        p = p.join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
-        return p.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+    def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        """The pairs (a, b, score) between different components ca and cb."""
+        pairs = pairs.join(known.select(F.col("node").alias("a"), F.col("component").alias("ca")), "a", "left")
+        pairs = pairs.join(known.select(F.col("node").alias("b"), F.col("component").alias("cb")), "b", "left")
+        return pairs.withColumns({"ca": F.coalesce("ca", "a"), "cb": F.coalesce("cb", "b")}).where("ca <> cb")
 
     # The other pairs with an outermost point, where they lie in different components.
     links = saved(links.unionAll(_verify(apart(ends, known), sets, percent)), "links")
     known = saved(components(links, "a", "b"), "components")
 
-    # All other pairs of the cells that still have several components.  Up to three points have been compared.
-    large = member.where("members > 3").select("cell", "node").join(known, "node", "left")
-    large = large.select("cell", "node", F.coalesce("component", "node").alias("comp"))
-    open_cells = large.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
-    large = saved(large.join(open_cells, "cell", "left_semi").join(vectors.select("node", "n", "vec"), "node"), "open")
-    large = large.select("cell", "node", "n", "comp", "vec").repartitionByRange("cell", "n", "node").sortWithinPartitions("cell", "n", "node")
-    pages = large.mapInArrow(_pages, _PAGE)
+    # Cells that still have several components.  Up to three points have been compared with one another.
+    large = member.where("members > 3").select("cell", "node")
+
+    def still_open(known: DataFrame) -> DataFrame:
+        every = large.join(known, "node", "left").select("cell", "node", F.coalesce("component", "node").alias("comp"))
+        several = every.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
+        return every.join(several, "cell", "left_semi")
+
+    # Parts of one group of copies that the outermost points did not join: a point of each of two components of
+    # a cell against the points of the others, and of each two components only the most promising pair.
+    for turn in range(ROUNDS):
+        still = saved(still_open(known), "open")
+        first = still.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "comp")).alias("f")).select("cell", F.col("f.comp").alias("c1"))
+        others = still.join(first, "cell").where("comp <> c1")
+        second = others.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("s"))
+        pairs = still.join(second, "cell").where(F.col("comp") != F.col("s.comp"))
+        near = saved(promising(pairs.select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"))), "near")
+        near = apart(near, known).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("score", "a", "b")).alias("p"))
+        links = saved(links.unionAll(_verify(near.select("p.a", "p.b"), sets, percent)), "links")
+        known = saved(components(links, "a", "b"), "components")
+
+    # All other pairs of these cells.
+    still = saved(still_open(known).join(shape, "node"), "open")
+    still = still.select("cell", "node", "n", "comp", "vec").repartitionByRange("cell", "n", "node").sortWithinPartitions("cell", "n", "node")
+    pages = still.mapInArrow(_pages, _PAGE)
     pages = saved(pages.withColumn("page", F.monotonically_increasing_id()), "pages")
     side = lambda s: pages.select("cell", F.col("page").alias(f"page_{s}"), F.col("n_min").alias(f"min_{s}"), F.col("n_max").alias(f"max_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "n", "node", "comp", "vec")])
     two = side("a").join(side("b"), "cell").where(
