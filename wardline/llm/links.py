@@ -13,9 +13,12 @@ def _state(edges: DataFrame) -> tuple:
     return row.n, row.s
 
 
-def components(links: DataFrame, a: str, b: str) -> DataFrame:
+def components(links: DataFrame, a: str, b: str, rounds: int | None = None) -> DataFrame:
     """(node, component): the smallest node that `node` reaches; nodes without links are left out.
 
+    With `rounds`, at most so many: nodes of equal component are then connected, but connected nodes may
+    still have unlike ones.
+
     Every round moves links towards the smallest neighbour.  The smallest neighbour is a plain minimum, so
     it is aggregated before the shuffle, and the join back is one that adaptive execution may split: a node
     with a third of all links needs no task of its own.  The number of rounds grows with the logarithm of
@@ -25,8 +28,8 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         F.col(a).isNotNull() & F.col(b).isNotNull() & (F.col(a) != F.col(b))
     )
     edges = checkpointed(edges.distinct())
-    state = _state(edges)
-    while state[0]:
+    state = _state(edges) if rounds is None else None
+    while rounds is None and state[0] or rounds:
         both = edges.unionAll(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         # Large star: every larger neighbour goes to the smallest one.  u is edge end, so no self links.
@@ -36,11 +39,17 @@ def components(links: DataFrame, a: str, b: str) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         after = checkpointed(small.unionAll(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
+        edges = after
+        if rounds is not None:
+            rounds -= 1
+            continue
         new = _state(after)
-        edges, state, done = after, new, new == state
-        if done:
+        if new == state:
             break
+        state = new
     low = edges.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
     roots = edges.select(F.col("v").alias("node")).distinct().select("node", F.col("node").alias("component"))
-    # At the end every node points at its root, and roots point at nothing.
+    # At the end every node points at its root, and roots point at nothing; before, the smaller one counts.
+    if state is None:
+        return low.unionAll(roots).groupBy("node").agg(F.min("component").alias("component"))
     return low.unionAll(roots)

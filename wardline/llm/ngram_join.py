@@ -37,7 +37,7 @@ U = np.uint64
 GROUPS = 256
 FINE = 512
 PAGE = 128
-ROUNDS = 3
+ROUNDS = 1
 
 
 def _need(na, nb, percent):
@@ -333,7 +333,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     # The best partner of every point first: this joins most of a group of copies with one comparison each.
     best = ends.groupBy("b").agg(F.max(F.struct("score", "a")).alias("x")).select(F.col("x.a").alias("a"), "b")
     links = saved(_verify(best, sets, percent), "links")
-    known = components(links, "a", "b")
+    known = saved(components(links, "a", "b", 1), "known")
 
     def apart(pairs: DataFrame, known: DataFrame) -> DataFrame:
         """The pairs (a, b, score) between different components ca and cb."""
@@ -343,7 +343,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
 
     # The other pairs with an outermost point, where they lie in different components.
     links = saved(links.unionAll(_verify(apart(ends, known), sets, percent)), "links")
-    known = saved(components(links, "a", "b"), "components")
+    known = saved(components(links, "a", "b", 1), "known")
 
     # Cells that still have several components.  Up to three points have been compared with one another.
     large = member.where("members > 3").select("cell", "node")
@@ -364,7 +364,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         near = saved(promising(pairs.select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"))), "near")
         near = apart(near, known).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("score", "a", "b")).alias("p"))
         links = saved(links.unionAll(_verify(near.select("p.a", "p.b"), sets, percent)), "links")
-        known = saved(components(links, "a", "b"), "components")
+        known = saved(components(links, "a", "b"), "known")
 
     # All other pairs of these cells.
     still = saved(still_open(known).join(shape, "node"), "open")
