@@ -68,7 +68,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> tuple[list[tuple]
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int], rest: int, doc_id: str = "doc_id", source: str = "source", block_rows: int = 32, task_rows: int = 200_000
+    docs: DataFrame, weights: dict[str, int], rest: int, doc_id: str = "doc_id", source: str = "source", block_rows: int = 32, task_rows: int = 5_000
 ) -> DataFrame:
     """Per row: its id, source, group, block, release, deadline, slot, and place within the block.
 

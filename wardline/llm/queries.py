@@ -75,8 +75,10 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
 def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:
     """Digests of all conversations, read back from their formatted text, and of one that holds control strings."""
     turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
-    own = [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)]
-    turns = turns.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
+    own = spark.range(2).select(
+        F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(CONTROL).alias("text")
+    )
+    turns = turns.unionByName(own)
     chats = chat_format.format_chats(turns)
     read = chat_format.parse_chats(chats)
     lines = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
