@@ -115,7 +115,7 @@ def shingles(words: np.ndarray, docs: np.ndarray, k: int = 5) -> tuple[np.ndarra
     return whole[keep], offsets
 
 
-def slices(batch: pa.RecordBatch, column: str, most: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """The batch in pieces of about `most` bytes of text, one row at least."""
     if not batch.num_rows:
         return
