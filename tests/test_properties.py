@@ -55,7 +55,7 @@ def test_closeness_sketch_stays_near_the_exact_value_on_a_larger_graph(spark):
 
 def test_noise_is_centred_and_subjects_count_once(spark):
     df = spark.range(4000).select((F.col("id") % 10).alias("subject"), (F.col("id") % 400).alias("key"))
-    noisy = privacy.dp_counts(df.unionByName(df), "subject", ["key"], 1.0, "s")
+    noisy = privacy.dp_counts(df.unionByName(df), "subject", ["key"], 1.0, "s", "first")
     stats = noisy.agg(F.avg("noisy_n").alias("m"), F.stddev("noisy_n").alias("s")).first()
     exact = df.distinct().groupBy("key").count().first()["count"]
     assert abs(stats.m - exact) < 0.4 and 0.9 < stats.s < 2.0

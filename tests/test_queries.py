@@ -4,9 +4,10 @@ import pytest
 
 import __spark_entry__ as entry
 import compare
+from wardline.plans import catalog
 from conftest import SF
 
-NAMES = sorted(entry.queries())
+NAMES = sorted(catalog.QUERIES)
 # Queries that walk through a key's rows in order.
 ORDERED = [
     "behaviour_funnel", "behaviour_sequence", "beaconing", "build_bundle", "context_asof", "correlate_pairs",
@@ -37,7 +38,7 @@ def test_query_with_heavy_keys(heavy, con, name):
 
 
 def test_only_models_and_sketches_go_without_sql():
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"fan_out_approx", "kmeans_anomalies"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"fan_out_approx", "kmeans_anomalies"}
 
 
 def test_entry(spark):

@@ -8,9 +8,7 @@ from pyspark.sql import Column, functions as F
 def version_key(col: Column) -> Column:
     """``vA.B.C`` -> array of numbers, which Spark compares element by element.
 
-    A tag that is not numeric in all parts gives null.
+    A tag that is not numeric in all parts, or has a part beyond 64 bits, gives null.
     """
-    return F.when(
-        col.rlike("^v?[0-9]+([.][0-9]+)*$"),
-        F.transform(F.split(F.regexp_replace(col, "^v", ""), "[.]"), lambda p: p.cast("int")),
-    )
+    parts = F.transform(F.split(F.regexp_replace(col, "^v", ""), "[.]"), lambda p: p.try_cast("bigint"))
+    return F.when(col.rlike("^v?[0-9]+([.][0-9]+)*$") & F.forall(parts, lambda p: p.isNotNull()), parts)

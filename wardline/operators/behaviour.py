@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from wardline.operators.same import join_same
 from wardline.operators.ordered import Running, following, micros, parts, position, profile_keys, running
 
 _US = 1_000_000
@@ -152,4 +153,4 @@ def case_report(
     best = findings.select(key, weight, evidence).withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= top)
     lists = best.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_rn", evidence))).alias("_l"))
     named = F.array_join(F.transform("_l", lambda e: e[evidence].cast(StringType())), ",")
-    return counts.join(lists, key).withColumn("evidence", named).drop("_l")
+    return join_same(counts, lists, [key]).withColumn("evidence", named).drop("_l")

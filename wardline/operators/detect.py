@@ -4,16 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.operators.ordered import (
     KeySplit, Running, exact_quantiles, micros, nth_before, previous, profile_keys, running, value_ranks,
 )
+from wardline.operators.same import join_same
 from wardline.operators.sizing import checked_broadcast
 from wardline.session import checkpointed
 
 _US = 1_000_000
-ANY = "*"
+
+
+def own_key(category: Column) -> Column:
+    """The key of a category; no wildcard has it, whatever the category's text."""
+    return F.struct(F.lit(False).alias("any"), category.cast("string").alias("category"))
+
+
+def category_key(category: Column) -> Column:
+    """The key of a category, or of the wildcard where it is null."""
+    return F.struct(category.isNull().alias("any"), F.coalesce(category.cast("string"), F.lit("")).alias("category"))
 
 
 def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
@@ -22,8 +32,8 @@ def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
     A rule without a category stands under a wildcard key, and each event looks under its
     category and under the wildcard: an equality join, whatever the number of rules.
     """
-    keyed = rules.withColumn("_key", F.coalesce("category", F.lit(ANY))).drop("category")
-    looked = events.withColumn("_key", F.explode(F.array("category", F.lit(ANY))))
+    keyed = rules.withColumn("_key", category_key(F.col("category"))).drop("category")
+    looked = events.withColumn("_key", F.explode(F.array(own_key(F.col("category")), category_key(F.lit(None)))))
     hits = looked.join(checked_broadcast(keyed), "_key").filter(
         (F.col("min_magnitude").isNull() | (F.col("magnitude") >= F.col("min_magnitude")))
         & (F.col("attr_lo").isNull() | (F.col("attr") >= F.col("attr_lo")))
@@ -93,7 +103,7 @@ def prune_alerts(
         F.count("*").alias("_n"), F.count_if(F.col(level) >= min_level).alias("_ok")
     )
     pruned = F.col("_n") - F.least(F.col("_ok"), F.lit(k))
-    return kept.join(sizes, per).select(*alerts.columns, pruned.alias("n_pruned"))
+    return join_same(kept, sizes, per).select(*alerts.columns, pruned.alias("n_pruned"))
 
 
 def root_cause(
@@ -141,7 +151,7 @@ def root_cause(
 def zscore_anomalies(df: DataFrame, group: str, col: str, t: float = 3.0) -> DataFrame:
     """Rows more than `t` standard deviations from their group's mean."""
     stats = df.groupBy(group).agg(F.avg(col).alias("mean"), F.stddev_samp(col).alias("sd"))
-    scored = df.join(checked_broadcast(stats), group).withColumn(
+    scored = join_same(df, checked_broadcast(stats), [group]).withColumn(
         "z", F.when(F.col("sd") > 0, (F.col(col) - F.col("mean")) / F.col("sd"))
     )
     return scored.filter(F.abs("z") > t).drop("mean", "sd")
@@ -151,9 +161,9 @@ def mad_anomalies(df: DataFrame, group: str, col: str, t: float = 5.0) -> DataFr
     """Rows far from their group's median in units of the median absolute deviation; groups with MAD 0 give none."""
     half = {"median": 0.5}
     medians = checked_broadcast(exact_quantiles(df, [group], col, half))
-    dev = df.join(medians, group).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
+    dev = join_same(df, medians, [group]).withColumn("_dev", F.abs(F.col(col) - F.col("median")))
     mads = checked_broadcast(exact_quantiles(dev.select(group, "_dev"), [group], "_dev", {"mad": 0.5}))
-    scored = dev.join(mads, group).withColumn(
+    scored = join_same(dev, mads, [group]).withColumn(
         "score", F.when(F.col("mad") > 0, F.lit(0.6745) * F.col("_dev") / F.col("mad"))
     )
     return scored.filter(F.col("score") > t).drop("_dev")
@@ -214,7 +224,7 @@ def embedding_outliers(df: DataFrame, vec: str, label: str, n: int, dim: int, id
     far = F.round(F.sqrt(F.aggregate(squares, F.lit(0.0), lambda s, x: s + x)), 6)
     w = Window.partitionBy(label).orderBy(F.desc("distance"), id_col)
     return (
-        df.join(checked_broadcast(centroids), label)
+        join_same(df, checked_broadcast(centroids), [label])
         .select(id_col, label, far.alias("distance"))
         .withColumn("place", F.row_number().over(w))
         .filter(F.col("place") <= n)

@@ -53,10 +53,10 @@ def domain_suffix_match(obs: DataFrame, feed: DataFrame, host: str = "host", ioc
 def cidr_match(obs: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
     """Addresses in a block (`net`, `prefix`); the longest prefix wins.
 
-    Equality join on (prefix length, masked address): one try per prefix length in use, at most 33.
+    Equality join on (prefix length, masked address): one try per prefix length from 0 to 32.  Blocks of any
+    other length, or of none, match nothing.
     """
-    lengths = sorted(r["prefix"] for r in blocks.select("prefix").distinct().limit(33).collect())
-    nets = blocks.select(
+    nets = blocks.filter(F.col("prefix").between(0, 32)).select(
         F.col("net"),
         F.col("prefix"),
         mask_address(ip_to_long(F.col("net")), F.col("prefix")).alias("masked"),
@@ -66,7 +66,7 @@ def cidr_match(obs: DataFrame, blocks: DataFrame, ip: str = "ip") -> DataFrame:
         .distinct()
         .withColumn("_n", ip_to_long(F.col(ip)))
         .filter(F.col("_n").isNotNull())
-        .withColumn("prefix", F.explode(F.array(*[F.lit(p) for p in lengths])))
+        .withColumn("prefix", F.explode(F.sequence(F.lit(0), F.lit(32))))
         .withColumn("masked", mask_address(F.col("_n"), F.col("prefix")))
     )
     best = (

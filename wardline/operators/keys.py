@@ -40,10 +40,11 @@ def expand_members(df: DataFrame, key: str, list_col: str, sep: str = " ", out:
 
 
 def _unique(df: DataFrame, key: str) -> DataFrame:
-    """`df` with its rows packed in `_row`; reading a row of a repeated key is an error."""
+    """`df` with its rows packed in `_row`; a repeated key is an error."""
     packed = df.groupBy(key).agg(F.count("*").alias("_n"), F.first(F.struct(*df.columns)).alias("_row"))
-    complaint = F.concat(F.lit(f"repeated update key {key}="), F.col(key).cast("string"))
-    return packed.select(key, F.when(F.col("_n") > 1, F.raise_error(complaint)).otherwise(F.col("_row")).alias("_row"))
+    complaint = F.concat(F.lit(f"repeated update key {key}="), F.coalesce(F.col(key).cast("string"), F.lit("null")))
+    # The check is part of the key, so no join on it can leave it out.
+    return packed.select(F.when(F.col("_n") > 1, F.raise_error(complaint)).otherwise(F.col(key)).alias(key), "_row")
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
@@ -57,12 +58,14 @@ def insert_if_absent(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """Append only rows whose key is absent; of several new rows with one key the least is taken."""
     rest = [c for c in target.columns if c != key]
     one = new.groupBy(key).agg(F.min(F.struct(*rest)).alias("_r")).select(key, "_r.*")
-    return target.unionByName(one.join(target.select(key), key, "left_anti"))
+    there = target.select(F.col(key).alias("_there"))
+    return target.unionByName(one.join(there, F.col(key).eqNullSafe(F.col("_there")), "left_anti"))
 
 
 def replace_stale(target: DataFrame, stale_keys: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """Delete the named keys where present, then insert what is absent; doing it twice changes nothing."""
-    return insert_if_absent(target.join(stale_keys.select(key), key, "left_anti"), fresh, key)
+    stale = stale_keys.select(F.col(key).alias("_stale"))
+    return insert_if_absent(target.join(stale, F.col(key).eqNullSafe(F.col("_stale")), "left_anti"), fresh, key)
 
 
 def semver_latest(df: DataFrame, col: str, pattern: str = "^v[0-9]+[.][0-9]+[.]0$", n: int = 1) -> DataFrame:

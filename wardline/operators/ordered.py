@@ -24,6 +24,7 @@ from dataclasses import dataclass
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from wardline.operators.same import join_same
 from wardline.operators.sizing import checked_broadcast
 
 HOT_ROWS = 20_000_000  # what one task may still sort in good time
@@ -229,7 +230,7 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, *, descending:
     if not split.plain:
         # The pieces of a heavy group must not meet again for the sake of this join.
         sizes = checked_broadcast(sizes)
-    return ranked.join(sizes, list(groups)).withColumns(
+    return join_same(ranked, sizes, list(groups)).withColumns(
         {c: F.coalesce(F.col(c), F.lit(0)).cast("long") for c in ("below", "distinct_below")}
     )
 

@@ -10,7 +10,7 @@ from wardline.session import checkpointed
 
 # Both Java's and RE2's engine read these alike.
 EMAIL = "[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:[.][A-Za-z]+)+"
-SHA1 = "[0-9a-f]{40}"
+SHA1 = "[0-9A-Fa-f]{40,}"
 CARD = "[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}[ -]?[0-9]{4}"
 IPV4 = "[0-9]{1,3}(?:[.][0-9]{1,3}){3}"
 REDACTIONS = {"EMAIL": EMAIL, "HASH": SHA1, "CARD": CARD, "IP": IPV4}
@@ -68,14 +68,17 @@ def l_diversity(df: DataFrame, qids: Sequence[str], sensitive: str, l: int) -> D
     )
 
 
-def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float, secret: str) -> DataFrame:
+def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float, secret: str, release: str) -> DataFrame:
     """Counts of subjects with Laplace(1/epsilon) noise; a subject counts once per key.
 
-    The noise is drawn from a hash of the secret and the key: a task that runs again, or a query that
-    is asked again, gives the same noise, so repeating it reveals nothing.
+    The noise is drawn from a nested keyed hash of the release, epsilon and the key: a task that runs again
+    gives the same noise, and another release draws anew, so the difference of two releases hides a change.
+    Every release of a table spends `epsilon` of the budget of its subjects; name each once, and stop when the
+    sum of the epsilons reaches the budget.
     """
     counts = df.select(subject, *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
-    digest = F.sha2(F.concat_ws("|", F.lit(secret), *[F.col(k).cast("string") for k in keys]), 256)
+    inner = F.sha2(F.concat_ws("|", F.lit(secret), F.lit(release), F.lit(repr(float(epsilon))), *[F.col(k).cast("string") for k in keys]), 256)
+    digest = F.sha2(F.concat_ws("|", F.lit(secret), inner), 256)
     # 52 bits of the digest as a number strictly between -1/2 and 1/2.
     u = (F.conv(F.left(digest, F.lit(13)), 16, 10).cast("double") + 0.5) / F.lit(2.0**52) - 0.5
     noise = -F.signum(F.col("_u")) * F.log(1 - 2 * F.abs("_u")) / F.lit(float(epsilon))

@@ -4,10 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardline.operators.detect import category_key, own_key
 from wardline.operators.sizing import checked_broadcast
 
-ANY = "*"
-
 
 def select_playbook(cases: DataFrame, playbook: DataFrame, key: str = "asset_id") -> DataFrame:
     """The playbook of highest utility (benefit x risk - cost) whose conditions hold; ties by id, 0 if none holds.
@@ -15,10 +14,10 @@ def select_playbook(cases: DataFrame, playbook: DataFrame, key: str = "asset_id"
     Playbooks without a category stand under a wildcard key, as in rule matching: an equality join.
     """
     plays = playbook.select(
-        F.coalesce("category", F.lit(ANY)).alias("_key"), "playbook_id", "min_risk", F.col("mission").alias("_mission"),
+        category_key(F.col("category")).alias("_key"), "playbook_id", "min_risk", F.col("mission").alias("_mission"),
         "benefit", "cost",
     )
-    looked = cases.withColumn("_key", F.explode(F.array(F.coalesce("category", F.lit("")), F.lit(ANY))))
+    looked = cases.withColumn("_key", F.explode(F.array(own_key(F.col("category")), category_key(F.lit(None)))))
     fits = (F.col("min_risk").isNull() | (F.col("risk") >= F.col("min_risk"))) & (
         F.col("_mission").isNull() | (F.col("_mission") == F.col("mission"))
     )

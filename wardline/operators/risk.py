@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from wardline.operators.ordered import exact_quantiles, position, value_ranks
 from wardline.session import checkpointed
+from wardline.operators.same import join_same
 
 
 def severity(cvss: Column) -> Column:
@@ -121,7 +122,8 @@ def risk_rank(risk: DataFrame, per: str, n: int | None = None, col: str = "risk"
     """
     risk = checkpointed(risk)
     ranks = value_ranks(risk, [per], col, descending=True).withColumnRenamed("n", "_size")
-    placed = position(risk, [per, col], [id_col], F.col(id_col), "_tie").join(ranks, [per, col])
+    placed = position(risk, [per, col], [id_col], F.col(id_col), "_tie")
+    placed = join_same(placed, ranks, [per, col])
     place = F.col("below") + F.col("_tie")
     # SQL's ntile: the first (size mod 4) tiles have one row more.
     q, r = F.floor(F.col("_size") / 4), F.col("_size") % 4

@@ -19,7 +19,6 @@ def checked_broadcast(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int =
     kept = checkpointed(df)
     size = (
         kept.select(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))).alias("b"))
-        .limit(max_rows + 1)
         .agg(F.count("*").alias("n"), F.coalesce(F.sum("b"), F.lit(0)).alias("b"))
         .first()
     )

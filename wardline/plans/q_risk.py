@@ -51,10 +51,10 @@ def l_diversity(spark, sf):
 
 
 @query("dp_counts", with_views("asset", """, u AS (SELECT mission, count(DISTINCT asset_id) AS n,
- (CAST('0x' || substr(sha256('pepper|' || mission), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 - 0.5 AS u FROM asset GROUP BY mission)
+ (CAST('0x' || substr(sha256('pepper|' || sha256('pepper|2024-Q1|0.5|' || mission)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 - 0.5 AS u FROM asset GROUP BY mission)
 SELECT mission, round(n - sign(u) * ln(1 - 2 * abs(u)) / 0.5, 6) AS noisy_n FROM u"""))
 def dp_counts(spark, sf):
-    return privacy.dp_counts(v.asset(spark, sf), "asset_id", ["mission"], 0.5, "pepper").withColumns(_r6("noisy_n"))
+    return privacy.dp_counts(v.asset(spark, sf), "asset_id", ["mission"], 0.5, "pepper", "2024-Q1").withColumns(_r6("noisy_n"))
 
 
 @query("pseudonymize", with_views("tel", """SELECT event_id, sha256(concat('pepper:', CAST(entity_id AS VARCHAR))) AS entity_id FROM tel"""))
