@@ -15,7 +15,7 @@ from wardline.operators.sizing import checked_broadcast
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 #: Rows that a part of the mixture has, about.
-PART_ROWS = 50_000
+PART_ROWS = 10_000
 
 
 def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
