@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from wardline.functions.versions import version_key
-from wardline.operators import behaviour, detect, enrich, keys, privacy, risk
+from wardline.operators import behaviour, detect, enrich, graph, keys, ordered, privacy, response, risk
+from wardline.sources import scan_glob
 
 
 def rows(df):
@@ -57,3 +58,38 @@ def test_whole_hashes_go_and_releases_draw_anew(spark):
     first = privacy.dp_counts(many, "s", ["k"], 1.0, "secret", "one").first().noisy_n
     second = privacy.dp_counts(many.limit(99), "s", ["k"], 1.0, "secret", "two").first().noisy_n
     assert abs(first - second - 1.0) > 1e-6
+
+
+def test_text_ids_nan_and_nulls_rank_alike_when_split(spark, request):
+    df = spark.createDataFrame(
+        [(f"asset-{i % 37:03d}-{i}" if i % 11 else None, "g" if i % 3 else None, float("nan") if i % 13 == 0 else None if i % 17 == 0 else float(i % 5)) for i in range(200)],
+        "asset_id string, g string, risk double",
+    ).withColumn("k", F.coalesce("asset_id", F.lit("none")))
+    order = ["risk", "k"]
+    ranked = lambda: rows(risk.risk_rank(df.filter("asset_id is not null"), "g").select("asset_id", "place", "rank", "quartile"))
+    previous = lambda: rows(ordered.previous(df.withColumn("n", F.monotonically_increasing_id()), ["g"], [*order, "n"], F.col("risk"), before=F.col("k")).select("n", "before"))
+    plain = ranked(), previous()
+    request.getfixturevalue("heavy")
+    assert (ranked(), previous()) == plain
+
+
+def test_equal_cases_stay(spark):
+    cases = spark.createDataFrame([(1, "error", "m", 70.0)] * 3 + [(2, None, None, None)], "asset_id long, category string, mission string, risk double")
+    plays = spark.createDataFrame([(7, "error", 60.0, None, 0.9, 30.0)], "playbook_id int, category string, min_risk double, mission string, benefit double, cost double")
+    got = response.select_playbook(cases, plays).select("asset_id", "playbook_id")
+    assert rows(got) == [(1, 7)] * 3 + [(2, 0)]
+
+
+def test_tables_as_folders_and_with_unlike_columns(spark, tmp_path):
+    root = tmp_path / "a+b c"
+    spark.range(5).repartition(3).write.parquet(f"{root}/event_a.parquet")
+    spark.range(2).withColumn("extra", F.lit("x")).write.parquet(f"{root}/event_b.parquet")
+    got = scan_glob(spark, str(root), "event*.parquet").groupBy("source").agg(F.count("*").alias("n"), F.count("extra").alias("x"))
+    assert rows(got.select("source", "n", "x")) == [("event_a.parquet", 5, 0), ("event_b.parquet", 2, 2)]
+
+
+def test_closeness_is_exact_at_a_hub(spark):
+    hub = spark.range(1, 3001).select(F.lit(0).cast("long").alias("src"), F.col("id").alias("dst"))
+    close = graph.harmonic_closeness(hub.unionByName(spark.createDataFrame([(1, 0), (0, 0)], "src long, dst long")), 2)
+    got = {r.node: r.closeness for r in close.filter("node < 3").collect()}
+    assert got == {0: 3000.0, 1: 1 + 2999 / 2, 2: 0.0}

@@ -128,8 +128,20 @@ def pagerank(edge: DataFrame, d: float = 0.85, iters: int = 10, slice_edges: int
     return ranks.select("node", "rank")
 
 
-def harmonic_closeness(edge: DataFrame, k: int, lg_k: int = 12) -> DataFrame:
-    """Sum of 1/hops over the nodes that a node reaches within k hops.
+def harmonic_closeness(edge: DataFrame, k: int) -> DataFrame:
+    """Sum of 1/hops over the nodes that a node reaches within k hops; exact at every size.
+
+    All nodes are followed at once, as rows (start, node), so the work grows with what they reach
+    together.  On large dense graphs `harmonic_closeness_approx` does with one sketch per node.
+    """
+    nodes = checkpointed(edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
+    reached = k_hop(edge, nodes.select(F.col("node").alias("start"), "node"), k, by=["start"])
+    near = F.sum(F.when(F.col("hops") > 0, 1 / F.col("hops")))
+    return reached.groupBy(F.col("start").alias("node")).agg(F.coalesce(near, F.lit(0.0)).alias("closeness"))
+
+
+def harmonic_closeness_approx(edge: DataFrame, k: int, lg_k: int = 12) -> DataFrame:
+    """`harmonic_closeness` by sketches.
 
     One distinct-count sketch per node instead of all (node, node) pairs: the ball of radius h is
     the union of the neighbours' balls of radius h - 1.  Counts are exact while a ball is small for

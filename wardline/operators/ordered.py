@@ -23,6 +23,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from wardline.operators.same import join_same
 from wardline.operators.sizing import checked_broadcast
@@ -31,8 +32,9 @@ HOT_ROWS = 20_000_000  # what one task may still sort in good time
 HOT_KEYS = 4096  # also: a key with more than 1/HOT_KEYS of all rows is always found
 TRACKED = 8 * HOT_KEYS
 PIECES = 1024
+SAMPLED = 64  # texts looked at for each piece
 
-_PIECE, _HOT, _AT = "_piece", "_hot", "_at"
+_PIECE, _HOT, _AT, _NAN = "_piece", "_hot", "_at", "_nan"
 
 
 def micros(ts: Column | str) -> Column:
@@ -42,11 +44,11 @@ def micros(ts: Column | str) -> Column:
 
 @dataclass(frozen=True)
 class KeySplit:
-    """How the rows of the heavy keys are cut: hashes of the keys, cut points."""
+    """How the rows of the heavy keys are cut: hashes of the keys, cut points (numbers, or texts for a text)."""
 
     keys: tuple[str, ...]
     hashes: tuple[int, ...] = ()
-    cuts: tuple[float, ...] = ()
+    cuts: tuple[float, ...] | tuple[str, ...] = ()
 
     @property
     def plain(self) -> bool:
@@ -56,11 +58,25 @@ class KeySplit:
         return F.xxhash64(*self.keys).isin(list(self.hashes))
 
     def assign(self, df: DataFrame, at: Column) -> DataFrame:
-        """Add the heavy-key flag and the piece number (0 for all other keys)."""
-        marked = df.withColumn(_HOT, self.hot()).withColumn(_AT, F.when(F.col(_HOT), at.cast("double")))
+        """Add the heavy-key flag and the piece number (0 for all other keys).
+
+        Pieces follow Spark's own order: nulls in the first piece, NaN after all numbers.
+        """
+        marked = df.withColumn(_HOT, self.hot())
+        if _is_text(df, at):
+            reached = F.filter(F.lit(list(self.cuts)), lambda c: c <= at)
+            return marked.withColumn(_PIECE, F.when(F.col(_HOT) & at.isNotNull(), F.size(reached)).otherwise(0))
+        number = at.cast("double")
+        marked = marked.withColumn(_AT, F.when(F.col(_HOT), number)).withColumn(_NAN, F.isnan(_AT))
+        marked = marked.withColumn(_AT, F.when(~F.col(_NAN), F.col(_AT)))
         splits = [float("-inf"), *self.cuts, float("inf")]
         cut = Bucketizer(splits=splits, inputCol=_AT, outputCol=_PIECE).transform(marked)
-        return cut.withColumn(_PIECE, F.coalesce(F.col(_PIECE), F.lit(0.0)).cast("int")).drop(_AT)
+        piece = F.when(F.col(_NAN), len(splits) - 1).otherwise(F.coalesce(F.col(_PIECE), F.lit(0.0)))
+        return cut.withColumn(_PIECE, piece.cast("int")).drop(_AT, _NAN)
+
+
+def _is_text(df: DataFrame, at: Column) -> bool:
+    return isinstance(df.select(at).schema[0].dataType, StringType)
 
 
 def profile_keys(df: DataFrame, keys: Sequence[str], at: Column) -> KeySplit:
@@ -71,13 +87,18 @@ def profile_keys(df: DataFrame, keys: Sequence[str], at: Column) -> KeySplit:
     seen = df.select(F.xxhash64(*keys).alias("h")).agg(
         F.expr(f"approx_top_k(h, {HOT_KEYS}, {TRACKED})").alias("top"), F.count("*").alias("n")
     ).first()
-    floor = max(hot_rows, seen.n // HOT_KEYS)
-    split = KeySplit(tuple(keys), tuple(r["item"] for r in seen.top if r["count"] > floor))
+    split = KeySplit(tuple(keys), tuple(r["item"] for r in seen.top if r["count"] > hot_rows))
     if split.plain:
         return split
+    rows = df.filter(split.hot())
+    if _is_text(df, at):
+        # A text has no quantiles in Spark; cuts come from a sample, which decides only how work is divided.
+        share = min(1.0, pieces * SAMPLED / sum(r["count"] for r in seen.top if r["item"] in split.hashes))
+        texts = sorted((r.at for r in rows.select(at.alias("at")).dropna().sample(share, seed=0).collect()), key=str.encode)
+        found = {texts[len(texts) * i // pieces] for i in range(1, pieces)} if texts else {""}
+        return KeySplit(split.keys, split.hashes, tuple(sorted(found, key=str.encode)))
     cuts = (
-        df.filter(split.hot())
-        .select(at.cast("double").alias("at"))
+        rows.select(at.cast("double").alias("at"))
         .approxQuantile("at", [i / pieces for i in range(1, pieces)], 1 / (4 * pieces))
     )
     return KeySplit(split.keys, split.hashes, tuple(sorted(set(cuts))) or (0.0,))

@@ -8,16 +8,18 @@ from wardline.operators.detect import category_key, own_key
 from wardline.operators.sizing import checked_broadcast
 
 
-def select_playbook(cases: DataFrame, playbook: DataFrame, key: str = "asset_id") -> DataFrame:
+def select_playbook(cases: DataFrame, playbook: DataFrame) -> DataFrame:
     """The playbook of highest utility (benefit x risk - cost) whose conditions hold; ties by id, 0 if none holds.
 
     Playbooks without a category stand under a wildcard key, as in rule matching: an equality join.
+    Equal cases are decided once and come back as often as they came in.
     """
     plays = playbook.select(
         category_key(F.col("category")).alias("_key"), "playbook_id", "min_risk", F.col("mission").alias("_mission"),
         "benefit", "cost",
     )
-    looked = cases.withColumn("_key", F.explode(F.array(own_key(F.col("category")), category_key(F.lit(None)))))
+    counted = cases.groupBy(*cases.columns).agg(F.count("*").alias("_n"))
+    looked = counted.withColumn("_key", F.explode(F.array(own_key(F.col("category")), category_key(F.lit(None)))))
     fits = (F.col("min_risk").isNull() | (F.col("risk") >= F.col("min_risk"))) & (
         F.col("_mission").isNull() | (F.col("_mission") == F.col("mission"))
     )
@@ -25,13 +27,15 @@ def select_playbook(cases: DataFrame, playbook: DataFrame, key: str = "asset_id"
     best = F.max(F.when(fits, F.struct(utility.alias("u"), (-F.col("playbook_id")).alias("p"))))
     return (
         looked.join(checked_broadcast(plays), "_key", "left")
-        .groupBy(*cases.columns)
+        .groupBy(*cases.columns, "_n")
         .agg(best.alias("_b"))
         .select(
             *cases.columns,
             F.coalesce(-F.col("_b.p"), F.lit(0)).cast("int").alias("playbook_id"),
             F.coalesce(F.col("_b.u"), F.lit(0.0)).alias("utility"),
+            F.explode(F.sequence(F.lit(1).cast("long"), F.col("_n"))).alias("_copy"),
         )
+        .drop("_copy")
     )
 
 

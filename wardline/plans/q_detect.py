@@ -245,10 +245,9 @@ def first_seen(spark, sf):
 
 
 @query("rare_values", with_views("tel", """SELECT attr, count(DISTINCT entity_id) AS n_entities, count(*) AS n,
- round(count(*) / (SELECT count(*) FROM tel WHERE level >= 4), 6) AS share FROM tel WHERE level >= 4 GROUP BY attr HAVING count(DISTINCT entity_id) <= 15"""))
+ round(count(*) / (SELECT count(*) FROM tel), 6) AS share FROM tel GROUP BY attr HAVING count(DISTINCT entity_id) <= 15"""))
 def rare_values(spark, sf):
-    t = v.tel(spark, sf).filter("level >= 4")
-    return detect.rare_values(t, "attr", "entity_id", 15).withColumn("share", F.round("share", 6))
+    return detect.rare_values(v.tel(spark, sf), "attr", "entity_id", 15).withColumn("share", F.round("share", 6))
 
 
 @query("beaconing", with_views("tel", """, g AS (SELECT src, dst, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY src, dst ORDER BY ts, event_id))) / 1e6 AS gap FROM tel)

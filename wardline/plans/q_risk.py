@@ -149,11 +149,11 @@ def _seeds(spark, sf):
     return v.alerts(spark, sf).filter("level >= 13").select(F.col("entity_id").alias("node")).distinct()
 
 
-@query("k_hop", with_views("strong_edge alerts", """, r(node, hops) AS (SELECT DISTINCT entity_id, 0 FROM alerts WHERE level >= 13
- UNION SELECT dst, hops + 1 FROM r JOIN strong_edge ON node = src WHERE hops < 3)
+@query("k_hop", with_views("link alerts", """, r(node, hops) AS (SELECT DISTINCT entity_id, 0 FROM alerts WHERE level >= 13
+ UNION SELECT dst, hops + 1 FROM r JOIN link ON node = src WHERE hops < 3)
 SELECT node, min(hops) AS hops FROM r GROUP BY node""", recursive=True))
 def k_hop(spark, sf):
-    return graph.k_hop(v.strong_edge(spark, sf), _seeds(spark, sf), 3)
+    return graph.k_hop(v.link(spark, sf), _seeds(spark, sf), 3)
 
 
 @query("degree_centrality", with_views("degree", """SELECT node, in_degree, out_degree, total, strength, round(total / (SELECT count(*) - 1 FROM degree), 6) AS centrality FROM degree"""))
@@ -182,27 +182,26 @@ def pagerank(spark, sf):
     return graph.pagerank(v.edge(spark, sf)).withColumn("rank", F.round("rank", 9))
 
 
-@query("harmonic_closeness", with_views("strong_edge", """, nodes AS (SELECT src AS node FROM strong_edge UNION SELECT dst FROM strong_edge),
- r(a, b, hops) AS (SELECT node, node, 0 FROM nodes UNION SELECT a, dst, hops + 1 FROM r JOIN strong_edge ON b = src WHERE hops < 3),
+@query("harmonic_closeness", with_views("link", """, nodes AS (SELECT src AS node FROM link UNION SELECT dst FROM link),
+ r(a, b, hops) AS (SELECT node, node, 0 FROM nodes UNION SELECT a, dst, hops + 1 FROM r JOIN link ON b = src WHERE hops < 3),
  m AS (SELECT a, b, min(hops) AS h FROM r GROUP BY a, b)
 SELECT a AS node, round(coalesce(sum(1.0 / h) FILTER (WHERE h > 0), 0), 6) AS closeness FROM m GROUP BY a""", recursive=True))
 def harmonic_closeness(spark, sf):
-    return graph.harmonic_closeness(v.strong_edge(spark, sf), 3).withColumns(_r6("closeness"))
+    return graph.harmonic_closeness(v.link(spark, sf), 3).withColumns(_r6("closeness"))
 
 
-@query("blast_radius", with_views("strong_edge alerts asset", """, r(seed, node) AS (SELECT DISTINCT entity_id, entity_id FROM alerts WHERE level >= 13
- UNION SELECT seed, dst FROM r JOIN strong_edge ON node = src)
+@query("blast_radius", with_views("link alerts asset", """, r(seed, node) AS (SELECT DISTINCT entity_id, entity_id FROM alerts WHERE level >= 13
+ UNION SELECT seed, dst FROM r JOIN link ON node = src)
 SELECT seed, count(*) AS n_reached, coalesce(CAST(sum(CAST(worth AS DECIMAL(18,2))) AS DOUBLE), 0) AS worth FROM r LEFT JOIN asset ON node = asset_id WHERE node <> seed GROUP BY seed""", recursive=True))
 def blast_radius(spark, sf):
     worth = v.table(spark, sf, "customer").select(F.col("c_custkey").alias("node"), F.col("c_acctbal").alias("worth"))
-    return graph.blast_radius(v.strong_edge(spark, sf), worth, _seeds(spark, sf)).drop("depth")
+    return graph.blast_radius(v.link(spark, sf), worth, _seeds(spark, sf)).drop("depth")
 
 
-@query("components", with_views("tel", """, e AS (SELECT DISTINCT src, dst FROM tel WHERE src <> dst AND level >= 10),
- u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), r(node, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON r.node = u.a)
+@query("components", with_views("link", """, u AS (SELECT src AS a, dst AS b FROM link UNION SELECT dst, src FROM link), r(node, m) AS (SELECT a, a FROM u UNION SELECT u.b, r.m FROM r JOIN u ON r.node = u.a)
 SELECT node, min(m) AS component FROM r GROUP BY node""", recursive=True))
 def components(spark, sf):
-    return graph.components(v.strong_edge(spark, sf, 10))
+    return graph.components(v.link(spark, sf))
 
 
 # -- risk ------------------------------------------------------------------------

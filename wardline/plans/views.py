@@ -123,9 +123,8 @@ def edge(spark: SparkSession, sf: str) -> DataFrame:
     return build_edges(tel(spark, sf))
 
 
-def strong_edge(spark: SparkSession, sf: str, level: int = 8) -> DataFrame:
-    t = tel(spark, sf)
-    return t.filter((F.col("src") != F.col("dst")) & (F.col("level") >= level)).select("src", "dst").distinct()
+def link(spark: SparkSession, sf: str) -> DataFrame:
+    return tel(spark, sf).filter(F.col("src") != F.col("dst")).select("src", "dst").distinct()
 
 
 def ioc_obs(spark: SparkSession, sf: str) -> DataFrame:
@@ -187,7 +186,7 @@ SQL_VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
  ORDER BY found_at DESC, run_id DESC, seq DESC, scanner_id DESC, cvss DESC, state) AS rn FROM finding) WHERE rn = 1"""),
     "edge": (("tel",), """SELECT src, dst, count(*) AS n, CAST(sum(CAST(magnitude AS DECIMAL(18,2))) AS DECIMAL(18,2)) AS bytes,
  min(ts) AS first_ts, max(ts) AS last_ts FROM tel WHERE src <> dst GROUP BY src, dst"""),
-    "strong_edge": (("tel",), "SELECT DISTINCT src, dst FROM tel WHERE src <> dst AND level >= 8"),
+    "link": (("tel",), "SELECT DISTINCT src, dst FROM tel WHERE src <> dst"),
     "ioc_obs": ((), f"""SELECT DISTINCT doc_id, 'ipv4' AS ioc_type, v AS ioc
  FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{IPV4_LOOSE}')) AS v FROM documents)
  UNION ALL SELECT DISTINCT doc_id, 'email', v

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import StringType, StructType
 
@@ -9,11 +11,16 @@ CORRUPT = "_corrupt"
 
 
 def scan_glob(spark: SparkSession, root: str, pattern: str, schema: StructType | None = None) -> DataFrame:
-    """All Parquet tables under `root` whose name matches, as one relation with their file name in `source`."""
-    reader = spark.read.option("pathGlobFilter", pattern)
-    if schema is not None:
-        reader = reader.schema(schema)
-    return reader.parquet(root).withColumn("source", F.col("_metadata.file_name"))
+    """All Parquet tables in `root` whose name matches, as one relation with their name in `source`.
+
+    A table is a file or a folder of part files.  The relation has the columns of all of them; a table without
+    one has nulls there.
+    """
+    base = re.sub("^[a-z0-9]+:(//[^/]*)?", "", root).rstrip("/")
+    reader = spark.read.option("mergeSchema", "true") if schema is None else spark.read.schema(schema)
+    path = F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B")))
+    name = F.regexp_extract(path, re.escape(base) + "/([^/]+)", 1)
+    return reader.parquet(f"{root.rstrip('/')}/{pattern}").withColumn("source", name)
 
 
 def read_indicator_csv(spark: SparkSession, path: str, schema: StructType, header: bool = False) -> DataFrame:
