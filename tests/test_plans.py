@@ -92,3 +92,12 @@ def test_pagerank_rounds_do_not_move_the_edges(no_broadcast, sf, monkeypatch):
     above_cache = plans[-1].split("InMemoryTableScan")[0].splitlines()
     join = next(i for i, line in enumerate(above_cache) if "_slice" in line and "SortMergeJoin" in line)
     assert not any("Exchange" in line or "Sort [" in line for line in above_cache[join:])
+
+
+def test_few_rules_move_no_event(no_broadcast, sf):
+    events = v.tel(no_broadcast, sf).select("event_id", "category", "magnitude", "attr")
+    assert "Exchange hashpartitioning" not in plan(detect.match_rules(events, v.rule(no_broadcast)))
+
+
+def test_two_snapshots_come_from_one_scan(spark, sf):
+    assert plan(QUERIES["scan_diff"](spark, sf)).count("lineitem.parquet") == 1

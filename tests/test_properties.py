@@ -32,8 +32,9 @@ def test_merged_model_is_the_central_fit(spark, sf):
     central = t.agg(F.avg("magnitude").alias("m"), F.stddev_samp("magnitude").alias("s")).first()
     got = model.first()
     assert (got.global_mean, got.global_sd) == pytest.approx((central.m, central.s))
-    scored = detect.federated_score(t, model, "magnitude").agg(F.avg("z"), F.stddev_samp("z")).first()
-    assert tuple(scored) == pytest.approx((0, 1), abs=1e-9)
+    scored = detect.federated_score(t, "site", ["magnitude", "level"])
+    spread = scored.agg(*[f(f"z_{c}") for c in ("magnitude", "level") for f in (F.avg, F.stddev_samp)]).first()
+    assert tuple(spread) == pytest.approx((0, 1, 0, 1), abs=1e-9)
 
 
 def test_pagerank_adds_up_to_one(spark, sf):

@@ -37,8 +37,8 @@ def test_query_with_heavy_keys(heavy, con, name):
     assert compare.difference(df, con, entry.oracle_sql()[name]) is None
 
 
-def test_only_models_and_sketches_go_without_sql():
-    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"fan_out_approx", "kmeans_anomalies"}
+def test_only_models_go_without_sql():
+    assert set(catalog.QUERIES) - set(catalog.ORACLES) == {"kmeans_anomalies"}
 
 
 def test_entry(spark):

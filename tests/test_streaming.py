@@ -8,7 +8,8 @@ from wardline import streaming
 from wardline.plans import views as v
 from wardline.plans.catalog import QUERIES
 from wardline.session import shared_dir
-from wardline.streaming import drain, event_stream
+from wardline.plans.views import event_stream
+from wardline.streaming import drain
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -105,3 +106,33 @@ def test_stream_forms_equal_batch_forms(spark, sf):
     pairs = QUERIES["stream_correlate"](spark, sf)
     batch = QUERIES["correlate_pairs"](spark, sf)
     assert pairs.count() > 0 and pairs.exceptAll(batch).isEmpty() and batch.exceptAll(pairs).isEmpty()
+
+
+def test_windows_leave_the_state(spark):
+    path = shared_dir(spark, "t")
+    for day in range(6):
+        put(spark, path, [(10 * day + i, 86400 * day + 3600 * i, 1, "error", 1.0) for i in range(3)])
+    out = streaming.stream_tumbling(event_stream(spark, path, "*.parquet"), "1 day", "1 hour")
+    run = (
+        out.writeStream.format("noop").outputMode("append").option("checkpointLocation", shared_dir(spark, "t-ckpt"))
+        .trigger(availableNow=True).start()
+    )
+    run.awaitTermination()
+    kept = [p.stateOperators[0].numRowsTotal for p in run.recentProgress if p.stateOperators]
+    assert len(kept) >= 6 and max(kept) <= 2
+
+
+def test_a_stream_without_input_gives_no_rows(spark):
+    path = shared_dir(spark, "t")
+    put(spark, path, [(1, 0, 1, "error", 1.0)])
+    out = drain(event_stream(spark, path, "none*.parquet"), "t")
+    assert out.count() == 0 and "entity_id" in out.columns
+
+
+def test_unknown_indicators_are_queued_once(spark):
+    path = shared_dir(spark, "t")
+    put(spark, path, [(1, 0, 1, "error", 1.0), (2, 1, 2, "error", 1.0), (3, 2, 2, "error", 1.0), (4, 3, None, "error", 1.0)])
+    put(spark, path, [(5, 4, 2, "error", 1.0), (6, 5, 3, "error", 1.0)])
+    feed = spark.createDataFrame([(1,), (1,), (None,)], "entity_id long")
+    out = streaming.stream_unmatched_iocs(event_stream(spark, path, "*.parquet"), feed, ["entity_id"], "1 day")
+    assert sorted(r.entity_id for r in drain(out, "t").collect()) == [2, 3]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -10,10 +10,12 @@ from wardline.operators.ordered import (
     KeySplit, Running, exact_quantiles, micros, nth_before, previous, profile_keys, running, value_ranks,
 )
 from wardline.operators.same import join_same
-from wardline.operators.sizing import checked_broadcast
+from wardline.operators.sizing import checked_broadcast, measured
 from wardline.session import checkpointed
 
 _US = 1_000_000
+#: So many rules are held as lists next to each event; more are joined.
+MAX_RULES = 2_000
 
 
 def own_key(category: Column) -> Column:
@@ -26,23 +28,50 @@ def category_key(category: Column) -> Column:
     return F.struct(category.isNull().alias("any"), F.coalesce(category.cast("string"), F.lit("")).alias("category"))
 
 
-def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
-    """One row per (event, matching rule); `is_best` marks the event's rule of highest level.
+def _fits(rule: Callable[[str], Column]) -> Column:
+    """Whether a rule's limits take the event; a limit that is null takes all."""
+    return (
+        (rule("min_magnitude").isNull() | (F.col("magnitude") >= rule("min_magnitude")))
+        & (rule("attr_lo").isNull() | (F.col("attr") >= rule("attr_lo")))
+        & (rule("attr_hi").isNull() | (F.col("attr") <= rule("attr_hi")))
+    )
+
+
+def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per (event, matching rule), for a table or a stream of events.
 
     A rule without a category stands under a wildcard key, and each event looks under its
     category and under the wildcard: an equality join, whatever the number of rules.
     """
     keyed = rules.withColumn("_key", category_key(F.col("category"))).drop("category")
     looked = events.withColumn("_key", F.explode(F.array(own_key(F.col("category")), category_key(F.lit(None)))))
-    hits = looked.join(checked_broadcast(keyed), "_key").filter(
-        (F.col("min_magnitude").isNull() | (F.col("magnitude") >= F.col("min_magnitude")))
-        & (F.col("attr_lo").isNull() | (F.col("attr") >= F.col("attr_lo")))
-        & (F.col("attr_hi").isNull() | (F.col("attr") <= F.col("attr_hi")))
-    )
-    # A window partition holds the rules of one event.
-    w = Window.partitionBy("event_id").orderBy(F.desc("rule_level"), "rule_id")
-    return hits.withColumn("is_best", F.row_number().over(w) == 1).select(
-        *events.columns, "rule_id", "rule_level", "is_best"
+    hits = looked.join(checked_broadcast(keyed), "_key").filter(_fits(F.col))
+    return hits.select(*events.columns, "rule_id", "rule_level")
+
+
+def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per (event, matching rule); `is_best` marks the event's rule of highest level, of those the least id.
+
+    Rules that prove to be few are held as one list per category: an event meets all its rules in one
+    row, and nothing is shuffled.  Otherwise rules are joined and the best one is found by event.
+    """
+    rules, few = measured(rules, MAX_RULES)
+    if not few:
+        # A window partition holds the rules of one event.
+        w = Window.partitionBy("event_id").orderBy(F.desc("rule_level"), "rule_id")
+        return rule_hits(events, rules).withColumn("is_best", F.row_number().over(w) == 1)
+    best_first = [F.col("rule_level").isNull().alias("_last"), (-F.col("rule_level").cast("double")).alias("_down")]
+    one = F.struct(*best_first, "rule_id", "rule_level", "min_magnitude", "attr_lo", "attr_hi")
+    lists = checkpointed(rules.groupBy(category_key(F.col("category")).alias("_key")).agg(F.collect_list(one).alias("_rules")))
+    # The rules without a category are one row, for all events.
+    wild = lists.filter("_key.any").select("_rules").scalar()
+    own = F.broadcast(lists.filter("not _key.any"))
+    looked = events.withColumn("_key", own_key(F.col("category"))).join(own, "_key", "left")
+    none = F.array().cast(lists.schema["_rules"].dataType)
+    every = F.concat(F.coalesce("_rules", none), F.coalesce(wild, none))
+    hits = F.sort_array(F.filter("_every", lambda r: _fits(lambda c: r[c])))
+    return looked.withColumn("_every", every).select(*events.columns, F.posexplode(hits).alias("_place", "_rule")).select(
+        *events.columns, "_rule.rule_id", "_rule.rule_level", (F.col("_place") == 0).alias("is_best")
     )
 
 
@@ -249,28 +278,46 @@ def kmeans_anomalies(df: DataFrame, features: Sequence[str], k: int, seed: int,
     return placed.select(*df.columns, "cluster", "distance", (F.col("distance") > cut).alias("flagged"))
 
 
+def _local(df: DataFrame, site: str, cols: Sequence[str]) -> DataFrame:
+    """What leaves a site: number, mean and variance of each column."""
+    figures = [f(c).alias(f"{n}_{c}") for c in cols for n, f in (("n", F.count), ("mean", F.avg), ("var", F.var_samp))]
+    return checkpointed(df.groupBy(site).agg(*figures))
+
+
+def _merged(local: DataFrame, col: str) -> tuple[Column, Column]:
+    """n-weighted mean and pooled deviation of a column."""
+    n, m, var = (F.col(f"{x}_{col}") for x in ("n", "mean", "var"))
+    total = local.agg(F.sum(n)).scalar()
+    mean = local.agg(F.sum(n * m) / F.sum(n)).scalar()
+    inside = (n - 1) * F.coalesce(var, F.lit(0.0))
+    spread = local.select((inside + n * (m - mean) * (m - mean)).alias("s")).agg(F.sum("s")).scalar()
+    return mean, F.when(total > 1, F.sqrt(spread / (total - 1)))
+
+
 def federated_average(df: DataFrame, site: str, col: str) -> DataFrame:
     """Each site's own statistics next to the model merged from them (n-weighted mean, pooled deviation).
 
     Only (n, mean, variance) leave a site; the merged model equals the fit over all rows.
     """
-    local = checkpointed(
-        df.groupBy(site).agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.var_samp(col).alias("var"))
-    )
-    total = local.agg(F.sum("n")).scalar()
-    mean = local.agg(F.sum(F.col("n") * F.col("mean")) / F.sum("n")).scalar()
-    inside = (F.col("n") - 1) * F.coalesce(F.col("var"), F.lit(0.0))
-    between = F.col("n") * (F.col("mean") - mean) * (F.col("mean") - mean)
-    spread = local.select((inside + between).alias("s")).agg(F.sum("s")).scalar()
-    return local.select(
-        site, "n", "mean", "var", mean.alias("global_mean"), F.sqrt(spread / (total - 1)).alias("global_sd")
-    )
+    local = _local(df, site, [col])
+    mean, sd = _merged(local, col)
+    own = [F.col(f"{x}_{col}").alias(x) for x in ("n", "mean", "var")]
+    return local.select(site, *own, mean.alias("global_mean"), sd.alias("global_sd"))
 
 
-def federated_score(df: DataFrame, model: DataFrame, col: str) -> DataFrame:
-    """Score all rows with the merged model."""
-    mean, sd = model.agg(F.max("global_mean")).scalar(), model.agg(F.max("global_sd")).scalar()
-    return df.withColumn("z", (F.col(col) - mean) / sd)
+def federated_score(df: DataFrame, site: str, features: Sequence[str]) -> DataFrame:
+    """z of each feature by the model merged from the sites' own statistics, and `score`, the largest deviation.
+
+    A feature that is null, or the same in all rows, has no z; `score` goes by the others.
+    """
+    local = _local(df, site, features)
+    z = {}
+    for f in features:
+        mean, sd = _merged(local, f)
+        z[f"z_{f}"] = F.when(sd > 0, (F.col(f) - mean) / sd)
+    scored = df.withColumns(z)
+    far = [F.abs(c) for c in z]
+    return scored.withColumn("score", F.greatest(*far) if len(far) > 1 else far[0])
 
 
 def first_seen(df: DataFrame, key: str, value: str, t: str, cut, id_col: str = "event_id") -> DataFrame:
@@ -319,12 +366,9 @@ def flow_aggregate(
         F.count_distinct(peer).alias("n_peers"),
     )
     flows = flows.withColumn("bucket", F.col("_w.start")).drop("_w")
-    # Bucket totals by aggregation: a window over a bucket would put it into one task.
-    whole = (
-        df.groupBy(F.window(t, width).alias("_w"))
-        .agg(F.sum(amount).alias("_all"))
-        .select(F.col("_w.start").alias("bucket"), "_all")
-    )
+    # Bucket totals are sums of the flows at hand: a window over a bucket would put it into one task.
+    flows = checkpointed(flows)
+    whole = flows.groupBy("bucket").agg(F.sum("total").alias("_all"))
     share = F.when(F.col("_all") != 0, F.col("total").cast("double") / F.col("_all").cast("double"))
     return flows.join(checked_broadcast(whole), "bucket").withColumn("share", share).drop("_all")
 

@@ -41,14 +41,15 @@ def apply_scorer(
     return df.withColumn(out, F.pandas_udf(score, returns)(*[F.col(c) for c in cols]))
 
 
-def apply_parser(df: DataFrame, parser: type, returns: str, col: str, keep: Sequence[str]) -> DataFrame:
-    """A user's 1 -> n parser: a class with ``eval(self, value)`` that yields rows."""
-    table = F.udtf(parser, returnType=returns)
-    return df.lateralJoin(table(F.col(col).outer())).select(*keep, *_names(returns))
+def apply_parser(df: DataFrame, parser: type, returns: StructType | str, col: str, keep: Sequence[str]) -> DataFrame:
+    """A user's 1 -> n parser: a class with ``eval(self, value)`` that yields rows; values travel in Arrow batches."""
+    schema = StructType.fromDDL(returns) if isinstance(returns, str) else returns
+    table = F.udtf(parser, returnType=schema, useArrow=True)
+    return df.lateralJoin(table(F.col(col).outer())).select(*keep, *[F.col(f"`{n}`") for n in schema.names])
 
 
-def _names(ddl: str) -> list[str]:
-    return [part.split(":")[0].split()[0] for part in ddl.split(",")]
+#: Keys whose states a task holds at a time.
+HELD_KEYS = 100_000
 
 
 def apply_aggregate(
@@ -64,8 +65,9 @@ def apply_aggregate(
     """A user's grouped reduction in two steps, as Spark's own aggregates work.
 
     `partial` turns a batch of rows into one state row per key, `merge` several state rows per key into one;
-    both keep the columns (key, *state).  States are combined per task before the shuffle and in pieces
-    after it, so no task holds all rows of a key.  `finish` computes the result from the state.
+both keep the columns (key, *state).  A task combines what it reads and holds the states of a bounded
+    number of keys; after the shuffle a key has one state for each time that a task let go of it.
+    `finish` computes the result from the state.
     """
     schema = f"{key} {df.schema[key].dataType.simpleString()}, {state}"
 
@@ -74,17 +76,11 @@ def apply_aggregate(
         for batch in batches:
             part = partial(batch)
             held = part if held is None else merge(pd.concat([held, part]))
-        if held is not None:
-            yield held
-
-    def join(batches):
-        held = None
-        for batch in batches:
-            held = merge(batch) if held is None else merge(pd.concat([held, batch]))
+            if len(held) > HELD_KEYS:
+                yield held
+                held = None
         if held is not None:
             yield held
 
     states = df.select(key, *cols).mapInPandas(combine, schema)
-    # One state per key and input task; they meet by key and are merged batch by batch.
-    met = states.repartition(key).mapInPandas(join, schema)
-    return met.select(key, finish.alias(out))
+    return states.groupBy(key).applyInPandas(merge, schema).select(key, finish.alias(out))

@@ -103,7 +103,7 @@ def ewma(df: DataFrame, key: Sequence[str], t: str, col: str, alpha: float) -> D
     Takes one row per key and day: the list folded here is as long as the calendar.
     """
     rows = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(col).cast("double").alias("x"))))
-    empty = F.array().cast("array<struct<t:date,x:double,e:double>>")
+    empty = F.array().cast(f"array<struct<t:{df.schema[t].dataType.simpleString()},x:double,e:double>>")
 
     def fold(acc, r):
         before = F.element_at(acc, -1)["e"]

@@ -12,7 +12,19 @@ from wardline.session import checkpointed
 def scan_diff(prev: DataFrame, curr: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     """Compare two snapshots: ``new``, ``gone``, ``changed`` or ``same``, with values before and after."""
     pack = lambda df, n: df.select(*keys, F.struct(*cols).alias(n))
-    both = pack(prev, "_b").join(pack(curr, "_a"), list(keys), "full_outer")
+    return _compared(pack(prev, "_b").join(pack(curr, "_a"), list(keys), "full_outer"), keys, cols)
+
+
+def scan_diff_at(
+    finding: DataFrame, cut: Column, keys: Sequence[str], order: Sequence[Column], cols: Sequence[str], t: str = "found_at"
+) -> DataFrame:
+    """`scan_diff` of the latest findings before the time `cut` and of all: one pass, one aggregate."""
+    row = F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order)], F.struct(*cols).alias("_v"))
+    both = finding.groupBy(*keys).agg(F.max(F.when(F.col(t) < cut, row))["_v"].alias("_b"), F.max(row)["_v"].alias("_a"))
+    return _compared(both, keys, cols)
+
+
+def _compared(both: DataFrame, keys: Sequence[str], cols: Sequence[str]) -> DataFrame:
     status = (
         F.when(F.col("_b").isNull(), "new")
         .when(F.col("_a").isNull(), "gone")
@@ -68,22 +80,68 @@ def threat_score(alerts: DataFrame, as_of: str, half_life_s: int, key: str = "en
     )
 
 
+def _weight(weights: dict[str, float]) -> Column:
+    weight = F.lit(0.0)
+    for mission, w in weights.items():
+        weight = F.when(F.col("mission") == mission, F.lit(float(w))).otherwise(weight)
+    return weight
+
+
 def criticality_score(asset: DataFrame, weights: dict[str, float], centrality: DataFrame) -> DataFrame:
     """Mission weight x (1 + centrality / its maximum), scaled to 0-10; an asset outside the graph has centrality 0.
 
     `centrality` (node, total) is read twice, so it had better be materialised, as `degree_centrality` returns it.
     """
-    weight = F.lit(0.0)
-    for mission, w in weights.items():
-        weight = F.when(F.col("mission") == mission, F.lit(float(w))).otherwise(weight)
     links = centrality.select(F.col("node").alias("asset_id"), F.col("total").alias("_deg"))
     most = links.agg(F.max("_deg")).scalar()
     share = F.when(most > 0, F.coalesce(F.col("_deg"), F.lit(0)) / most).otherwise(0.0)
-    raw = checkpointed(asset.join(links, "asset_id", "left").select("asset_id", (weight * (1 + share)).alias("_raw")))
+    raw = checkpointed(asset.join(links, "asset_id", "left").select("asset_id", (_weight(weights) * (1 + share)).alias("_raw")))
     top = raw.agg(F.max("_raw")).scalar()
     return raw.select("asset_id", F.when(top > 0, F.col("_raw") / top * 10).otherwise(0.0).alias("criticality"))
 
 
+def mission_criticality(
+    asset: DataFrame, weights: dict[str, float], uses: DataFrame, hops: int, keep: float = 0.5
+) -> DataFrame:
+    """(node, criticality): the weight of the weightiest mission that needs a node, times `keep` per step of dependence.
+
+    An asset has its own mission's weight; what it uses (src uses dst) is needed by that mission too, and so on for
+    `hops` steps.  Nodes that no mission of weight above 0 reaches are left out.  A hop keeps one number per node,
+    combined before the shuffle, so a node that everything uses is no larger than another.
+    """
+    links = checkpointed(uses.select("src", "dst").distinct()) if hops else None
+    own = asset.select(F.col("asset_id").alias("node"), _weight(weights).alias("criticality")).filter("criticality > 0")
+    now = own.groupBy("node").agg(F.max("criticality").alias("criticality"))
+    for _ in range(hops):
+        passed = links.join(now, F.col("src") == F.col("node")).select(
+            F.col("dst").alias("node"), (F.col("criticality") * F.lit(keep)).alias("criticality")
+        )
+        now = checkpointed(now.unionByName(passed).groupBy("node").agg(F.max("criticality").alias("criticality")))
+    return now
+
+
+def service_risk(service: DataFrame, affected: DataFrame, latest: DataFrame, risk: DataFrame) -> DataFrame:
+    """Risk of every service: the worst, over its vulnerabilities, of asset risk x highest open score / 10.
+
+    Inputs: services (service_id), affected (service_id, vuln_id), latest findings (asset_id, vuln_id, cvss, state)
+    and asset risks (asset_id, risk).  Findings are combined per vulnerability before they meet the services, so a
+    vulnerability of many services and many assets makes no pairs.  A service without one has risk 0.
+    """
+    at_risk = latest.filter(F.col("state") == "open").join(risk.select("asset_id", "risk"), "asset_id")
+    per = at_risk.groupBy("vuln_id").agg(
+        F.count("*").alias("_assets"), (F.max("risk") * F.max("cvss") / 10).alias("_risk")
+    )
+    own = (
+        affected.select("service_id", "vuln_id").distinct().join(per, "vuln_id", "left").groupBy("service_id")
+        .agg(F.count("*").alias("_n"), F.sum("_assets").alias("_assets"), F.max("_risk").alias("_risk"))
+    )
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    return service.select("service_id").join(own, "service_id", "left").select(
+        "service_id", zero("_n").alias("n_vulns"), zero("_assets").alias("n_findings"),
+        F.coalesce("_risk", F.lit(0.0)).alias("risk"),
+    )
+
+
 def base_risk(
     crit: DataFrame, threat: DataFrame, cvss: DataFrame, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wardline.functions import url_host
 from wardline.operators import behaviour, detect, enrich
 from wardline.operators.normalize import EMAIL
+from wardline.operators.same import join_same
 from wardline.plans import views as v
 from wardline.plans.registry import query
 from wardline.plans.views import with_views
@@ -237,6 +238,17 @@ def federated_average(spark, sf):
     return model.withColumns({c: F.round(c, 6) for c in ("mean", "var", "global_mean", "global_sd")})
 
 
+@query("federated_score", with_views("tel asset", """, j AS (SELECT event_id, magnitude, level, attr FROM tel JOIN asset ON entity_id = asset_id),
+ m AS (SELECT avg(magnitude) AS m1, stddev_samp(magnitude) AS s1, avg(level) AS m2, stddev_samp(level) AS s2, avg(attr) AS m3, stddev_samp(attr) AS s3 FROM j),
+ z AS (SELECT event_id, (magnitude - m1) / s1 AS z1, (level - m2) / s2 AS z2, (attr - m3) / s3 AS z3 FROM j, m)
+SELECT event_id, round(z1, 6) AS z_magnitude, round(z2, 6) AS z_level, round(z3, 6) AS z_attr, round(greatest(abs(z1), abs(z2), abs(z3)), 6) AS score FROM z"""))
+def federated_score(spark, sf):
+    t = v.tel(spark, sf).select("event_id", "entity_id", "magnitude", "level", "attr")
+    t = enrich.asset_context(t, v.asset(spark, sf).select("asset_id", "site"))
+    scored = detect.federated_score(t, "site", ["magnitude", "level", "attr"])
+    return scored.select("event_id", *[F.round(c, 6).alias(c) for c in ("z_magnitude", "z_level", "z_attr", "score")])
+
+
 @query("first_seen", with_views("tel", """SELECT entity_id, attr, arg_min(event_id, (ts, event_id)) AS first_id,
  min(ts) >= TIMESTAMP '2024-01-20' AS is_new FROM tel GROUP BY entity_id, attr"""))
 def first_seen(spark, sf):
@@ -271,9 +283,13 @@ def fan_out(spark, sf):
     return detect.fan_out(v.tel(spark, sf), "src", "dst", "1 day", 4)
 
 
-@query("fan_out_approx")
+@query("fan_out_approx", with_views("tel", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS bucket, src, count(DISTINCT dst) AS n_peers, TRUE AS is_near FROM tel GROUP BY ALL HAVING count(DISTINCT dst) > 0"""))
 def fan_out_approx(spark, sf):
-    return detect.fan_out(v.tel(spark, sf), "src", "dst", "1 day", 4, approx=True)
+    # The exact count, and whether the sketch lies within four standard errors of 5 % (or 1) of it.
+    count = lambda approx: detect.fan_out(v.tel(spark, sf), "src", "dst", "1 day", 1, approx=approx)
+    both = join_same(count(False), count(True).withColumnRenamed("n_peers", "about"), ["bucket", "src"])
+    near = F.abs(F.col("about") - F.col("n_peers")) <= F.greatest(F.lit(1.0), 0.2 * F.col("n_peers"))
+    return both.select("bucket", "src", "n_peers", near.alias("is_near"))
 
 
 @query("explain_anomaly", with_views("tel", """, st AS (SELECT avg(volume) AS m1, stddev_samp(volume) AS s1, avg(magnitude) AS m2, stddev_samp(magnitude) AS s2,
@@ -346,12 +362,14 @@ def timeline(spark, sf):
     return lines.select("entity_id", "source", "ref_id", "seq")
 
 
+# The check has its own words for the same texts.
+SQL_HUNTS = {"token": "token = .(?:[0-9]|[a-f]){40}", "mail": r"[\w.+-]+@[[:alnum:]-]+(?:\.[[:alpha:]]+)+"}
 HUNTS = {"token": ("token = .[0-9a-f]{40}", "token = "), "mail": (EMAIL, "@")}
 
 
 @query("hunt_text", "WITH h AS (" + " UNION ALL ".join(
     f"""SELECT doc_id, '{n}' AS hunt, text, regexp_extract(text, '{p}') AS m, CAST(len(regexp_extract_all(text, '{p}')) AS BIGINT) AS hits FROM documents"""
-    for n, (p, _) in HUNTS.items()
+    for n, p in SQL_HUNTS.items()
 ) + """) SELECT doc_id, hunt, hits, substr(text, greatest(strpos(text, m) - 20, 1), strpos(text, m) - greatest(strpos(text, m) - 20, 1) + length(m) + 20) AS snippet
  FROM h WHERE hits > 0""")
 def hunt_text(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wardline.operators import graph, privacy, response, risk as risk_ops, surface
+from wardline.operators import enrich, graph, privacy, response, risk as risk_ops, surface
 from wardline.plans import posture, views as v
 from wardline.plans.registry import query
 from wardline.plans.views import with_views
@@ -62,9 +62,16 @@ def pseudonymize(spark, sf):
     return privacy.pseudonymize(v.tel(spark, sf).select("event_id", "entity_id"), ["entity_id"], "pepper:")
 
 
+# The check has its own words for the same texts.
+_SQL_REDACTIONS = {
+    "EMAIL": r"[\w.+-]+@[[:alnum:]-]+(?:\.[[:alpha:]]+)+", "HASH": "[[:xdigit:]]{40,}",
+    "CARD": "(?:[0-9]{4}[ -]?){3}[0-9]{4}", "IP": "(?:[0-9]{1,3}[.]){3}[0-9]{1,3}",
+}
+
+
 def _sql_redact():
     text, parts = "text", []
-    for tag, pattern in privacy.REDACTIONS.items():
+    for tag, pattern in _SQL_REDACTIONS.items():
         parts.append(f"len(regexp_extract_all({text}, '{pattern}'))")
         text = f"regexp_replace({text}, '{pattern}', '[{tag}]', 'g')"
     return f"SELECT doc_id, {text} AS text, CAST({' + '.join(parts)} AS BIGINT) AS n_redacted FROM documents"
@@ -88,9 +95,8 @@ SELECT coalesce(p.asset_id, c.asset_id) AS asset_id, coalesce(p.vuln_id, c.vuln_
  FROM p FULL OUTER JOIN c ON p.asset_id = c.asset_id AND p.vuln_id = c.vuln_id"""))
 def scan_diff(spark, sf):
     f = v.finding(spark, sf)
-    now = lambda df: surface.latest_findings(df, ["asset_id", "vuln_id"], surface.finding_order(), ["cvss", "state"])
-    before = now(f.filter(F.col("found_at") < F.lit("1998-07-01").cast("timestamp_ntz")))
-    diff = surface.scan_diff(before, now(f), ["asset_id", "vuln_id"], ["cvss", "state"])
+    cut = F.lit("1998-07-01").cast("timestamp_ntz")
+    diff = surface.scan_diff_at(f, cut, ["asset_id", "vuln_id"], surface.finding_order(), ["cvss", "state"])
     text, number = (lambda c: F.coalesce(c, F.lit(""))), (lambda c: F.coalesce(c, F.lit(-1)))
     return diff.withColumns(
         {
@@ -125,6 +131,26 @@ def base_risk(spark, sf):
     return posture.risk(spark, sf).withColumns(_r6("criticality", "threat"))
 
 
+@query("mission_criticality", with_views("asset link", f""", c0 AS (SELECT asset_id AS node, {posture._WEIGHT} AS c FROM asset),
+ c1 AS (SELECT node, max(c) AS c FROM (SELECT * FROM c0 UNION ALL SELECT dst, c * 0.5::DOUBLE FROM link JOIN c0 ON src = node) GROUP BY node),
+ c2 AS (SELECT node, max(c) AS c FROM (SELECT * FROM c1 UNION ALL SELECT dst, c * 0.5::DOUBLE FROM link JOIN c1 ON src = node) GROUP BY node)
+SELECT node, round(CAST(c AS DOUBLE), 6) AS criticality FROM c2 WHERE c > 0"""))
+def mission_criticality(spark, sf):
+    return surface.mission_criticality(v.asset(spark, sf), v.MISSION_WEIGHTS, v.link(spark, sf), 2).withColumns(_r6("criticality"))
+
+
+@query("service_risk", with_views("service vuln_feed latest risk", """, a AS (SELECT service_id, vuln_id FROM service s JOIN vuln_feed f ON s.vendor = f.vendor
+ WHERE major * 1000 + minor >= 1010 AND (hi IS NULL OR major * 1000 + minor < 2025)),
+ p AS (SELECT vuln_id, count(*) AS n, max(r.risk) * max(l.cvss) / 10 AS worst FROM latest l JOIN risk r ON l.asset_id = r.asset_id WHERE state = 'open' GROUP BY vuln_id),
+ o AS (SELECT service_id, count(*) AS n_vulns, sum(n) AS n_findings, max(worst) AS risk FROM a LEFT JOIN p ON a.vuln_id = p.vuln_id GROUP BY service_id)
+SELECT s.service_id, coalesce(n_vulns, 0) AS n_vulns, CAST(coalesce(n_findings, 0) AS BIGINT) AS n_findings, round(coalesce(o.risk, 0), 4) AS risk FROM service s LEFT JOIN o ON s.service_id = o.service_id"""))
+def service_risk(spark, sf):
+    services = v.service(spark, sf)
+    affected = enrich.match_vulnerabilities(services, v.vuln_feed(spark, sf))
+    out = surface.service_risk(services, affected, posture.latest(spark, sf), posture.risk(spark, sf))
+    return out.withColumn("risk", F.round("risk", 4))
+
+
 # -- graph -----------------------------------------------------------------------
 
 @query("build_edges", with_views("edge", "SELECT src, dst, n, CAST(bytes AS DOUBLE) AS bytes, first_ts, last_ts FROM edge"))

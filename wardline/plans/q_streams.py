@@ -15,10 +15,10 @@ from wardline.operators.ordered import exact_quantiles
 from wardline.operators.sizing import checked_broadcast
 from wardline.plans import views as v
 from wardline.plans.registry import query
-from wardline.plans.views import EVENTS_SCHEMA, with_views
+from wardline.plans.views import EVENTS_SCHEMA, event_stream, with_views
 from wardline.session import shared_dir
 from wardline.sources import replay_tail
-from wardline.streaming import drain, event_stream
+from wardline.streaming import drain
 
 HOUR, DAY = 3600, 86400
 
@@ -38,27 +38,42 @@ def _files(spark, df, n: int) -> str:
     return path
 
 
+def _ending_stream(spark, sf):
+    """All events as a stream, then a closing row of each kind long after the last one: it moves the watermark past all results."""
+    events = v.table(spark, sf, "events")
+    last = events.agg(F.max("event_id").alias("e"), F.max("ts").alias("t"))
+    closing = last.select(
+        (F.col("e") + 1).alias("event_id"), (F.col("t") + F.expr("interval 60 days")).alias("ts"),
+        F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("signup"), F.lit("error"))).alias("event_type"),
+        F.lit(0.0).alias("value"), F.lit("{}").alias("props"),
+    )
+    path = shared_dir(spark, "events")
+    events.write.parquet(path)
+    closing.coalesce(1).write.mode("append").parquet(path)
+    return event_stream(spark, path, "*.parquet", None)
+
+
 @query("stream_tumbling", with_views("tel", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", category,
  count(*) AS n, CAST(sum(CAST(magnitude AS DECIMAL(18,2))) AS DOUBLE) AS total FROM tel GROUP BY ALL"""))
 def stream_tumbling(spark, sf):
-    out = streaming.stream_tumbling(event_stream(spark, sf), "1 day", "1 hour")
-    return _batch_types(drain(out, "tumbling", "complete"), "start", "end")
+    out = streaming.stream_tumbling(_ending_stream(spark, sf), "1 day", "1 hour")
+    return _batch_types(drain(out, "tumbling"), "start", "end")
 
 
 @query("stream_sliding", with_views("tel", """SELECT CAST(date_trunc('day', ts) - CAST(i AS INT) * INTERVAL 1 DAY AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + (2 - CAST(i AS INT)) * INTERVAL 1 DAY AS TIMESTAMP) AS "end",
  category, count(*) AS n, CAST(sum(CAST(magnitude AS DECIMAL(18,2))) AS DOUBLE) AS total FROM tel, range(2) t(i) GROUP BY ALL"""))
 def stream_sliding(spark, sf):
-    out = streaming.stream_sliding(event_stream(spark, sf), "2 days", "1 day", "1 hour")
-    return _batch_types(drain(out, "sliding", "complete"), "start", "end")
+    out = streaming.stream_sliding(_ending_stream(spark, sf), "2 days", "1 day", "1 hour")
+    return _batch_types(drain(out, "sliding"), "start", "end")
 
 
 @query("stream_sessions", with_views("alerts", """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS s FROM alerts WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)),
  i AS (SELECT *, sum(s) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT entity_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, max(level) AS max_level FROM i GROUP BY entity_id, k"""))
 def stream_sessions(spark, sf):
-    alerts = event_stream(spark, sf).filter("category = 'error'")
+    alerts = _ending_stream(spark, sf).filter("category = 'error'")
     out = streaming.stream_sessions(alerts, "entity_id", "6 hours", "1 hour")
-    return _batch_types(drain(out, "sessions", "complete"), "start", "end")
+    return _batch_types(drain(out, "sessions"), "start", "end")
 
 
 @query("stream_dedup", "SELECT event_id, event_type FROM events")
@@ -76,22 +91,25 @@ def stream_enrich(spark, sf):
     return drain(out.select("event_id", "attr", F.coalesce("severity", F.lit(0)).alias("severity"), "is_hit"), "enrich")
 
 
+@query("stream_match_rules", with_views("tel rule", """SELECT event_id, rule_id, rule_level FROM tel JOIN rule ON (rule.category IS NULL OR tel.category = rule.category)
+ AND magnitude >= min_magnitude AND attr BETWEEN attr_lo AND attr_hi"""))
+def stream_match_rules(spark, sf):
+    events = event_stream(spark, sf).select("event_id", "category", "magnitude", "attr")
+    return drain(streaming.stream_match_rules(events, v.rule(spark)).select("event_id", "rule_id", "rule_level"), "rules")
+
+
+@query("stream_unmatched_iocs", with_views("tel", "SELECT DISTINCT attr FROM tel WHERE attr >= 30"))
+def stream_unmatched_iocs(spark, sf):
+    feed = v.tel(spark, sf).filter("attr < 30").select("attr")
+    return drain(streaming.stream_unmatched_iocs(event_stream(spark, sf), feed, ["attr"], "40 days").select("attr"), "unmatched")
+
+
 @query("stream_correlate", with_views("tel", """SELECT b.entity_id, b.event_id AS effect_id, arg_max(a.event_id, (a.ts, a.event_id)) AS cause_id, count(*) AS n_causes
  FROM tel a JOIN tel b ON a.entity_id = b.entity_id AND b.ts > a.ts AND epoch_us(b.ts) - epoch_us(a.ts) <= 43200000000
  WHERE a.category = 'signup' AND b.category = 'error' GROUP BY b.entity_id, b.event_id"""))
 def stream_correlate(spark, sf):
-    # One closing row per stream, long after the last event, moves the watermark past all results.
-    events = v.table(spark, sf, "events")
-    last = events.agg(F.max("event_id").alias("e"), F.max("ts").alias("t"))
-    closing = last.select(
-        (F.col("e") + 1).alias("event_id"), (F.col("t") + F.expr("interval 60 days")).alias("ts"),
-        F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("signup"), F.lit("error"))).alias("event_type"),
-        F.lit(0.0).alias("value"), F.lit("{}").alias("props"),
-    )
-    path = shared_dir(spark, "events")
-    events.write.parquet(path)
-    closing.coalesce(1).write.mode("append").parquet(path)
-    of = lambda kind: event_stream(spark, path, "*.parquet", 100).filter(F.col("category") == kind)
+    events = _ending_stream(spark, sf)
+    of = lambda kind: events.filter(F.col("category") == kind)
     out = streaming.stream_correlate(of("signup"), of("error"), "entity_id", 12 * HOUR, "1 hour")
     return drain(out, "correlate").select("entity_id", "effect_id", "cause_id", "n_causes")
 
@@ -109,13 +127,12 @@ def stream_throttle(spark, sf):
 
 @query("stream_late_split", with_views("tel", """SELECT event_id, category = 'purchase' AND epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM tel WHERE category <> 'purchase') - 86400000000 AS late FROM tel"""))
 def stream_late_split(spark, sf):
-    # Purchases arrive in a later file than their neighbours.
+    # Purchases arrive later than their neighbours; each arrival is one batch of as many files as there are.
     events = v.table(spark, sf, "events")
-    path = shared_dir(spark, "events")
-    events.filter("event_type <> 'purchase'").coalesce(1).write.parquet(path)
-    events.filter("event_type = 'purchase'").coalesce(1).write.mode("append").parquet(path)
-    out, ckpt = shared_dir(spark, "late"), shared_dir(spark, "late-ckpt")
-    streaming.split_late(event_stream(spark, path, "*.parquet"), out, ckpt, DAY).awaitTermination()
+    path, out, ckpt = (shared_dir(spark, n) for n in ("events", "late", "late-ckpt"))
+    for arrival in ("event_type <> 'purchase'", "event_type = 'purchase'"):
+        events.filter(arrival).write.mode("append").parquet(path)
+        streaming.split_late(event_stream(spark, path, "*.parquet", None), out, ckpt, DAY).awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("event_id", F.col("late").cast("boolean").alias("late"))
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from wardline.functions import find_all, url_host
 from wardline.operators.graph import build_edges
 from wardline.operators.normalize import normalize_events
+from wardline.streaming.sinks import stream_buffered
 
 # Schemas of the tables: reading with them opens no file before the query runs.
 SCHEMAS = {
@@ -70,6 +71,14 @@ def tel(spark: SparkSession, sf: str) -> DataFrame:
     return canonical(table(spark, sf, "events"))
 
 
+def event_stream(
+    spark: SparkSession, path: str, pattern: str = "events.parquet", max_files: int | None = 1
+) -> DataFrame:
+    """Canonical events as a stream, with a TIMESTAMP event time."""
+    raw = stream_buffered(spark, path, EVENTS_SCHEMA, max_files, pattern)
+    return canonical(raw).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
 def alerts(spark: SparkSession, sf: str) -> DataFrame:
     return tel(spark, sf).filter(F.col("category") == "error")
 

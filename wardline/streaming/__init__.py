@@ -1,11 +1,12 @@
 """Structured Streaming forms of the operators."""
 
-from wardline.streaming.joins import stream_correlate, stream_enrich
-from wardline.streaming.sinks import compact_table, current_table, drain, event_stream, split_late, stream_buffered, stream_upsert
+from wardline.streaming.joins import stream_correlate, stream_enrich, stream_match_rules, stream_unmatched_iocs
+from wardline.streaming.sinks import compact_table, current_table, drain, split_late, stream_buffered, stream_upsert
 from wardline.streaming.state import stream_dedup, stream_throttle
 from wardline.streaming.windows import stream_sessions, stream_sliding, stream_tumbling
 
 __all__ = [
-    "compact_table", "current_table", "drain", "event_stream", "split_late", "stream_buffered", "stream_correlate", "stream_dedup", "stream_enrich",
-    "stream_sessions", "stream_sliding", "stream_throttle", "stream_tumbling", "stream_upsert",
+    "compact_table", "current_table", "drain", "split_late", "stream_buffered", "stream_correlate", "stream_dedup", "stream_enrich",
+    "stream_match_rules", "stream_sessions", "stream_sliding", "stream_throttle", "stream_tumbling", "stream_unmatched_iocs",
+    "stream_upsert",
 ]

@@ -6,7 +6,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from wardline.operators.detect import rule_hits
 from wardline.operators.sizing import checked_broadcast
+from wardline.streaming.state import stream_dedup
 
 
 def stream_enrich(sdf: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -20,6 +22,24 @@ def stream_enrich(sdf: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFra
     )
 
 
+def stream_match_rules(sdf: DataFrame, rules: DataFrame) -> DataFrame:
+    """One row per (streamed event, matching rule), as in the batch form but for `is_best`; keeps no state."""
+    return rule_hits(sdf, rules)
+
+
+def stream_unmatched_iocs(
+    sdf: DataFrame, feed: DataFrame, on: Sequence[str], delay: str, t: str = "ts", salts: int = 8
+) -> DataFrame:
+    """Streamed indicators that the feed does not know, each once within the delay: what has to be looked up.
+
+    A null is no indicator.  `salts` spreads the copies of a frequent one before the last step, as in `stream_dedup`.
+    """
+    on = list(on)
+    known = checked_broadcast(feed.select(*on).distinct())
+    unknown = sdf.select(*on, t).dropna(subset=on).join(known, on, "left_anti")
+    return stream_dedup(unknown, on, delay, t, salts).select(*on, t)
+
+
 def stream_correlate(
     causes: DataFrame, effects: DataFrame, key: str, within_s: int, delay: str, t: str = "ts", id_col: str = "event_id"
 ) -> DataFrame:

@@ -10,48 +10,29 @@ from wardline.session import shared_dir
 
 
 def stream_buffered(
-    spark: SparkSession, path: str, schema: StructType | str, max_files: int, pattern: str | None = None, fmt: str = "parquet"
+    spark: SparkSession, path: str, schema: StructType | str, max_files: int | None, pattern: str | None = None, fmt: str = "parquet"
 ) -> DataFrame:
-    """A file stream in batches of at most `max_files`: a slow sink delays rows but never loses one."""
-    reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", max_files)
+    """A file stream in batches of at most `max_files` (None: all that is there): a slow sink delays rows but never loses one."""
+    reader = spark.readStream.schema(schema).format(fmt)
+    if max_files:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     return reader.load(path)
 
 
-def event_stream(spark: SparkSession, path: str, pattern: str = "events.parquet", max_files: int = 1) -> DataFrame:
-    """Canonical events as a stream, with a TIMESTAMP event time."""
-    from wardline.plans.views import EVENTS_SCHEMA, canonical
-
-    raw = stream_buffered(spark, path, EVENTS_SCHEMA, max_files, pattern)
-    return canonical(raw).withColumn("ts", F.col("ts").cast("timestamp"))
-
-
-def drain(sdf: DataFrame, name: str, mode: str = "append") -> DataFrame:
+def drain(sdf: DataFrame, name: str) -> DataFrame:
     """Run a stream over all that is there now and return what it wrote to the shared folder."""
     spark = sdf.sparkSession
     out, ckpt = shared_dir(spark, name), shared_dir(spark, f"{name}-ckpt")
-    if mode == "append":
-        query = (
-            sdf.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
-            .trigger(availableNow=True).start(out)
-        )
-        query.awaitTermination()
-        return spark.read.schema(sdf.schema).parquet(out)
-
-    last = {}
-
-    def keep(batch: DataFrame, epoch: int) -> None:
-        # A batch that is tried again writes the same folder again.
-        batch.write.mode("overwrite").parquet(f"{out}/v={epoch}")
-        last["epoch"] = epoch
-
+    # The result of a stream without input; what the stream writes takes its place.
+    spark.createDataFrame([], sdf.schema).write.parquet(out)
     query = (
-        sdf.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", ckpt)
-        .trigger(availableNow=True).start()
+        sdf.writeStream.format("parquet").outputMode("append").option("checkpointLocation", ckpt)
+        .trigger(availableNow=True).start(out)
     )
     query.awaitTermination()
-    return spark.read.schema(sdf.schema).parquet(f"{out}/v={last['epoch']}")
+    return spark.read.schema(sdf.schema).parquet(out)
 
 
 def stream_upsert(sdf: DataFrame, path: str, ckpt: str, key: str, order: list[str]) -> StreamingQuery:
