@@ -196,6 +196,43 @@ def test_losses_match_brute_force(spark):
     assert lm_score.score(d, d.select("doc_id").limit(0)).count() == len(texts)
 
 
+@pytest.mark.parametrize("named", [0, 700])
+def test_every_word_and_pair_has_a_count_of_its_own(spark, named):
+    rng = random.Random(4)
+    # Far more words and pairs than fixed tables of 32,768 and 524,288 places hold apart, repeated and null ids among the rows.
+    lists = [[f"w{rng.randrange(40_000)}" for _ in range(2_000)] for _ in range(270)]
+    lists += [[f"w{int(rng.paretovariate(0.5))}" for _ in range(500)] for _ in range(60)] + [["a", "b", "a"], [], ["a", "b", "a"]]
+    ids = [i if i % 7 else [None, 3][i % 2] for i in range(len(lists))]
+    target = {i for i in ids if i is not None and i % 3 == 0}
+    d = docs(spark, [" ".join(x) for x in lists], ids=ids)
+    got = lm_score.score(d, spark.createDataFrame([(i,) for i in target], "doc_id long"), named=named).collect()
+    uni, ctx, pair, total = ([Counter(), Counter()] for _ in range(4))
+    pairs = lambda x: list(zip(["^", *x], x))
+    for i, x in zip(ids, lists):
+        for side in (0, 1) if i in target else (0,):
+            uni[side].update(x)
+            ctx[side].update([*x, *(["^"] if x else [])])
+            pair[side].update(pairs(x))
+            total[side]["n"] += len(x)
+    assert len(uni[0]) > 1 << 15 and len(pair[0]) > 1 << 19
+
+    def loss(i, x, side):
+        scale = 1.0 if side else total[1]["n"] / total[0]["n"]
+        own = side == 0 or i in target
+        own_uni, own_pair = (Counter(x), Counter(pairs(x))) if own else (Counter(), Counter())
+        out = []
+        for v, w in pairs(x):
+            p = ((uni[side][w] - own_uni[w]) * scale + 1) / ((total[side]["n"] - own * len(x)) * scale + len(uni[0]) + 1)
+            n = (ctx[side][v] - (own if v == "^" else own_uni[v])) * scale
+            out.append(-math.log(((pair[side][v, w] - own_pair[v, w]) * scale + lm_score.STRENGTH * p) / (n + lm_score.STRENGTH)))
+        return sum(out) / len(out)
+
+    figures = lambda rows: sorted((-1 if i is None else i, n, *(() if a is None else (a, b))) for i, n, a, b in rows)
+    want = figures((i, len(x), loss(i, x, 1) if x else None, loss(i, x, 0) if x else None) for i, x in zip(ids, lists))
+    have = figures((r.doc_id, r.n_words, r.target_loss, r.background_loss) for r in got)
+    assert len(want) == len(have) and all(a == pytest.approx(b, abs=1e-6) for a, b in zip(want, have))
+
+
 # -- op 5
 
 
