@@ -6,6 +6,7 @@ is written as Parquet and read again for the next one.  All but the last return
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.llm import ngram_join, pfair, pieces, quality_bayes, quality_rules
@@ -28,6 +29,21 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
     return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti").select(*COLUMNS)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """`docs` with `row`, a hash of the file and place that the row is written at; equal rows have rows of their own."""
+    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    try:
+        return docs.select(*COLUMNS, row)
+    except AnalysisException:
+        # Not straight from files.
+        return saved(docs, "numbered").select(*COLUMNS, row)
+
+
+def _but(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """The rows of `docs` (numbered) that are not in `dropped`."""
+    return docs.join(checked_broadcast(dropped.select("row")), "row", "left_anti").select(*COLUMNS)
+
+
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the documents that text, source and language together show as bad."""
     verdict = quality_bayes.classify(docs, _labels(spark, sf_dir))
@@ -41,14 +57,9 @@ def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies.
-
-    Where ids repeat, one row of each id stays.
-    """
-    found = saved(ngram_join.jaccard_components(docs), "found")
-    out = _without(docs, found.groupBy("doc_id").agg(F.max("keeper").alias("keeper")).where("not keeper"))
-    twice = found.where("keeper").groupBy("doc_id").count().where("count > 1 or doc_id is null").limit(1).count()
-    return out.dropDuplicates(["doc_id"]) if twice else out
+    """The keeper row of each group of near copies, whatever ids its rows have."""
+    docs = _numbered(docs)
+    return _but(docs, ngram_join.jaccard_components(docs, row="row").where("not keeper"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

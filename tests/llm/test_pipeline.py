@@ -32,3 +32,15 @@ def test_odd_documents_pass_through(spark, sf):
         for name, stage in cp.STAGES:
             docs = saved(stage(spark, docs, sf), name)
         assert docs.count() >= 0
+
+
+def _stored(spark, rows):
+    return saved(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long"), "stored")
+
+
+def test_one_row_of_each_group_of_near_copies_stays(spark, sf):
+    text = " ".join(f"w{i}" for i in range(40))
+    rows = [(4, text), (4, text), (9, text + " extra"), (9, "other words here"), (None, text), (None, "alone in the world"), (7, None), (7, None)]
+    docs = _stored(spark, [(i, t, "en", "src0", 0) for i, t in rows])
+    left = [(r.doc_id, r.text) for r in cp.deduplicated(spark, docs, sf).collect()]
+    assert sorted(left, key=str) == sorted([(4, text), (9, "other words here"), (None, "alone in the world"), (7, None), (7, None)], key=str)

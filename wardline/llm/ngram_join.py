@@ -125,6 +125,7 @@ def _features(k: int, percent: int):
                 at = np.concatenate([[0], np.cumsum([len(x) for x in key])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
+                        *batch.columns[2:],
                         batch.column(0),
                         pa.array(n, pa.int64()),
                         pa.array(a, pa.int64()),
@@ -132,7 +133,7 @@ def _features(k: int, percent: int):
                         pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate(key), pa.int64())),
                         pa.array(vec, pa.binary()),
                     ],
-                    names=["id", "n", "mark_a", "mark_b", "cells", "vec"],
+                    names=[*batch.schema.names[2:], "id", "n", "mark_a", "mark_b", "cells", "vec"],
                 )
 
     return run
@@ -273,7 +274,7 @@ def _page_pairs(percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = 5, percent: int = 80, row: str | None = None) -> DataFrame:
     """Per row of `docs`: its id, n_shingles, component_id, and `keeper` (true for one row of each component).
 
     Words are runs of characters other than the six ASCII white space ones, with A-Z lower-cased.  Two rows
@@ -283,13 +284,15 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     their own: equal ones get equal results, one of them is the keeper.  A null id takes part in links, and is
     nobody's component_id unless all ids of the component are null.  An empty table gives no rows.
 
+    `row` names a long column that tells all rows apart, and adds it to the result as `row`.
     `percent` is at least 50, so that every document differs from its partners in less than it has.
     """
     if not 50 <= percent <= 100:
         raise ValueError("percent is between 50 and 100")
-    docs = require(docs, doc_id, text).toDF("id", "text")
+    tags = ["tag"] if row else []
+    docs = require(docs, doc_id, text, *([row] if row else [])).toDF("id", "text", *tags)
     id_type = docs.schema["id"].dataType.simpleString()
-    schema = f"id {id_type}, n long, mark_a long, mark_b long, cells array<long>, vec binary"
+    schema = f"{'tag long, ' if row else ''}id {id_type}, n long, mark_a long, mark_b long, cells array<long>, vec binary"
     rows = saved(docs.mapInArrow(_features(k, percent), schema).withColumn("row", F.monotonically_increasing_id()), "shingles")
 
     # Equal sets are one node, named by its first row.
@@ -384,7 +387,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     named = nodes.join(known, "node", "left").select("mark_a", "mark_b", "n", "node", "first_id", F.coalesce("component", "node").alias("component"))
     smallest = named.groupBy("component").agg(F.min("first_id").alias("component_id"))
     named = named.join(smallest, "component").select("mark_a", "mark_b", "n", "component", "component_id")
-    out = saved(rows.select("row", "id", "n", "mark_a", "mark_b").join(named, ["mark_a", "mark_b", "n"], "left"), "found")
+    out = saved(rows.select("row", "id", "n", "mark_a", "mark_b", *tags).join(named, ["mark_a", "mark_b", "n"], "left"), "found")
     first = out.where("n > 0").groupBy("component").agg(F.min(F.struct(~F.col("id").eqNullSafe(F.col("component_id")), F.col("row"))).alias("x"))
     keepers = first.select(F.col("x.row").alias("row"), F.lit(True).alias("keeper"))
     out = out.join(keepers, "row", "left")
@@ -393,4 +396,5 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         F.col("n").alias("n_shingles"),
         F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"),
         F.coalesce("keeper", F.col("n") == 0).alias("keeper"),
+        *[F.col(c).alias("row") for c in tags],
     )
