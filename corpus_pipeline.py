@@ -23,12 +23,6 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """`docs` without the ids of `dropped`; a null id is an id too."""
-    ids = checked_broadcast(dropped.select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_id"]), "left_anti").select(*COLUMNS)
-
-
 def _numbered(docs: DataFrame) -> DataFrame:
     """`docs` with `row`, a hash of the file and place that the row is written at; equal rows have rows of their own."""
     row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
@@ -45,15 +39,15 @@ def _but(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that text, source and language together show as bad."""
-    verdict = quality_bayes.classify(docs, _labels(spark, sf_dir))
-    return _without(docs, verdict.where("not kept"))
+    """Without the documents that text, source and language together show as bad, each row by its own verdict."""
+    docs = _numbered(docs)
+    return _but(docs, quality_bayes.classify(docs, _labels(spark, sf_dir), row="row").where("not kept"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a rule rejects; rows that repeat an id go if one of them does."""
-    verdict = quality_rules.judge(docs, _labels(spark, sf_dir))
-    return _without(docs, verdict.where("not kept"))
+    """Without the documents that a rule rejects, each row by its own verdict."""
+    docs = _numbered(docs)
+    return _but(docs, quality_rules.judge(docs, _labels(spark, sf_dir), row="row").where("not kept"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,12 +58,13 @@ def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents in the order of the mixture: parts follow one another, rows within them too."""
-    places = saved(pfair.mix(docs, WEIGHTS, REST).select("doc_id", "slot", "place"), "places")
+    docs = _numbered(docs)
+    places = pfair.place(docs.select("row", "doc_id", "source"), WEIGHTS, REST, "doc_id", "source", pfair.BLOCK_ROWS, pfair.TASK_ROWS)
+    places = saved(places.select("row", "slot", "place"), "places")
     end = places.agg(F.max("slot").alias("slot"), F.count("*").alias("n")).first()
     parts = max(1, -(-(end.n or 0) // PART_ROWS))
     part = F.floor(F.col("slot") * parts / ((end.slot or 0) + 1)).cast("int")
-    rows = docs.join(places.dropDuplicates(["doc_id"]), docs["doc_id"].eqNullSafe(places["doc_id"])).drop(places["doc_id"])
-    return rows.repartitionById(parts, part).sortWithinPartitions("slot", "place", "doc_id").select(*COLUMNS)
+    return docs.join(places, "row").repartitionById(parts, part).sortWithinPartitions("slot", "place", "doc_id").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

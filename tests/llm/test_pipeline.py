@@ -1,6 +1,7 @@
 """The pipeline's stages, each against what its operator says of the same input."""
 
 import corpus_pipeline as cp
+from pyspark.sql import functions as F
 from test_operators import brute_components, shingle_set
 from wardline.llm import pfair, pieces, quality_bayes, quality_rules
 from wardline.llm.common import saved
@@ -44,3 +45,24 @@ def test_one_row_of_each_group_of_near_copies_stays(spark, sf):
     docs = _stored(spark, [(i, t, "en", "src0", 0) for i, t in rows])
     left = [(r.doc_id, r.text) for r in cp.deduplicated(spark, docs, sf).collect()]
     assert sorted(left, key=str) == sorted([(4, text), (9, "other words here"), (None, "alone in the world"), (7, None), (7, None)], key=str)
+
+
+def test_rows_that_share_an_id_are_judged_and_placed_apart(spark, sf):
+    good = " ".join(f"word{i} stands" for i in range(80))
+    for i, stay in ((None, 2), (5, 2)):
+        docs = _stored(spark, [(i, good, "en", "src0", 0), (i, "too short", "en", "src0", 0), (i, good + " too", None, "src1", 0)])
+        left = cp.ruled(spark, docs, sf).collect()
+        assert sorted(r.text for r in left) == [good, good + " too"] and len(left) == stay
+        placed = cp.mixed(spark, docs, sf).collect()
+        assert sorted(r.text for r in placed) == sorted(r.text for r in docs.collect())
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    verdict = quality_bayes.classify(docs.select(*[F.lit(None).cast("long").alias(c) if c == "doc_id" else c for c in docs.columns]), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert verdict.where("kept").count() == docs.count()
+    # Half of the rows lose their id; the verdict of each is the one of its own text, source and language.
+    half = saved(docs.withColumn("doc_id", F.when(F.col("doc_id") % 2 == 0, F.col("doc_id"))), "half")
+    kept = cp.classified(spark, half, sf)
+    rows = cp._numbered(half)
+    verdict = quality_bayes.classify(rows, spark.read.parquet(f"{sf}/labels.parquet"), row="row")
+    assert verdict.where("not kept and doc_id is null").count() and kept.where("doc_id is null").count()
+    want = rows.join(verdict.where("kept").select("row"), "row").select("text")
+    assert sorted(r.text for r in kept.select("text").collect()) == sorted(r.text for r in want.collect())

@@ -19,6 +19,8 @@ from wardline.llm.common import require
 
 #: The sum of all weights, so the number of slots in a period, at most.
 MOST_SLOTS = 10_000
+#: Rows of a block, and rows that are numbered in one task, about.
+BLOCK_ROWS, TASK_ROWS = 32, 5_000
 
 
 def period(weights: dict[str, int]) -> list[tuple[str, int, int, int, int]]:
@@ -68,7 +70,7 @@ def phases(weights: dict[str, int], blocks: dict[str, int]) -> tuple[list[tuple]
 
 
 def mix(
-    docs: DataFrame, weights: dict[str, int], rest: int, doc_id: str = "doc_id", source: str = "source", block_rows: int = 32, task_rows: int = 5_000
+    docs: DataFrame, weights: dict[str, int], rest: int, doc_id: str = "doc_id", source: str = "source", block_rows: int = BLOCK_ROWS, task_rows: int = TASK_ROWS
 ) -> DataFrame:
     """Per row: its id, source, group, block, release, deadline, slot, and place within the block.
 

@@ -92,7 +92,8 @@ def _scored(mean, spread, w, prior):
                 evidence = np.column_stack([z, z**2, np.ones(len(z))]) @ w - prior
                 evidence[~x.any(1)] = 0.0
                 yield pa.RecordBatch.from_arrays(
-                    [t.column("id"), t.column("host"), t.column("path"), pa.array(np.clip(evidence, -30, 30))], names=["id", "host", "path", "evidence"]
+                    [t.column("id"), t.column("host"), t.column("path"), *t.columns[4:], pa.array(np.clip(evidence, -30, 30))],
+                    names=["id", "host", "path", *t.schema.names[4:], "evidence"],
                 )
 
     return run
@@ -120,15 +121,18 @@ def classify(
     quality: str = "quality",
     threshold: float = 0.5,
     sample: int = SAMPLE,
+    row: str | None = None,
 ) -> DataFrame:
     """Per row: its id, evidence (log odds of the text), site (the path's share of good documents), p_good, kept.
 
     The text model is fitted on `sample` labelled rows at most; host and path shares cover all rows.  Null hosts
     and paths are sites of their own.  A text without words has no evidence, so its site decides.  A label counts
     once per id; null or contradictory ones do not.  Without labels of both kinds there is no evidence, and all
-    rows are kept.  Rows that repeat an id are scored alike.
+    rows are kept.  Rows that repeat an id are scored alike.  `row` names a column that tells all rows apart, and
+    adds it to the result as `row`.
     """
-    rows = require(docs, doc_id, text, host, path).toDF("id", "text", "host", "path")
+    tags = ["row"] if row else []
+    rows = require(docs, doc_id, text, host, path, *([row] if row else [])).toDF("id", "text", "host", "path", *tags)
     truth = require(labels, doc_id, quality).toDF("id", "good").where("id is not null and good is not null")
     truth = truth.groupBy("id").agg(F.min("good").alias("x"), F.max("good").alias("y")).where("x = y").select("id", (F.col("x") == 1).alias("good"))
     # `sample` rows at most, so small enough to broadcast.
@@ -141,7 +145,7 @@ def classify(
         mean, spread, w = _fit(np.stack(fit["x"].to_numpy()), good)
         model = (mean, spread, w, float(np.log(good.mean() / (1 - good.mean()))))
     prior = 1 / (1 + np.exp(-model[3]))
-    types = {c: rows.schema[c].dataType.simpleString() for c in ("id", "host", "path")}
+    types = {c: rows.schema[c].dataType.simpleString() for c in ("id", "host", "path", *tags)}
     scored = rows.mapInArrow(_scored(*model), ", ".join(f"{c} {t}" for c, t in types.items()) + ", evidence double")
     alone = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + model[3])))
     scored = saved(scored.withColumns({"host": F.coalesce(F.col("host").cast("string"), F.lit("")), "path": F.coalesce(F.col("path").cast("string"), F.lit("")), "own": alone}), "evidence")
@@ -163,4 +167,4 @@ def classify(
     site = F.greatest(F.least(of_path, F.lit(1 - 1e-6)), F.lit(1e-6))
     scored = scored.withColumn("site", site)
     p = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + _logit(F.col("site")))))
-    return scored.select(F.col("id").alias(doc_id), "evidence", "site", p.alias("p_good"), (p >= threshold).alias("kept"))
+    return scored.select(F.col("id").alias(doc_id), "evidence", "site", p.alias("p_good"), (p >= threshold).alias("kept"), *tags)

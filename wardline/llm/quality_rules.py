@@ -152,15 +152,18 @@ def judge(
     alpha: float = 0.05,
     delta: float = 0.05,
     cost: int = 5,
+    row: str | None = None,
 ) -> DataFrame:
     """Per row: its id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rejected_by.
 
     base_failed: fewer than 50 words, or more than half of them repeated.  kept: not base_failed, and no rule of
     the row's stratum with a cutoff rejects it; rejected_by names the rules that do.  Strata with too few
     labelled rows to bound the risk have no cutoffs.  A label counts once per id; ids with several unlike labels
-    and null labels or ids do not count.  A null stratum is one of its own.
+    and null labels or ids do not count.  A null stratum is one of its own.  `row` names a column that tells all
+    rows apart, and adds it to the result as `row`.
     """
-    rows = saved(signals(require(docs, doc_id, stratum, text).toDF("id", "stratum", "text")), "signals")
+    tags = ["row"] if row else []
+    rows = saved(signals(require(docs, doc_id, stratum, text, *([row] if row else [])).toDF("id", "stratum", "text", *tags)), "signals")
     rows = rows.withColumn("stratum", F.coalesce(F.col("stratum").cast("string"), F.lit("")))
     truth = require(labels, doc_id, quality).toDF("id", "good").where("id is not null and good is not null")
     truth = truth.groupBy("id").agg(F.min("good").alias("x"), F.max("good").alias("y")).where("x = y").select("id", (F.col("x") == 1).alias("good"))
@@ -173,5 +176,5 @@ def judge(
     rows = rows.withColumn("rejected_by", F.array_compact(F.array(*over)))
     return rows.select(
         F.col("id").alias(doc_id), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
-        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by",
+        (~F.col("base_failed") & (F.size("rejected_by") == 0)).alias("kept"), "rejected_by", *tags,
     )
