@@ -384,6 +384,26 @@ def test_language_of_held_out_and_odd_texts(spark, sf):
     assert {r.lang_pred for r in language_id.predict(docs(spark, ODD), None).collect()} == {"und"}
 
 
+def test_no_language_and_no_letter_is_left_out(spark):
+    # One language has only one, very long text; 420 have a few texts of their own letters, 6,300 in all.
+    rows = [(0, "żółw gęś " * 30_000, "pl")]
+    own = lambda i: "".join(chr(0x4E00 + 15 * i + j) for j in range(15))
+    rows += [(1 + 3 * i + k, f"{own(i)} {own(i)[::-1]}", f"x{i}") for i in range(420) for k in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert set(model.languages) == {r[2] for r in rows} and model.alphabet.size > 6_300
+    asked = [(i, own(i), f"x{i}") for i in range(420)] + [(999, "gęś żółw", "pl")]
+    out = language_id.predict(spark.createDataFrame(asked, "doc_id long, text string, lang string"), model).collect()
+    assert {(r.doc_id, r.lang_pred) for r in out} == {(i, lang) for i, _, lang in asked}
+
+
+def test_every_letter_has_symbols_of_its_own():
+    letters = np.array([i for i in range(0x110000) if chr(i).isalpha()], np.uint32)
+    alphabet = language_id.Alphabet(letters)
+    symbols, at = alphabet.symbols(letters, np.arange(len(letters) + 1))
+    assert len(letters) > 1 << 16 and symbols.max() < (1 << alphabet.bits) - 1
+    assert len({tuple(symbols[x:y]) for x, y in zip(at, at[1:])}) == len(letters)
+
+
 def test_kneser_ney_sums_to_one():
     flat, at = language_id._codepoints(pa.array(["banana bandana", "abab ana", None, ""]))
     alphabet = language_id.Alphabet(np.unique(flat[flat != 32]))

@@ -15,21 +15,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from wardline.llm import words as W
-from wardline.llm.common import crc_of, once, require
+from wardline.llm.common import crc_of, once, require, saved
 from wardline.operators.sizing import checked_broadcast
 
 U = np.uint64
 ORDER = 4
-#: Training documents per language, at most, those with the smallest hash of their id; their length at most.
-SAMPLE, LONGEST = 500, 200_000
-#: Languages, and letters of all languages together: the most frequent ones.  Further letters count as one.
-LANGUAGES, LETTERS = 400, 4094
-_BITS = 12
+#: Training documents per language, at most, those with the smallest hash of their id, and their characters
+#: together, at most: the shorter ones of the sample, one at least.
+SAMPLE, CHARACTERS = 500, 100_000_000
+#: Bits of a symbol: the fewest and the most.  With more letters than fit, the last ones are two symbols each.
+_BITS, _MOST_BITS = 12, 16
+_SINGLE = (1 << _MOST_BITS) - 4
+_SECOND = 15
 _CALIBRATION = 5
 _SLOTS = 1 << 22
+#: Losses that are worked out at a time, about.
+_ROOM = 1 << 23
 
 
 def _letter_table() -> np.ndarray:
@@ -54,20 +58,35 @@ def _codepoints(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Alphabet:
-    """Numbers of letters: 1 for the space, 2 and on for known letters, 0 for all others."""
+    """Numbers of letters: 1 for the space, 2 and on for known letters, 0 for all others; `size` counts the symbols."""
 
     def __init__(self, letters: np.ndarray):
         self.letters = np.sort(letters.astype(np.uint32))
-        self.size = len(self.letters) + 2
+        self.wide = len(self.letters) + 2 > _SINGLE
+        self.size = 1 << _MOST_BITS if self.wide else len(self.letters) + 2
+        self.bits = max(_BITS, self.size.bit_length()) if not self.wide else _MOST_BITS
 
     def numbers(self, flat: np.ndarray) -> np.ndarray:
-        table = np.zeros(0x110000, np.uint16)
-        table[self.letters] = np.arange(2, len(self.letters) + 2, dtype=np.uint16)
+        table = np.zeros(0x110000, np.uint32)
+        table[self.letters] = np.arange(2, len(self.letters) + 2, dtype=np.uint32)
         table[32] = 1
         return table[flat]
 
-
-def _grams(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def symbols(self, flat: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbols of texts, each letter known by its own one or two, and the offset of each text."""
+        numbers = self.numbers(flat)
+        if not self.wide:
+            return numbers, at
+        two = numbers >= _SINGLE
+        place = np.concatenate([[0], np.cumsum(1 + two)])
+        out = np.empty(place[-1], np.uint32)
+        rest = numbers - np.where(two, _SINGLE, 0).astype(np.uint32)
+        out[place[:-1]] = np.where(two, _SINGLE + (rest >> _SECOND), numbers)
+        out[place[:-1][two] + 1] = 2 + (rest[two] & ((1 << _SECOND) - 1))
+        return out, place[at]
+
+
+def _grams(numbers: np.ndarray, at: np.ndarray, bits: int = _BITS) -> tuple[np.ndarray, np.ndarray]:
     """The 4-gram that ends at each character but the first of a text (spaces before it), and the offsets per text."""
     n = len(numbers)
     out = numbers.astype(U)
@@ -78,7 +97,7 @@ def _grams(numbers: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]
         before = np.ones(n, U)
         before[back:] = out[:-back] if back < n else out[:0]
         before[place < back] = 1
-        code |= before << U(_BITS * back)
+        code |= before << U(bits * back)
     keep = place > 0
     return code[keep], np.concatenate([[0], np.cumsum(np.diff(at) - 1)]).astype(np.int64) if len(at) > 1 else np.zeros(1, np.int64)
 
@@ -87,53 +106,60 @@ class KneserNey:
     """All languages' models as sorted arrays of hashes, built from the counts of their 4-grams."""
 
     def __init__(self, languages: list[str], alphabet: Alphabet, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.languages, self.alphabet = languages, alphabet
+        self.languages, self.alphabet, self.bits = languages, alphabet, alphabet.bits
+        bits = self.bits
         self.temperature, self.least = 1.0, 0.0
-        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.contexts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.grams: list[tuple[np.ndarray, ...]] = []
+        self.contexts: list[tuple[np.ndarray, ...]] = []
         for order in range(1, ORDER + 1):
-            mask = U((1 << (_BITS * order)) - 1)
+            mask = U((1 << (bits * order)) - 1)
             parts, outs = [], []
             for codes, n in counts:
                 if order < ORDER:
                     # Different characters before the gram, out of the grams one longer.
-                    longer = np.unique(codes & U((1 << (_BITS * (order + 1))) - 1))
+                    longer = np.unique(codes & U((1 << (bits * (order + 1))) - 1))
                     codes, n = np.unique(longer & mask, return_counts=True)
                 n = n.astype(float)
                 ones, twos = (n == 1).sum(), (n == 2).sum()
                 discount = ones / (ones + 2 * twos) if ones else 0.5
-                context, back = np.unique(codes >> U(_BITS), return_inverse=True)
+                context, back = np.unique(codes >> U(bits), return_inverse=True)
                 total, kinds = np.bincount(back, n), np.bincount(back)
                 parts.append((codes, np.maximum(n - discount, 0) / total[back]))
                 outs.append((context, discount * kinds / total))
-            self.grams.append(self._joined(parts, order, 0.0))
-            self.contexts.append(self._joined(outs, order, 1.0))
-
-    @staticmethod
-    def _hash(codes: np.ndarray, order: int) -> np.ndarray:
-        return W.mix(codes + U(order << 52))
-
-    def _joined(self, parts: list[tuple[np.ndarray, np.ndarray]], order: int, missing: float) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.unique(np.concatenate([self._hash(c, order) for c, _ in parts]))
-        table = np.full((len(keys), len(parts)), missing)
-        for column, (codes, values) in enumerate(parts):
-            table[np.searchsorted(keys, self._hash(codes, order)), column] = values
-        return keys, table
+            self.grams.append(self._joined(parts))
+            self.contexts.append(self._joined(outs))
 
     @staticmethod
-    def _found(keys: np.ndarray, table: np.ndarray, wanted: np.ndarray, missing: float) -> np.ndarray:
-        if not len(keys):
-            return np.full((len(wanted), table.shape[1]), missing)
-        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-        return np.where((keys[at] == wanted)[:, None], table[at], missing)
+    def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, ...]:
+        """All languages' codes mixed and in order, where the entries of each start, and the language and value of each.
+
+        Only what a language has is held, so the size follows the n-grams and not their number times the languages.
+        """
+        code = np.concatenate([W.mix(c) for c, _ in parts])
+        order = np.argsort(code, kind="stable")
+        column = np.repeat(np.arange(len(parts), dtype=np.int32), [len(c) for c, _ in parts])
+        keys, starts = np.unique(code[order], return_index=True)
+        return keys, np.append(starts, len(code)), column[order], np.concatenate([v for _, v in parts])[order]
+
+    def _found(self, joined: tuple[np.ndarray, ...], wanted: np.ndarray, missing: float) -> np.ndarray:
+        keys, starts, column, value = joined
+        out = np.full((len(wanted), len(self.languages)), missing)
+        if len(keys):
+            wanted = W.mix(wanted)
+            at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+            hit = np.flatnonzero(keys[at] == wanted)
+            sizes = starts[at[hit] + 1] - starts[at[hit]]
+            entry = W.ragged(starts[at[hit]], sizes)
+            out[np.repeat(hit, sizes), column[entry]] = value[entry]
+        return out
 
     def losses(self, codes: np.ndarray) -> np.ndarray:
         """-ln p of the last character of each 4-gram, a column per language."""
         p = np.full((len(codes), len(self.languages)), 1.0 / self.alphabet.size)
         for order in range(1, ORDER + 1):
-            gram = codes & U((1 << (_BITS * order)) - 1)
-            here = self._found(*self.grams[order - 1], self._hash(gram, order), 0.0)
-            p = here + self._found(*self.contexts[order - 1], self._hash(gram >> U(_BITS), order), 1.0) * p
+            gram = codes & U((1 << (self.bits * order)) - 1)
+            here = self._found(self.grams[order - 1], gram, 0.0)
+            p = here + self._found(self.contexts[order - 1], gram >> U(self.bits), 1.0) * p
         return -np.log(np.maximum(p, 1e-12))
 
 
@@ -166,14 +192,24 @@ class _Cache:
 def _entropies(cache: _Cache, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Mean loss per character and language, and the number of letters, of each text."""
     flat, at = _codepoints(column)
-    codes, to = _grams(cache.model.alphabet.numbers(flat), at)
+    symbols, ends = cache.model.alphabet.symbols(flat, at)
+    codes, to = _grams(symbols, ends, cache.model.bits)
     n = np.diff(to)
     out = np.zeros((len(n), len(cache.model.languages)))
     some = np.flatnonzero(n)
-    for x in range(0, len(some), 500):
-        part = some[x : x + 500]
+    # Texts, or parts of one, of so many characters that their losses in all languages stay small.
+    most = max(1, _ROOM // max(1, len(cache.model.languages)))
+    x = 0
+    while x < len(some):
+        y = max(x + 1, int(np.searchsorted(to[some + 1], to[some[x]] + most, "right")))
+        part = some[x:y]
         low, high = to[part[0]], to[part[-1] + 1]
-        out[part] = np.add.reduceat(cache(codes[low:high]), to[part] - low, axis=0, dtype=float)
+        if y > x + 1:
+            out[part] = np.add.reduceat(cache(codes[low:high]), to[part] - low, axis=0, dtype=float)
+        else:
+            for z in range(low, high, most):
+                out[part[0]] += cache(codes[z : min(z + most, high)]).sum(0, dtype=float)
+        x = y
     out[some] /= n[some][:, None]
     letters = np.concatenate([[0], np.cumsum(flat != 32)])
     return out, letters[at[1:]] - letters[at[:-1]]
@@ -200,7 +236,7 @@ def _gram_counts(alphabet: Alphabet):
                 lang = t.column("lang").to_numpy(zero_copy_only=False)
                 for one in np.unique(lang):
                     flat, at = _codepoints(t.column("text").filter(pa.array(lang == one)))
-                    code, n = np.unique(_grams(alphabet.numbers(flat), at)[0], return_counts=True)
+                    code, n = np.unique(_grams(*alphabet.symbols(flat, at), alphabet.bits)[0], return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([one] * len(code), pa.string()), pa.array(code.view(np.int64)), pa.array(n)], names=["lang", "code", "n"]
                     )
@@ -223,25 +259,29 @@ def _held_back(model: KneserNey):
 def train(docs: DataFrame, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", sample: int = SAMPLE, accuracy: float = 0.99) -> KneserNey | None:
     """A model of the languages of `docs`, or None if no text has one.
 
-    At most `sample` documents per language are used, those with the smallest hashes of their ids, and every
-    fifth of them only to fit the temperature and the rejection threshold: the lowest at which `accuracy` of
-    the predictions kept are right.
+    Every language and every letter of the texts used is learned.  At most `sample` documents per language are used,
+    those with the smallest hashes of their ids, the shortest row of each; of these the longest are left out if all
+    have more than CHARACTERS, but never the shortest one.  Every fifth is used only to fit the temperature and the
+    rejection threshold: the lowest at which `accuracy` of the predictions kept are right.
     """
     rows = require(docs, doc_id, text, lang).toDF("id", "text", "lang")
-    rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull() & (F.char_length("text") <= LONGEST))
+    rows = rows.where(F.col("lang").isNotNull() & F.col("id").isNotNull() & F.col("text").isNotNull())
     rows = rows.withColumn("lang", F.col("lang").cast("string"))
-    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
-    if not most:
-        return None
     # The share of hashes that holds about twice the sample, then the smallest ones; both without texts.
-    share = F.create_map(*[F.lit(x) for r in most for x in (r.lang, min(1.0, (2 * sample + 100) / r["count"]))])
+    share = checked_broadcast(rows.groupBy("lang").agg(F.least(F.lit(1.0), F.lit(2 * sample + 100) / F.count("*")).alias("share")))
     hashed = F.xxhash64("id")
-    near = rows.where((hashed / F.lit(2.0**64) + 0.5) <= F.element_at(share, F.col("lang"))).select("id", "lang", hashed.alias("h"))
-    ranked = near.groupBy("lang").agg(F.slice(F.array_sort(F.collect_set(F.struct("h", "id"))), 1, sample).alias("x"))
-    chosen = ranked.select("lang", F.posexplode("x").alias("i", "x")).select("lang", F.col("x.id").alias("id"), (F.col("i") % _CALIBRATION == 0).alias("back"))
-    rows = rows.join(checked_broadcast(chosen, max_rows=LANGUAGES * sample), ["id", "lang"]).select("lang", "text", "back")
+    near = rows.select("id", "lang", F.char_length("text").alias("size")).join(share, "lang").where((hashed / F.lit(2.0**64) + 0.5) <= F.col("share"))
+    near = near.groupBy("lang", "id").agg(F.min("size").alias("size")).withColumn("h", F.xxhash64("id"))
+    by_hash, by_size = Window.partitionBy("lang").orderBy("h", "id"), Window.partitionBy("lang").orderBy("size", "h", "id")
+    chosen = near.withColumn("i", F.row_number().over(by_hash)).where(F.col("i") <= sample)
+    total, place = F.sum("size").over(by_size.rowsBetween(Window.unboundedPreceding, 0)), F.row_number().over(by_size)
+    chosen = chosen.withColumns({"total": total, "i": place}).where((F.col("total") <= CHARACTERS) | (F.col("i") == 1))
+    # The first of a language is counted, so a language with few documents is learned too.
+    chosen = chosen.select("lang", "id", (F.row_number().over(by_hash) % _CALIBRATION == 0).alias("back"))
+    rows = rows.join(checked_broadcast(chosen), ["id", "lang"]).select("lang", "id", "back", F.struct(F.char_length("text").alias("size"), "text").alias("x"))
+    rows = saved(rows.groupBy("lang", "id", "back").agg(F.min("x").alias("x")).select("lang", F.col("x.text").alias("text"), "back"), "training")
     counted, back = rows.where("not back"), rows.where("back")
-    letters = counted.mapInArrow(_letters, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "letter").limit(LETTERS)
+    letters = counted.mapInArrow(_letters, "letter int, n long").groupBy("letter").agg(F.sum("n").alias("n"))
     alphabet = Alphabet(np.array([r.letter for r in letters.collect()], np.uint32))
     counts = counted.select("lang", "text").mapInArrow(_gram_counts(alphabet), "lang string, code long, n long")
     counts = counts.groupBy("lang", "code").agg(F.sum("n").alias("n")).toPandas()
