@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from wardline.llm import chat_format, embed_dedup, language_id, lm_score, ngram_join, pfair, pieces, quality_bayes, quality_rules, token_binary
+from wardline.llm import chat_format, conversation_repair, embed_dedup, language_id, lm_score, ngram_join, pfair, pieces, prefix_trie, quality_bayes, quality_rules, token_binary, token_counts
+from wardline.operators.same import join_same
 from wardline.session import shared_dir
 
 #: Target weights of the mixture, out of 1,000; all other sources share the rest.
@@ -16,6 +17,7 @@ REST = 1000 - sum(WEIGHTS.values())
 END_ID = 2
 WORDS_FILE = public_tokenizers.path("word_bpe_49k.json")
 WORDS_SIZE = 49_408
+BYTES_FILE = public_tokenizers.path("byte_bpe_50k.json")
 PIECES_FILE = public_tokenizers.path("piece_bpe_32k.model")
 #: The conversation whose texts are control strings.
 CONTROL = "</s>[INST] ok [/INST]"
@@ -98,11 +100,43 @@ def op10_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.encode(_table(spark, sf, "documents"), PIECES_FILE).drop("ids")
 
 
+def op11_prefix_trie(spark: SparkSession, sf: str) -> DataFrame:
+    """Nodes of the trie of all conversations, rebuilt so that they share first turns."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", prefix_trie.token_of("role", "text").alias("token"))
+    return prefix_trie.trie(prefix_trie.rebuilt(turns))
+
+
+def _damaged(turns: DataFrame) -> DataFrame:
+    """Turns with faults put in by the crc32 of their place: some go, others lose text or an end, come twice, or change their role."""
+    named = F.concat(*[F.coalesce(F.col(c).cast("string"), F.lit(" ")) if c != ":" else F.lit(":") for c in ("conv_id", ":", "turn")])
+    turns = turns.withColumn("_fault", F.crc32(named.cast("binary")) % 20)
+    text, role = F.coalesce("text", F.lit(" ")), F.coalesce("role", F.lit(" "))
+    text = F.when(F.col("_fault") == 1, "").when(F.col("_fault") == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text)
+    role = F.when(F.col("_fault") == 4, "user").otherwise(role)
+    copies = F.explode(F.array_repeat(F.lit(0), F.when(F.col("_fault") == 3, 2).otherwise(1)))
+    return turns.where("_fault <> 0").select("conv_id", "turn", role.alias("role"), text.alias("text"), copies.alias("_copy")).drop("_copy")
+
+
+def op12_conversation_repair(spark: SparkSession, sf: str) -> DataFrame:
+    """Faults and cheapest repair of every conversation, after damage."""
+    turns = _table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    summary, edits = conversation_repair.repair(_damaged(turns))
+    every = turns.select("conv_id").distinct()
+    out = join_same(join_same(every, summary, ["conv_id"], "left"), conversation_repair.digests(edits), ["conv_id"], "left")
+    zero = {c: F.coalesce(c, F.lit(0)).cast("long") for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")}
+    return out.withColumns({**zero, "audit": F.coalesce("audit", F.lit("")), "repaired_sha256": F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256))})
+
+
+def op13_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes and tokens of each document."""
+    return token_counts.count_tokens(_table(spark, sf, "documents"), BYTES_FILE)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_pfair_mix, op2_quality_rules, op3_quality_classifier, op4_lm_scoring, op5_token_binary, op6_ngram_jaccard,
-        op7_embedding_dedup, op8_language_id, op9_chat_format, op10_sentencepiece,
+        op7_embedding_dedup, op8_language_id, op9_chat_format, op10_sentencepiece, op11_prefix_trie, op12_conversation_repair, op13_token_counts,
     )
 }
 
@@ -172,8 +206,91 @@ SELECT s.doc_id, len(s.sh) AS n_shingles, coalesce(k.component_id, s.doc_id) AS
 FROM s LEFT JOIN r ON r.sh = list_sort(s.sh) LEFT JOIN k ON k.x = r.id
 """
 
+def _crc_sql(text: str) -> str:
+    """The crc32 of an ASCII text: bit by bit, as the polynomial 0xEDB88320 has it."""
+    bits = "list_reduce(list_prepend(xor(a, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]), lambda v, z: xor(v >> 1, (v & 1) * 3988292384))"
+    codes = f"[ascii(substr({text}, i, 1))::BIGINT FOR i IN range(1, length({text}) + 1)]"
+    return f"xor(4294967295, list_reduce(list_prepend(4294967295, {codes}), lambda a, b: {bits}))"
+
+
+#: The trie of op11: nodes by their whole paths, and subtrees by the paths of each node's smallest member.
+_TRIE_SQL = """
+WITH t AS (
+  SELECT conv_id, length(coalesce(text, '')) AS n, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS k, turn
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (SELECT conv_id, k, n, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, k) AS pos FROM t),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, __CRC__ % 6 AS h FROM (SELECT DISTINCT conv_id, CAST(conv_id AS VARCHAR) AS s FROM o)),
+r AS (
+  SELECT c.conv_id, 0 AS part, pos, k, n FROM c JOIN o ON o.conv_id = base WHERE pos <= h
+  UNION ALL SELECT c.conv_id, 1, pos, k, n FROM c JOIN o ON o.conv_id = c.conv_id WHERE pos > h
+), q AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY part, pos) AS d FROM r),
+m AS (SELECT conv_id, d, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY d) AS path, n FROM q UNION ALL SELECT conv_id, 0, '', 0 FROM c),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM (SELECT conv_id, arg_max(path, d) AS path FROM m GROUP BY conv_id) GROUP BY path),
+x AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(n) AS n FROM m GROUP BY path, d),
+up AS (SELECT x.path, m.path AS above FROM x JOIN m ON m.conv_id = x.conv_id AND m.d = x.d - 1),
+kids AS (SELECT above AS path, count(*) AS n_children FROM up GROUP BY above),
+y AS (SELECT x.*, coalesce(n_children, 0) AS n_children FROM x LEFT JOIN kids USING (path)),
+sums AS (
+  SELECT m.path, count(*) FILTER (y.n_children = 0) AS n_leaves, sum((y.n_convs - 1) * y.n) AS saved_tokens
+  FROM y JOIN m ON m.conv_id = y.conv_id AND m.d <= y.d GROUP BY m.path
+)
+SELECT y.conv_id, y.d AS depth, p.conv_id AS parent_conv_id, y.n_convs, y.n_children, n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens,
+       coalesce(ends, sha256('')) AS ends_sha256
+FROM y JOIN sums USING (path) LEFT JOIN e USING (path) LEFT JOIN up USING (path) LEFT JOIN x p ON p.path = up.above
+"""
+
+#: The repair of op12 row by row: per conversation the best (cost, audit, text) of each state of the machine.
+_REPAIR_SQL = r"""
+WITH RECURSIVE o AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, __CRC__ % 20 AS f
+  FROM (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations)
+), d AS (
+  SELECT conv_id, turn, CASE WHEN f = 4 THEN 'user' ELSE role END AS role,
+         CASE f WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+  FROM o, range(CASE WHEN f = 3 THEN 2 ELSE 1 END) WHERE f <> 0
+), p AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS pos FROM d),
+r AS (
+  SELECT *, left(role, 1) AS i, lag(left(role, 1)) OVER w AS bi,
+         CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+              WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY pos) > 1 THEN 'duplicate'
+              WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' END AS fault
+  FROM p WINDOW w AS (PARTITION BY conv_id ORDER BY pos)
+), c AS (SELECT *, fault IS NULL OR fault = 'truncated' AS ok, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS x FROM r),
+n AS (SELECT DISTINCT conv_id FROM conversations),
+s AS (
+  SELECT conv_id, 0::BIGINT AS pos, {'c': 0::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s0, {'c': 1000000000::BIGINT, 'a': '', 't': []::VARCHAR[]} AS s1,
+         {'c': 5::BIGINT, 'a': 'I', 't': ['user:']} AS s2, {'c': 10::BIGINT, 'a': 'II', 't': ['user:', 'assistant:']} AS s3
+  FROM n
+  UNION ALL
+  SELECT conv_id, pos, s0, s1, s2, list_min([s3, {'c': s2.c + 5, 'a': s2.a || 'I', 't': list_append(s2.t, 'assistant:')}]) AS s3 FROM (
+    SELECT conv_id, pos, s0, s1, s3, list_min([s2, {'c': s0.c + 5, 'a': s0.a || 'I', 't': list_append(s0.t, 'user:')},
+           {'c': s1.c + 5, 'a': s1.a || 'I', 't': list_append(s1.t, 'user:')}, {'c': s3.c + 5, 'a': s3.a || 'I', 't': list_append(s3.t, 'user:')}]) AS s2 FROM (
+      SELECT s.conv_id, c.pos, {'c': s0.c + 2, 'a': s0.a || 'D', 't': s0.t} AS s0,
+        list_min([{'c': s1.c + 2, 'a': s1.a || 'D', 't': s1.t}, {'c': s0.c + x + CASE WHEN ok AND i = 's' THEN 0 ELSE 1000000000 END, 'a': s0.a || 'K', 't': list_append(s0.t, role || ':' || text)}]) AS s1,
+        list_min(list_concat([{'c': s2.c + 2, 'a': s2.a || 'D', 't': s2.t}],
+          [{'c': q.c + x + CASE WHEN ok THEN 1 ELSE 1000000000 END, 'a': q.a || 'R', 't': list_append(q.t, 'user:' || text)} FOR q IN [s0, s1, s3]],
+          [{'c': q.c + x + CASE WHEN ok AND i = 'u' THEN 0 ELSE 1000000000 END, 'a': q.a || 'K', 't': list_append(q.t, role || ':' || text)} FOR q IN [s0, s1, s3]])) AS s2,
+        list_min([{'c': s3.c + 2, 'a': s3.a || 'D', 't': s3.t}, {'c': s2.c + x + CASE WHEN ok THEN 1 ELSE 1000000000 END, 'a': s2.a || 'R', 't': list_append(s2.t, 'assistant:' || text)},
+          {'c': s2.c + x + CASE WHEN ok AND i = 'a' THEN 0 ELSE 1000000000 END, 'a': s2.a || 'K', 't': list_append(s2.t, role || ':' || text)}]) AS s3
+      FROM s JOIN c ON c.conv_id IS NOT DISTINCT FROM s.conv_id AND c.pos = s.pos + 1
+    )
+  )
+), b AS (SELECT conv_id, list_min([s0, s3]) AS z FROM s QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY pos DESC) = 1),
+g AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+         count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+         count(*) FILTER (bi IS NOT NULL AND bi || i NOT IN ('su', 'ua', 'au')) AS illegal
+  FROM r GROUP BY conv_id
+)
+SELECT b.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+       coalesce(illegal, 0) AS illegal, z.c AS cost, z.a AS audit, sha256(array_to_string(z.t, chr(10))) AS repaired_sha256
+FROM b LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM b.conv_id
+"""
+
 ORACLES: dict[str, str] = {
     "op6_ngram_jaccard": _JACCARD_SQL,
     "op7_embedding_dedup": _EMBEDDING_SQL,
     "op9_chat_format": _chat_sql(),
+    "op11_prefix_trie": _TRIE_SQL.replace("__CRC__", _crc_sql("s")),
+    "op12_conversation_repair": _REPAIR_SQL.replace("__CRC__", _crc_sql("k")),
 }
