@@ -5,6 +5,8 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -18,10 +20,14 @@ RUNTIME_CONF = {
     # key then has to shuffle again: one more shuffle beats one endless task.
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # Batches for Python are bounded in bytes too: a table may have very long texts.
+    "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
     # Merge sessions before the shuffle in streaming session windows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }
 
+_RELEASE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def get_session(app: str = "wardline", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the library's settings; `conf` adds or overrides."""
@@ -62,7 +68,20 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+@contextmanager
+def shuffles_released(spark: SparkSession) -> Iterator[None]:
+    """Within it, what is computed once and kept gives its shuffle files up at the end, not when the JVM collects garbage."""
+    before = spark.conf.get(_RELEASE)
+    spark.conf.set(_RELEASE, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_RELEASE, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """`df`, computed once and kept in the shared folder (survives lost executors)."""
     shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with shuffles_released(df.sparkSession):
+        # A frame of its own: the setting counts when a frame is made.
+        return df.select("*").checkpoint(eager=True)
