@@ -8,16 +8,20 @@ from collections.abc import Callable, Hashable
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.session import shared_dir
+from wardline.session import shared_dir, shuffles_released
 
 #: The white space that separates words; every other character belongs to a word.
 WHITE = " \t\n\x0b\x0c\r"
 
 
 def saved(df: DataFrame, name: str) -> DataFrame:
-    """`df`, written once to the shared folder and read from there, so that a lost executor loses nothing."""
+    """`df`, written once to the shared folder and read from there, so that a lost executor loses nothing.
+
+    The shuffle files of the write go with its end.
+    """
     path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
+    with shuffles_released(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
