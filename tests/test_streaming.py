@@ -1,15 +1,17 @@
 """Streams: late rows, replays, restarts, retries."""
 
 import datetime as dt
+from bisect import bisect_left
 
 from pyspark.sql import functions as F
 
 from wardline import streaming
+from wardline.operators.detect import frequency_rule
 from wardline.plans import views as v
 from wardline.plans.catalog import QUERIES
 from wardline.session import shared_dir
 from wardline.plans.views import event_stream
-from wardline.streaming import drain
+from wardline.streaming import drain, state
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -45,15 +47,96 @@ def test_dedup_of_very_many_copies(spark):
     assert sorted(r.event_id for r in drain(rows, "t").collect()) == [7, *range(20, 50)]
 
 
+CLOSING = (999, 10**8, 999, "error", 1.0)
+
+
 def test_throttle_looks_at_what_was_emitted(spark):
     path = shared_dir(spark, "t")
-    # 8 s after the last raw alert, but 16 s after the last emitted one.
-    put(spark, path, [(1, 0, 1, "error", 1.0), (2, 8, 1, "error", 1.0), (3, 16, 1, "error", 1.0), (4, 0, 2, "error", 1.0)])
-    put(spark, path, [(5, 20, 1, "error", 1.0), (6, 27, 1, "error", 1.0)])
+    # 8 s after the last raw alert, but 16 s after the last emitted one; the batches bring them out of order.
+    put(spark, path, [(3, 16, 1, "error", 1.0), (2, 8, 1, "error", 1.0), (4, 0, 2, "error", 1.0), (6, 27, 1, "error", 1.0)])
+    put(spark, path, [(5, 20, 1, "error", 1.0), (1, 0, 1, "error", 1.0)])
+    put(spark, path, [CLOSING])
     out = streaming.stream_throttle(event_stream(spark, path, "*.parquet"), "entity_id", 10, "1 hour")
     assert sorted(r.event_id for r in drain(out, "t").collect()) == [1, 3, 4, 6]
 
 
+def throttled(times, quiet):
+    last, out = None, []
+    for i, t in sorted(times.items(), key=lambda x: (x[1], x[0])):
+        if last is None or t - last > quiet:
+            last = t
+            out.append(i)
+    return out
+
+
+def test_a_heavy_key_never_forms_one_frame(spark, tmp_path):
+    path, sizes = shared_dir(spark, "t"), tmp_path / "sizes"
+    times = {i: (i * 7919) % 6000 for i in range(3000)}
+    put(spark, path, [(i, t, 1, "error", 1.0) for i, t in times.items()])
+    put(spark, path, [CLOSING])
+
+    class Counted(state._Throttle):
+        def handleInputRows(self, key, rows, timerValues):
+            def counted():
+                for frame in rows:
+                    with open(sizes, "a") as f:
+                        print(len(frame), file=f)
+                    yield frame
+
+            return super().handleInputRows(key, counted(), timerValues)
+
+    before, whole = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"), state._Throttle
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "200")
+    state._Throttle = Counted
+    try:
+        out = streaming.stream_throttle(event_stream(spark, path, "*.parquet"), "entity_id", 100, "1 hour")
+        got = sorted(r.event_id for r in drain(out, "t").collect())
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+        state._Throttle = whole
+    assert got == sorted(throttled(times, 100))
+    seen = [int(x) for x in sizes.read_text().split()]
+    assert sum(seen) >= 3000 and max(seen) <= 200
+
+
+def test_frequency_as_in_the_batch_form(spark):
+    path = shared_dir(spark, "t")
+    rows = [(i, (i * 37) % 900, i % 3, "error", 1.0) for i in range(150)]
+    for part in range(3):
+        put(spark, path, rows[part::3])
+    put(spark, path, [CLOSING])
+    out = streaming.stream_frequency(event_stream(spark, path, "*.parquet"), "entity_id", 4, 60, "1 hour", slice_s=20)
+    got = {(r.event_id, r.burst_start) for r in drain(out, "t").collect()}
+    batch = frequency_rule(v.canonical(events(spark, rows)).withColumn("ts", F.col("ts").cast("timestamp")), "entity_id", 4, 60)
+    assert got == {(r.event_id, r.burst_start) for r in batch.collect()} and got
+
+
+def test_correlation_keeps_events_and_no_pairs(spark):
+    path = shared_dir(spark, "t")
+    n = 10_000
+    rows = [(i, (i * 7919) % 20_000, 1, "signup" if i < n else "error", 1.0) for i in range(2 * n)]
+    put(spark, path, rows[::2])
+    put(spark, path, rows[1::2])
+    put(spark, path, [(10**6, 10**8, 9, "signup", 1.0), (10**6 + 1, 10**8, 9, "error", 1.0)])
+    stream = event_stream(spark, path, "*.parquet")
+    of = lambda kind: stream.filter(F.col("category") == kind)
+    out = streaming.stream_correlate(of("signup"), of("error"), "entity_id", 3600, "1 day")
+    got = {r.effect_id: (r.n_causes, r.cause_id) for r in drain(out, "t").collect()}
+    seconds = {i: t for i, t, *_ in rows}
+    causes = sorted((seconds[i], i) for i in range(n))
+    times = [c[0] for c in causes]
+    want = {}
+    for i in range(n, 2 * n):
+        low, high = bisect_left(times, seconds[i] - 3600), bisect_left(times, seconds[i])
+        if high > low:
+            want[i] = (high - low, causes[high - 1][1])
+    assert got == want
+    # Chunks and counts, not the 3,600 causes of each of the 10,000 effects.
+    query = out.writeStream.format("memory").queryName("correlated").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert 0 < max(op["numRowsTotal"] for p in query.recentProgress for op in p["stateOperators"]) < 3 * 2 * n
+
+
 def test_late_rows_go_aside(spark):
     path, out, ckpt = (shared_dir(spark, "t") for _ in range(3))
     put(spark, path, [(1, 0, 1, "error", 1.0), (2, 1000, 1, "error", 1.0)])

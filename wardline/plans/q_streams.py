@@ -39,7 +39,7 @@ def _files(spark, df, n: int) -> str:
 
 
 def _ending_stream(spark, sf):
-    """All events as a stream, then a closing row of each kind long after the last one: it moves the watermark past all results."""
+    """All events as a stream, and a closing row of each kind long after the last one: it moves the watermark past all results."""
     events = v.table(spark, sf, "events")
     last = events.agg(F.max("event_id").alias("e"), F.max("ts").alias("t"))
     closing = last.select(
@@ -47,10 +47,9 @@ def _ending_stream(spark, sf):
         F.lit(-1).cast("long").alias("user_id"), F.explode(F.array(F.lit("signup"), F.lit("error"))).alias("event_type"),
         F.lit(0.0).alias("value"), F.lit("{}").alias("props"),
     )
-    path = shared_dir(spark, "events")
-    events.write.parquet(path)
-    closing.coalesce(1).write.mode("append").parquet(path)
-    return event_stream(spark, path, "*.parquet", None)
+    path = shared_dir(spark, "closing")
+    closing.coalesce(1).write.parquet(path)
+    return event_stream(spark, sf).unionByName(event_stream(spark, path, "*.parquet"))
 
 
 @query("stream_tumbling", with_views("tel", """SELECT CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, CAST(date_trunc('day', ts) + INTERVAL 1 DAY AS TIMESTAMP) AS "end", category,
@@ -120,11 +119,19 @@ def stream_correlate(spark, sf):
  WHERE a.entity_id = r.entity_id AND epoch_us(a.ts) - epoch_us(r.ts) > 43200000000) n WHERE n.event_id IS NOT NULL)
 SELECT entity_id, event_id FROM r""", recursive=True))
 def stream_throttle(spark, sf):
-    alerts = event_stream(spark, sf).filter("category = 'error'")
+    alerts = _ending_stream(spark, sf).filter("category = 'error'")
     out = streaming.stream_throttle(alerts, "entity_id", 12 * HOUR, "1 hour")
     return drain(out.select("entity_id", "event_id"), "throttle")
 
 
+@query("stream_frequency", with_views("alerts", """, f AS (SELECT *, lag(ts, 2) OVER (PARTITION BY entity_id ORDER BY ts, event_id) AS burst_start FROM alerts)
+SELECT entity_id, event_id, burst_start FROM f WHERE epoch_us(ts) - epoch_us(burst_start) <= 86400000000"""))
+def stream_frequency(spark, sf):
+    alerts = _ending_stream(spark, sf).filter("category = 'error'")
+    out = streaming.stream_frequency(alerts, "entity_id", 3, DAY, "1 hour")
+    return _batch_types(drain(out.select("entity_id", "event_id", "burst_start"), "frequency"), "burst_start")
+
+
 @query("stream_late_split", with_views("tel", """SELECT event_id, category = 'purchase' AND epoch_us(ts) < (SELECT max(epoch_us(ts)) FROM tel WHERE category <> 'purchase') - 86400000000 AS late FROM tel"""))
 def stream_late_split(spark, sf):
     # Purchases arrive later than their neighbours; each arrival is one batch of as many files as there are.

@@ -22,6 +22,9 @@ RUNTIME_CONF = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     # Batches for Python are bounded in bytes too: a table may have very long texts.
     "spark.sql.execution.arrow.maxBytesPerBatch": "8m",
+    # State on local disk, of which each batch writes only the changes to the checkpoint.
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     # Merge sessions before the shuffle in streaming session windows.
     "spark.sql.streaming.sessionWindow.merge.sessions.in.local.partition": "true",
 }

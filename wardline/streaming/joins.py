@@ -38,46 +38,3 @@ def stream_unmatched_iocs(
     known = checked_broadcast(feed.select(*on).distinct())
     unknown = sdf.select(*on, t).dropna(subset=on).join(known, on, "left_anti")
     return stream_dedup(unknown, on, delay, t, salts).select(*on, t)
-
-
-def stream_correlate(
-    causes: DataFrame, effects: DataFrame, key: str, within_s: int, delay: str, t: str = "ts", id_col: str = "event_id"
-) -> DataFrame:
-    """Each streamed effect that follows streamed causes of the same key, 0 < effect - cause <= within.
-
-    One row per effect: nearest cause and number of causes, as in the batch form.  The join key has a time
-    bucket as wide as the reach, so state and work of one heavy key spread over many partitions; the
-    aggregate after the join keeps only one row per effect.
-    """
-    width = within_s
-    bucket = lambda c: F.floor(F.unix_seconds(c) / F.lit(width))
-    left = causes.select(
-        F.col(key).alias("_k"),
-        F.col(t).alias("cause_ts"),
-        F.col(id_col).alias("cause_id"),
-        F.explode(F.array(bucket(F.col(t)), bucket(F.col(t)) + 1)).alias("_lb"),
-    ).withWatermark("cause_ts", delay)
-    right = effects.select(
-        F.col(key), F.col(t).alias("effect_ts"), F.col(id_col).alias("effect_id"), bucket(F.col(t)).alias("_rb")
-    ).withWatermark("effect_ts", delay)
-    reach = F.expr(f"interval {within_s} seconds")
-    pairs = left.join(
-        right,
-        (F.col("_k") == F.col(key))
-        & (F.col("_lb") == F.col("_rb"))
-        & (F.col("effect_ts") > F.col("cause_ts"))
-        & (F.col("effect_ts") <= F.col("cause_ts") + reach),
-    )
-    # A plain number for the cause's time: only one event time may go on to the aggregate.
-    pairs = pairs.select(
-        key, "effect_id", "effect_ts", F.struct(F.unix_micros("cause_ts").alias("us"), "cause_id").alias("_pair")
-    )
-    near = F.max("_pair")
-    return (
-        pairs.groupBy(key, "effect_id", "effect_ts")
-        .agg(near.alias("_c"), F.count("*").alias("n_causes"))
-        .select(
-            key, "effect_id", "effect_ts", F.col("_c.cause_id").alias("cause_id"), F.timestamp_micros("_c.us").alias("cause_ts"),
-            "n_causes",
-        )
-    )

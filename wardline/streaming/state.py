@@ -1,13 +1,21 @@
-"""Stateful operators."""
+"""Stateful operators.
+
+Operators that need a key's rows in the order of time keep them in slices of time.  A slice lies in the state as
+chunks, each as large as a batch for Python, and is worked off when the watermark has passed its end: chunk by
+chunk, slice after slice.  So no frame ever holds a key, and the result does not depend on how the stream was cut
+into micro-batches.  The state is in RocksDB (see `wardline.session`), so it may be larger than memory.
+Columns for a processor have no leading underscore: its frames would lose such names.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
+from heapq import merge
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 
 def stream_dedup(sdf: DataFrame, keys: Sequence[str], delay: str, t: str = "ts", salts: int = 1) -> DataFrame:
@@ -23,50 +31,283 @@ def stream_dedup(sdf: DataFrame, keys: Sequence[str], delay: str, t: str = "ts",
     return rows.dropDuplicatesWithinWatermark(list(keys))
 
 
+class _Slices(StatefulProcessor):
+    """Chunks of rows (_us, _id, _side) per slice of time; `passed` gets the slices whose end the watermark has passed."""
+
+    def __init__(self, width_us: int, id_type: str, schema: str):
+        self.width, self.id_type = width_us, id_type
+        self.columns = [c.split()[0] for c in schema.split(", ")]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.chunks = handle.getMapState("chunks", "slice long, seq long", f"us array<long>, ids array<{self.id_type}>, side int")
+        self.next = handle.getValueState("next", "n long")
+
+    def close(self) -> None:
+        pass
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        seq = self.next.get()[0] if self.next.exists() else 0
+        for frame in rows:
+            if frame.empty:
+                continue
+            slices = frame["at_us"] // self.width
+            for (slice_, side), part in frame.groupby([slices, frame["at_side"]]):
+                # Rows of a slice that is done are too late; Spark drops them by the watermark as well.
+                if self._end_ms(slice_) <= timerValues.getCurrentWatermarkInMs():
+                    continue
+                part = part.sort_values(["at_us", "at_id"])
+                self.chunks.updateValue((int(slice_), seq), (part["at_us"].tolist(), part["at_id"].tolist(), int(side)))
+                self.handle.registerTimer(self._end_ms(slice_))
+                seq += 1
+        self.next.update((seq,))
+        return iter(())
+
+    def _end_ms(self, slice_: int) -> int:
+        return int((slice_ + 1) * self.width // 1000)
+
+    def until(self, us: int) -> int:
+        """When what matters up to `us` may go: the slice that holds `us` has been worked off by then."""
+        return int((us + self.width) // 1000) + 1
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        now = expiredTimerInfo.getExpiryTimeInMs()
+        seqs: dict[int, list[int]] = {}
+        for slice_, seq in self.chunks.keys():
+            seqs.setdefault(slice_, []).append(seq)
+        for slice_ in sorted(s for s in seqs if self._end_ms(s) <= now):
+            yield from self._framed(key, self.passed(slice_, seqs[slice_]))
+        self.forget(now)
+
+    def _framed(self, key, found: Iterator[tuple]) -> Iterator[pd.DataFrame]:
+        out = []
+        for row in found:
+            out.append((*key, *row))
+            if len(out) == 10_000:
+                yield pd.DataFrame(out, columns=self.columns)
+                out = []
+        if out:
+            yield pd.DataFrame(out, columns=self.columns)
+
+    def taken(self, slice_: int, seqs: list[int]) -> Iterator[tuple[list[int], list, int]]:
+        """The chunks of a slice, one at a time, which then leave the state."""
+        for seq in sorted(seqs):
+            yield self.chunks.getValue((slice_, seq))
+            self.chunks.removeKey((slice_, seq))
+
+    def passed(self, slice_: int, seqs: list[int]) -> Iterator[tuple]:
+        raise NotImplementedError
+
+    def forget(self, now: int) -> None:
+        """Let go of what no later row can need."""
+
+
+class _Throttle(_Slices):
+    """Slices as wide as the quiet time: at most one row of a slice is emitted, the first that is late enough."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.last = handle.getValueState("last", "us long")
+
+    def passed(self, slice_: int, seqs: list[int]) -> Iterator[tuple]:
+        after = self.last.get()[0] + self.width if self.last.exists() else None
+        first = None
+        for us, ids, _ in self.taken(slice_, seqs):
+            at = 0 if after is None else int(np.searchsorted(np.asarray(us), after, "right"))
+            if at < len(us) and (first is None or (us[at], ids[at]) < first):
+                first = us[at], ids[at]
+        if first:
+            self.last.update((first[0],))
+            self.handle.registerTimer(self.until(first[0] + self.width))
+            yield first[1], first[0]
+
+    def forget(self, now: int) -> None:
+        if self.last.exists() and self.until(self.last.get()[0] + self.width) <= now:
+            self.last.clear()
+
+
+class _Frequency(_Slices):
+    """The times of the last n - 1 rows go with a key from slice to slice."""
+
+    def __init__(self, width_us: int, id_type: str, schema: str, n: int, reach_us: int):
+        super().__init__(width_us, id_type, schema)
+        self.n, self.reach = n, reach_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.recent = handle.getValueState("recent", "us array<long>")
+
+    def passed(self, slice_: int, seqs: list[int]) -> Iterator[tuple]:
+        recent = list(self.recent.get()[0]) if self.recent.exists() else []
+        runs = [list(zip(us, ids)) for us, ids, _ in self.taken(slice_, seqs)]
+        for us, i in merge(*runs):
+            recent.append(us)
+            if len(recent) >= self.n:
+                if us - recent[-self.n] <= self.reach:
+                    yield i, us, recent[-self.n]
+                del recent[: len(recent) - self.n + 1]
+        self.recent.update((recent,))
+        if recent:
+            self.handle.registerTimer(self.until(recent[-1] + self.reach))
+
+    def forget(self, now: int) -> None:
+        recent = self.recent.get()[0] if self.recent.exists() else []
+        if len(recent) and self.until(recent[-1] + self.reach) <= now:
+            self.recent.clear()
+
+
+def _rows(sdf: DataFrame, key: str, t: str, id_col: str, delay: str) -> DataFrame:
+    side = F.lit(0).alias("at_side")
+    return sdf.where(F.col(t).isNotNull()).withWatermark(t, delay).select(F.col(key).alias("at_key"), F.col(id_col).alias("at_id"), F.unix_micros(t).alias("at_us"), side, t)
+
+
+def _types(sdf: DataFrame, *columns: str) -> list[str]:
+    return [sdf.schema[c].dataType.simpleString() for c in columns]
+
+
 def stream_throttle(
     sdf: DataFrame, key: str, quiet_s: int, delay: str, t: str = "ts", id_col: str = "event_id"
 ) -> DataFrame:
     """Emit an alert only if the last *emitted* one of its key is older than the quiet time.
 
-    State is one timestamp per key and expires with the watermark.  Within a micro-batch, whose size
-    the source bounds (files per trigger), a key's rows are taken in time order: two numbers per row.
+    Alerts are taken in the order of time and id, whatever batch brings them, and are emitted when the watermark
+    has passed their slice of time.  What stays of a key is one timestamp, until it is older than the quiet time.
+    Rows without a time are left out; rows with a null key are one key.
+    """
+    key_type, id_type = _types(sdf, key, id_col)
+    schema = f"at_key {key_type}, at_id {id_type}, at_us long"
+    return (
+        _rows(sdf, key, t, id_col, delay)
+        .groupBy("at_key")
+        .transformWithStateInPandas(_Throttle(quiet_s * 1_000_000, id_type, schema), schema, "append", "eventTime")
+        .select(F.col("at_key").alias(key), F.col("at_id").alias(id_col), F.timestamp_micros("at_us").alias(t))
+    )
+
+
+def stream_frequency(
+    sdf: DataFrame, key: str, n: int, seconds: int, delay: str, t: str = "ts", id_col: str = "event_id", slice_s: int = 60
+) -> DataFrame:
+    """The frequency rule on a stream: events that are at least the n-th of their key in the trailing window.
+
+    One row per event, with `burst_start`, the time of the n-th last one, as in the batch form.  What stays of a key
+    is the times of its last n - 1 events, while they may count.  Of one key, a slice of `slice_s` seconds is sorted
+    at a time.  Rows without a time are left out; rows with a null key are one key.
+    """
+    key_type, id_type = _types(sdf, key, id_col)
+    schema = f"at_key {key_type}, at_id {id_type}, at_us long, at_start long"
+    processor = _Frequency(slice_s * 1_000_000, id_type, schema, n, seconds * 1_000_000)
+    return (
+        _rows(sdf, key, t, id_col, delay)
+        .groupBy("at_key")
+        .transformWithStateInPandas(processor, schema, "append", "eventTime")
+        .select(F.col("at_key").alias(key), F.col("at_id").alias(id_col), F.timestamp_micros("at_us").alias(t), F.timestamp_micros("at_start").alias("burst_start"))
+    )
+
+
+class _Correlate(_Slices):
+    """Causes (side 0) and effects (side 1) of one key and tile.
+
+    Of the slices of causes that lie wholly in an effect's reach only number and last cause are looked at; the
+    causes themselves are read for the two slices at the rim of the reach and for the effect's own slice.
     """
-    quiet_us = quiet_s * 1_000_000
-
-    def throttle(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        got = [b[["_us", "_id"]] for b in batches]
-        rows = pd.concat(got).sort_values(["_us", "_id"])
-        us, ids = rows["_us"].to_numpy(), rows["_id"].to_numpy()
-        out, i = [], 0
-        while True:
-            if last is not None:
-                i = max(i, int(np.searchsorted(us, last + quiet_us, side="right")))
-            if i >= len(us):
-                break
-            last = int(us[i])
-            out.append((k[0], ids[i], last))
-            i += 1
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max((last + quiet_us) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame(out, columns=["_key", "_id", "_us"])
-
-    key_type = sdf.schema[key].dataType.simpleString()
-    id_type = sdf.schema[id_col].dataType.simpleString()
+
+    def __init__(self, width_us: int, id_type: str, schema: str, reach_us: int):
+        super().__init__(width_us, id_type, schema)
+        self.reach = reach_us
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
+        self.causes = handle.getMapState("causes", "slice long, seq long", f"us array<long>, ids array<{self.id_type}>")
+        self.counts = handle.getMapState("counts", "slice long", f"n long, last long, id {self.id_type}, chunks long")
+
+    def _read(self, slice_: int, chunks: int) -> Iterator[tuple]:
+        for seq in range(chunks):
+            us, ids = self.causes.getValue((slice_, seq))
+            yield np.asarray(us, np.int64), ids
+
+    def passed(self, slice_: int, seqs: list[int]) -> Iterator[tuple]:
+        effects, last, n, chunks = [], None, 0, 0
+        for seq in sorted(seqs):
+            us, ids, side = self.chunks.getValue((slice_, seq))
+            if side:
+                effects.append(seq)
+                continue
+            self.causes.updateValue((slice_, chunks), (us, ids))
+            n, chunks = n + len(us), chunks + 1
+            top = us[-1], ids[-1]
+            last = top if last is None else max(last, top)
+            self.chunks.removeKey((slice_, seq))
+        if n:
+            self.counts.updateValue((slice_,), (n, last[0], last[1], chunks))
+            self.handle.registerTimer(self.until((slice_ + 1) * self.width + self.reach))
+        if effects:
+            known = {k[0]: v for k, v in self.counts.iterator()}
+            for us, ids, _ in self.taken(slice_, effects):
+                yield from self._matched(slice_, np.asarray(us, np.int64), ids, known)
+
+    def _matched(self, slice_: int, at: np.ndarray, ids: list, known: dict) -> Iterator[tuple]:
+        from_ = at - self.reach
+        n = np.zeros(len(at), np.int64)
+        near_us, near_id = np.full(len(at), np.iinfo(np.int64).min), [None] * len(at)
+        first = from_ // self.width
+        rims = {slice_, int(first.min()), int(first.max())}
+        for s in sorted(known):
+            count, last, i, chunks = known[s]
+            # The later slices come later: what they have is nearer.
+            if s in rims:
+                for us, cause in self._read(s, chunks):
+                    low, high = np.searchsorted(us, from_, "left"), np.searchsorted(us, at, "left")
+                    n += np.maximum(high - low, 0)
+                    for x in np.flatnonzero(high > low):
+                        found = int(us[high[x] - 1]), cause[high[x] - 1]
+                        if near_id[x] is None or found > (int(near_us[x]), near_id[x]):
+                            near_us[x], near_id[x] = found
+            elif s < slice_:
+                inside = first < s
+                n += count * inside
+                for x in np.flatnonzero(inside):
+                    near_us[x], near_id[x] = last, i
+        for x in np.flatnonzero(n):
+            yield ids[x], int(at[x]), near_id[x], int(near_us[x]), int(n[x])
+
+    def forget(self, now: int) -> None:
+        for s, v in [(k[0], v) for k, v in self.counts.iterator()]:
+            if self.until((s + 1) * self.width + self.reach) <= now:
+                for seq in range(v[3]):
+                    self.causes.removeKey((s, seq))
+                self.counts.removeKey((s,))
+
+
+#: Parts of the reach that are slices, and reaches that are one tile.
+_PARTS, _TILE = 8, 8
+
+
+def stream_correlate(
+    causes: DataFrame, effects: DataFrame, key: str, within_s: int, delay: str, t: str = "ts", id_col: str = "event_id"
+) -> DataFrame:
+    """Each streamed effect that follows streamed causes of the same key, 0 < effect - cause <= within.
+
+    One row per effect: nearest cause and number of causes, as in the batch form.  The state holds each cause once,
+    and counts per slice of time, so it grows with the events and never with the pairs.  A key is cut into tiles of
+    eight reaches, so that the state of a heavy key spreads; causes at the end of a tile go to the next one as well.
+    Rows without a time or key correlate with nothing.
+    """
+    tile_us = _TILE * within_s * 1_000_000
+    us = F.unix_micros(t)
+    tile = lambda at: F.floor(at / F.lit(tile_us)).cast("long")
+    both = lambda df, side, tiles: df.where(F.col(t).isNotNull() & F.col(key).isNotNull()).select(
+        F.col(key).alias("at_key"), F.explode(tiles).alias("at_tile"), F.col(id_col).alias("at_id"), us.alias("at_us"), F.lit(side).alias("at_side"), t
+    )
+    reach = F.array_distinct(F.array(tile(us), tile(us + F.lit(within_s * 1_000_000))))
+    rows = both(causes, 0, reach).unionByName(both(effects, 1, F.array(tile(us)))).withWatermark(t, delay)
+    key_type, id_type = _types(causes, key, id_col)
+    schema = f"at_key {key_type}, at_tile long, effect_id {id_type}, effect_us long, cause_id {id_type}, cause_us long, n_causes long"
+    processor = _Correlate(max(1_000, within_s * 1_000_000 // _PARTS), id_type, schema, within_s * 1_000_000)
     return (
-        sdf.withWatermark(t, delay)
-        .select(F.col(key).alias("_key"), F.col(id_col).alias("_id"), F.unix_micros(t).alias("_us"), t)
-        .groupBy("_key")
-        .applyInPandasWithState(
-            throttle,
-            f"_key {key_type}, _id {id_type}, _us long",
-            "last long",
-            "append",
-            GroupStateTimeout.EventTimeTimeout,
+        rows.groupBy("at_key", "at_tile")
+        .transformWithStateInPandas(processor, schema, "append", "eventTime")
+        .select(
+            F.col("at_key").alias(key), "effect_id", F.timestamp_micros("effect_us").alias("effect_ts"), "cause_id",
+            F.timestamp_micros("cause_us").alias("cause_ts"), "n_causes",
         )
-        .select(F.col("_key").alias(key), F.col("_id").alias(id_col), F.timestamp_micros("_us").alias(t))
     )
