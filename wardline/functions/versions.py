@@ -12,3 +12,14 @@ def version_key(col: Column) -> Column:
     """
     parts = F.transform(F.split(F.regexp_replace(col, "^v", ""), "[.]"), lambda p: p.try_cast("bigint"))
     return F.when(col.rlike("^v?[0-9]+([.][0-9]+)*$") & F.forall(parts, lambda p: p.isNotNull()), parts)
+
+
+_PART = 1 << 20
+
+
+def version_number(k: Column) -> Column:
+    """A number that never falls as a version key rises: where to cut many versions into pieces."""
+    part = lambda i: F.least(F.coalesce(F.get(k, F.lit(i)), F.lit(0)), F.lit(_PART))
+    minor = part(1)
+    rest = F.when(minor == _PART, F.lit(_PART) * _PART + _PART).otherwise(minor * _PART + part(2))
+    return F.get(k, F.lit(0)).cast("double") * float(_PART) ** 2 * 2 + rest

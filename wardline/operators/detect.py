@@ -49,26 +49,31 @@ def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
     return hits.select(*events.columns, "rule_id", "rule_level")
 
 
-def match_rules(events: DataFrame, rules: DataFrame) -> DataFrame:
+def category_lists(rules: DataFrame, one: Column) -> tuple[DataFrame, Column]:
+    """Measured few rules as lists `_rules`: a broadcast frame by `_key` for the categories, and the list of those without one."""
+    lists = rules.groupBy(category_key(F.col("category")).alias("_key")).agg(F.collect_list(one).alias("_rules"))
+    none = F.array().cast(lists.schema["_rules"].dataType)
+    # The rules without a category are one row, for all events.
+    wild = lists.filter("_key.any").select("_rules").scalar()
+    return F.broadcast(lists.filter("not _key.any")), F.concat(F.coalesce(F.col("_rules"), none), F.coalesce(wild, none))
+
+
+def match_rules(events: DataFrame, rules: DataFrame, max_rules: int = MAX_RULES) -> DataFrame:
     """One row per (event, matching rule); `is_best` marks the event's rule of highest level, of those the least id.
 
     Rules that prove to be few are held as one list per category: an event meets all its rules in one
-    row, and nothing is shuffled.  Otherwise rules are joined and the best one is found by event.
+    row, and nothing is shuffled.  Otherwise rules are joined and the best one is found by event.  Every
+    row of `events` is an event of its own, whatever its id.
     """
-    rules, few = measured(rules, MAX_RULES)
+    rules, few = measured(rules, max_rules)
     if not few:
+        rows = checkpointed(events.withColumn("_row", F.monotonically_increasing_id()))
         # A window partition holds the rules of one event.
-        w = Window.partitionBy("event_id").orderBy(F.desc("rule_level"), "rule_id")
-        return rule_hits(events, rules).withColumn("is_best", F.row_number().over(w) == 1)
+        w = Window.partitionBy("_row").orderBy(F.desc("rule_level"), "rule_id")
+        return rule_hits(rows, rules).withColumn("is_best", F.row_number().over(w) == 1).drop("_row")
     best_first = [F.col("rule_level").isNull().alias("_last"), (-F.col("rule_level").cast("double")).alias("_down")]
-    one = F.struct(*best_first, "rule_id", "rule_level", "min_magnitude", "attr_lo", "attr_hi")
-    lists = checkpointed(rules.groupBy(category_key(F.col("category")).alias("_key")).agg(F.collect_list(one).alias("_rules")))
-    # The rules without a category are one row, for all events.
-    wild = lists.filter("_key.any").select("_rules").scalar()
-    own = F.broadcast(lists.filter("not _key.any"))
+    own, every = category_lists(rules, F.struct(*best_first, "rule_id", "rule_level", "min_magnitude", "attr_lo", "attr_hi"))
     looked = events.withColumn("_key", own_key(F.col("category"))).join(own, "_key", "left")
-    none = F.array().cast(lists.schema["_rules"].dataType)
-    every = F.concat(F.coalesce("_rules", none), F.coalesce(wild, none))
     hits = F.sort_array(F.filter("_every", lambda r: _fits(lambda c: r[c])))
     return looked.withColumn("_every", every).select(*events.columns, F.posexplode(hits).alias("_place", "_rule")).select(
         *events.columns, "_rule.rule_id", "_rule.rule_level", (F.col("_place") == 0).alias("is_best")
@@ -135,39 +140,56 @@ def prune_alerts(
     return join_same(kept, sizes, per).select(*alerts.columns, pruned.alias("n_pruned"))
 
 
-def root_cause(
-    incidents: DataFrame, alerts: DataFrame, edge: DataFrame, lookback_s: int, hops: int = 1, entity: str = "entity_id"
-) -> DataFrame:
-    """For each incident the earliest alert, inside the look-back, of its entity or of one upstream within `hops`.
-
-    Every (incident, node) asks for the first alert at or after the start of the look-back; alerts
-    and questions run through one ordered pass per node.
-    """
-    incidents = checkpointed(incidents)
+def _reach(incidents: DataFrame, edge: DataFrame, hops: int, entity: str) -> DataFrame:
+    """(_e, node): each entity with incidents, and the nodes upstream of it within `hops`."""
     links = edge.select(F.col("dst").alias("_at"), F.col("src").alias("_up")).distinct()
     reach = incidents.select(entity).distinct().select(F.col(entity).alias("_e"), F.col(entity).alias("node"))
     for _ in range(hops):
         step = reach.join(links, F.col("node") == F.col("_at")).select("_e", F.col("_up").alias("node"))
         reach = reach.unionByName(step).distinct()
+    return checkpointed(reach)
+
+
+def cause_lines(incidents: DataFrame, alerts: DataFrame, reach: DataFrame, lookback_s: int, entity: str = "entity_id") -> DataFrame:
+    """Questions (_side 0) and alerts (_side 1) by `_place`, in whose order of time every question finds its answer.
+
+    An entity's incidents may ask each upstream node, which makes incidents x nodes questions, or have the alerts of
+    those nodes brought to the entity, which makes one question per incident.  Each entity does what makes fewer
+    rows: at a hub with many incidents the alerts move, elsewhere the questions do.
+    """
+    asks = incidents.groupBy(F.col(entity).alias("_e")).agg(F.count("*").alias("_asks"))
+    held = alerts.groupBy(F.col(entity).alias("node")).agg(F.count("*").alias("_held"))
+    costs = reach.join(held, "node", "left").groupBy("_e").agg(F.count("*").alias("_nodes"), F.coalesce(F.sum("_held"), F.lit(0)).alias("_brought"))
+    brings = costs.join(asks, "_e").select("_e", (F.col("_brought") + F.col("_asks") < F.col("_asks") * F.col("_nodes")).alias("_bring"))
+    reach = reach.join(brings, "_e")
     start = micros("session_start")
-    asked = incidents.join(reach, F.col(entity) == F.col("_e")).select(
-        "node", "incident_id", start.alias("_hi"), (start - lookback_s * _US).alias("_t"), F.lit(0).alias("_side")
-    )
-    seen = alerts.select(
-        F.col(entity).alias("node"),
-        micros("ts").alias("_t"),
-        F.lit(1).alias("_side"),
-        F.col("event_id").alias("_id"),
+    place = lambda kind, name: F.struct(F.lit(kind).alias("brought"), F.col(name).alias("node")).alias("_place")
+    question = ["incident_id", start.alias("_hi"), (start - lookback_s * _US).alias("_t"), F.lit(0).alias("_side"), F.col("incident_id").alias("_id")]
+    alert = [
+        micros("ts").alias("_t"), F.lit(1).alias("_side"), F.col("event_id").alias("_id"),
         F.struct("ts", "event_id", F.col(entity).alias("node")).alias("_alert"),
-    )
-    run = running(
-        asked.withColumn("_id", F.col("incident_id")).unionByName(seen, allowMissingColumns=True),
-        ["node"],
-        ["_t", "_side", "_id"],
-        F.col("_t"),
-        [Running("_first", "last", F.col("_alert"))],
-        descending=True,
-    ).filter((F.col("_side") == 0) & (micros(F.col("_first.ts")) <= F.col("_hi")))
+    ]
+    by_entity = F.col(entity) == F.col("_e")
+    asked = incidents.join(reach.filter("not _bring"), by_entity).select(place(False, "node"), *question)
+    bring = incidents.join(brings.filter("_bring"), by_entity).select(place(True, "_e"), *question)
+    own = alerts.select(place(False, entity), *alert)
+    brought = alerts.join(reach.filter("_bring"), F.col(entity) == F.col("node")).select(place(True, "_e"), *alert)
+    return asked.unionByName(bring).unionByName(own.unionByName(brought), allowMissingColumns=True)
+
+
+def root_cause(
+    incidents: DataFrame, alerts: DataFrame, edge: DataFrame, lookback_s: int, hops: int = 1, entity: str = "entity_id"
+) -> DataFrame:
+    """For each incident the earliest alert, inside the look-back, of its entity or of one upstream within `hops`.
+
+    A question is for the first alert at or after the start of the look-back; alerts and questions run through one
+    ordered pass per place (see `cause_lines`).
+    """
+    incidents = checkpointed(incidents)
+    lines = cause_lines(incidents, alerts, _reach(incidents, edge, hops, entity), lookback_s, entity)
+    first = Running("_first", "last", F.col("_alert"))
+    run = running(lines, ["_place"], ["_t", "_side", "_id"], F.col("_t"), [first], descending=True)
+    run = run.filter((F.col("_side") == 0) & (micros(F.col("_first.ts")) <= F.col("_hi")))
     causes = run.groupBy("incident_id").agg(F.min("_first").alias("c"))
     return incidents.join(causes, "incident_id").select(
         *incidents.columns,

@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from wardline.functions import ip_to_long, mask_address, version_key
+from wardline.functions import ip_to_long, mask_address, version_key, version_number
 from wardline.operators.ordered import Running, micros, running
 from wardline.operators.sizing import checked_broadcast
+from wardline.session import checkpointed
 
 
 def enrich_iocs(obs: DataFrame, feed: DataFrame, on: Sequence[str]) -> DataFrame:
@@ -162,18 +163,44 @@ def correlate_pairs(
     )
 
 
+def vulnerable_versions(versions: DataFrame, vuln: DataFrame) -> DataFrame:
+    """(vendor, version, vuln_id) for each distinct version in an affected range: a sweep over ranks, without pairs to test.
+
+    `versions` has vendor, version and `_k`.  Range ends and versions of a vendor go through one ordered run, which
+    gives each end the number of versions below it.  A range is then a run of ranks, and each of these is a hit.
+    """
+    ends = vuln.select("vendor", "vuln_id", version_key(F.col("lo")).alias("_lo"), version_key(F.col("hi")).alias("_hi"), F.col("hi").isNull().alias("_open"))
+    ends = ends.filter(F.col("_lo").isNotNull() & (F.col("_open") | F.col("_hi").isNotNull()))
+    point = lambda df, k, own: df.select("vendor", F.col(k).alias("_k"), F.lit(own).cast("long").alias("_own"))
+    points = point(versions, "_k", 1).unionAll(point(ends, "_lo", 0)).unionAll(point(ends.filter("not _open"), "_hi", 0))
+    points = points.groupBy("vendor", "_k").agg(F.max("_own").alias("_own"))
+    below = Running("_below", "sum", F.col("_own"))
+    ranks = checkpointed(running(points, ["vendor"], ["_k"], version_number(F.col("_k")), [below]).withColumn("_below", F.coalesce("_below", F.lit(0))))
+    rank = lambda k, to: ranks.select("vendor", F.col("_k").alias(k), F.col("_below").alias(to))
+    sizes = ranks.groupBy("vendor").agg(F.sum("_own").alias("_all"))
+    spans = ends.join(rank("_lo", "_from"), ["vendor", "_lo"]).join(sizes, "vendor").join(rank("_hi", "_to"), ["vendor", "_hi"], "left")
+    to = F.when(F.col("_open"), F.col("_all")).otherwise(F.col("_to"))
+    spans = spans.filter(to > F.col("_from"))
+    hits = spans.select("vendor", "vuln_id", F.explode(F.sequence(F.col("_from"), to - 1)).alias("_below"))
+    found = hits.join(ranks.filter("_own = 1").select("vendor", "_k", "_below"), ["vendor", "_below"])
+    return found.join(versions, ["vendor", "_k"]).select("vendor", "version", "vuln_id")
+
+
 def match_vulnerabilities(service: DataFrame, vuln: DataFrame) -> DataFrame:
     """Services whose version lies in an affected range of their vendor: lo <= version < hi, open where hi is null.
 
-    Ranges are tested once per distinct (vendor, version), not once per service.
+    Ranges are looked up once per distinct (vendor, version), not once per service.  `status` is ``affected``, or
+    ``not_comparable`` with a null `vuln_id` for a service whose version is missing or not numeric: nobody can
+    say whether it is affected.  A range with such an end takes nothing.
     """
-    versions = service.select("vendor", "version").distinct()
     k = version_key(F.col("version"))
-    affected = versions.join(vuln, "vendor").filter(
-        (k >= version_key(F.col("lo"))) & (F.col("hi").isNull() | (k < version_key(F.col("hi"))))
-    )
-    return service.join(affected.select("vendor", "version", "vuln_id"), ["vendor", "version"]).select(
-        *service.columns, "vuln_id"
+    versions = checkpointed(service.select("vendor", "version", k.alias("_k")).distinct().filter("_k is not null"))
+    affected = service.join(vulnerable_versions(versions, vuln), ["vendor", "version"])
+    unknown = service.filter(k.isNull())
+    columns = [F.col(c) for c in service.columns]
+    none = F.lit(None).cast(vuln.schema["vuln_id"].dataType).alias("vuln_id")
+    return affected.select(*columns, "vuln_id", F.lit("affected").alias("status")).unionAll(
+        unknown.select(*columns, none, F.lit("not_comparable").alias("status"))
     )
 
 

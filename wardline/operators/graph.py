@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wardline.operators.sizing import checked_broadcast
 from wardline.session import checkpointed
 
 
@@ -30,10 +31,33 @@ def build_edges(events: DataFrame) -> DataFrame:
     )
 
 
-def graph_pattern(edges: DataFrame, path: Sequence[str], filters: dict[int, Column] | None = None) -> DataFrame:
+#: Rows that the ends of one node may make in one task: more go to several.
+HUB_ROWS = 10_000_000
+
+
+def _salted(found: DataFrame, hop: DataFrame, hub_rows: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of a hop with `_salt`: the ends of a hub are dealt into parts, and its starts go to every part.
+
+    A hub is a node whose starts times ends are more than `hub_rows`; all other nodes have one part.
+    """
+    ins = found.groupBy("node").agg(F.count("*").alias("_in"))
+    outs = hop.groupBy(F.col("src").alias("node")).agg(F.count("*").alias("_out"))
+    salts = F.least(F.ceil(F.col("_in") * F.col("_out") / F.lit(hub_rows)), F.col("_out")).cast("int")
+    hubs = ins.join(outs, "node").select("node", salts.alias("_salts")).filter("_salts > 1")
+    hubs = checked_broadcast(hubs)
+    parts = F.coalesce("_salts", F.lit(1))
+    starts = found.join(hubs, "node", "left").withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).drop("_salts")
+    ends = hop.join(hubs, F.col("src") == F.col("node"), "left").withColumn("_salt", F.pmod(F.xxhash64("dst"), parts).cast("int"))
+    return starts, ends.drop("_salts", "node")
+
+
+def graph_pattern(
+    edges: DataFrame, path: Sequence[str], filters: dict[int, Column] | None = None, hub_rows: int = HUB_ROWS
+) -> DataFrame:
     """Typed path match over (src, dst, kind): where paths of these kinds start and end, and how many there are.
 
-    Paths that meet in a node are counted, not listed, so a hub does not multiply rows.
+    Paths that meet in a node are counted, not listed.  A hub's starts and ends still meet in pairs, which are
+    the result; its ends are dealt into parts, so that no task has more than about `hub_rows` of them.
     `filters` holds, per 0-based hop, a predicate on the edge's own columns.
     """
     filters = filters or {}
@@ -46,8 +70,9 @@ def graph_pattern(edges: DataFrame, path: Sequence[str], filters: dict[int, Colu
         if found is None:
             found = hop.select(F.col("src").alias("start"), F.col("dst").alias("node"), F.col("_m").alias("n_paths"))
         else:
+            starts, ends = _salted(found, hop, hub_rows)
             found = (
-                found.join(hop, F.col("node") == F.col("src"))
+                starts.join(ends, (F.col("node") == F.col("src")) & (starts["_salt"] == ends["_salt"]))
                 .groupBy("start", F.col("dst").alias("node"))
                 .agg(F.sum(F.col("n_paths") * F.col("_m")).alias("n_paths"))
             )
@@ -128,16 +153,62 @@ def pagerank(edge: DataFrame, d: float = 0.85, iters: int = 10, slice_edges: int
     return ranks.select("node", "rank")
 
 
+_WORD = 64
+
+
+def bit_search(edge: DataFrame, starts: DataFrame, k: int | None) -> tuple[DataFrame, DataFrame]:
+    """(numbered, reached) of searches from many starts at once, 64 of them in one word per node.
+
+    numbered: (node, block, bit) of each start.  reached: (block, node, bits, hops), where the bits are the starts of
+    the block that reach the node for the first time in `hops` steps.  A round has at most nodes x blocks rows and
+    combines its words with `bit_or` before the shuffle.  k of None goes on until nothing new is found.
+    """
+    links = checkpointed(edge.select("src", "dst").distinct())
+    # Numbers rise by one within a partition, so words are full but for the last one of each.
+    numbered = starts.select("node").distinct().withColumn("_n", F.monotonically_increasing_id())
+    block, bit = F.shiftright("_n", 6), (F.col("_n") % _WORD).cast("int")
+    numbered = checkpointed(numbered.select("node", block.alias("block"), bit.alias("bit")))
+    one = F.expr("shiftleft(1L, bit)")
+    frontier = checkpointed(numbered.groupBy("block", "node").agg(F.bit_or(one).alias("bits")).withColumn("hops", F.lit(0)))
+    seen, reached, h = frontier.drop("hops"), frontier, 0
+    while k is None or h < k:
+        h += 1
+        step = frontier.join(links, F.col("node") == F.col("src")).groupBy("block", F.col("dst").alias("node")).agg(F.bit_or("bits").alias("_new"))
+        fresh = step.join(seen, ["block", "node"], "left")
+        new = F.col("_new").bitwiseAND(F.bitwise_not(F.coalesce("bits", F.lit(0).cast("long"))))
+        fresh = fresh.select("block", "node", new.alias("bits")).filter("bits <> 0")
+        frontier = checkpointed(fresh.withColumn("hops", F.lit(h)))
+        if frontier.isEmpty():
+            break
+        reached = reached.unionByName(frontier)
+        if h % 8 == 0:
+            reached = checkpointed(reached)
+        seen = checkpointed(seen.unionByName(frontier.drop("hops")).groupBy("block", "node").agg(F.bit_or("bits").alias("bits")))
+    return numbered, reached
+
+
+def per_start(reached: DataFrame, numbered: DataFrame, value: Column | None = None, name: str = "n") -> DataFrame:
+    """(node, hops, `name`) for each start: how many nodes it reaches in `hops` steps, or the sum of `value` over them.
+
+    Each block has one sum per bit, so the rows that meet are as many as the blocks and hops.
+    """
+    has = lambda i: F.expr(f"shiftrightunsigned(bits, {i}) & 1")
+    one = lambda i: F.sum(has(i)) if value is None else F.sum(F.when(has(i) == 1, value))
+    sums = reached.groupBy("block", "hops").agg(*[one(i).alias(f"_{i}") for i in range(_WORD)])
+    each = sums.select("block", "hops", F.posexplode(F.array(*[F.col(f"_{i}") for i in range(_WORD)])).alias("bit", name))
+    return each.join(numbered, ["block", "bit"]).select("node", "hops", name)
+
+
 def harmonic_closeness(edge: DataFrame, k: int) -> DataFrame:
     """Sum of 1/hops over the nodes that a node reaches within k hops; exact at every size.
 
-    All nodes are followed at once, as rows (start, node), so the work grows with what they reach
-    together.  On large dense graphs `harmonic_closeness_approx` does with one sketch per node.
+    All nodes are followed at once, 64 of them in one word per node (`bit_search`).  On large dense graphs
+    `harmonic_closeness_approx` does with one sketch per node.
     """
-    nodes = checkpointed(edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct())
-    reached = k_hop(edge, nodes.select(F.col("node").alias("start"), "node"), k, by=["start"])
-    near = F.sum(F.when(F.col("hops") > 0, 1 / F.col("hops")))
-    return reached.groupBy(F.col("start").alias("node")).agg(F.coalesce(near, F.lit(0.0)).alias("closeness"))
+    nodes = edge.select(F.explode(F.array("src", "dst")).alias("node")).distinct()
+    numbered, reached = bit_search(edge, nodes, k)
+    near = F.sum(F.when(F.col("hops") > 0, F.col("n") / F.col("hops")))
+    return per_start(reached, numbered).groupBy("node").agg(F.coalesce(near, F.lit(0.0)).alias("closeness"))
 
 
 def harmonic_closeness_approx(edge: DataFrame, k: int, lg_k: int = 12) -> DataFrame:
@@ -175,19 +246,21 @@ def harmonic_closeness_approx(edge: DataFrame, k: int, lg_k: int = 12) -> DataFr
 
 
 def blast_radius(edge: DataFrame, node_value: DataFrame, seeds: DataFrame) -> DataFrame:
-    """For each seed the number and the total worth of all other nodes it reaches.
+    """For each seed that reaches others the number and the total worth of all other nodes it reaches, and the depth.
 
-    `seeds` has `node`, `node_value` has (`node`, `worth`).  All seeds are followed at once; the work
-    grows with what the seeds reach together, so seeds are the nodes of open cases, not all nodes.
+    `seeds` has `node`, `node_value` has one row per node (`node`, `worth`).  All seeds are followed at once, 64 of
+    them in one word per node.
     """
-    starts = seeds.select(F.col("node").alias("seed"), "node")
-    reached = k_hop(edge, starts, None, by=["seed"]).filter(F.col("hops") > 0)
+    numbered, reached = bit_search(edge, seeds, None)
+    reached = checkpointed(reached.filter("hops > 0").join(node_value, "node", "left"))
+    counts = per_start(reached, numbered).filter("n > 0")
+    worth = per_start(reached, numbered, F.col("worth").cast("decimal(18,2)"), "worth")
     return (
-        reached.join(node_value, "node", "left")
-        .groupBy("seed")
+        counts.join(worth, ["node", "hops"])
+        .groupBy(F.col("node").alias("seed"))
         .agg(
-            F.count("*").alias("n_reached"),
-            F.coalesce(F.sum(F.col("worth").cast("decimal(18,2)")), F.lit(0)).cast("double").alias("worth"),
+            F.sum("n").alias("n_reached"),
+            F.coalesce(F.sum("worth"), F.lit(0)).cast("double").alias("worth"),
             F.max("hops").alias("depth"),
         )
     )

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from wardline.functions import version_key
+from wardline.functions import version_key, version_number
+from wardline.operators.ordered import position
 
 
 def membership_filter(df: DataFrame, allowed: DataFrame, key: str) -> DataFrame:
@@ -48,10 +49,15 @@ def _unique(df: DataFrame, key: str) -> DataFrame:
 
 
 def upsert_by_key(target: DataFrame, updates: DataFrame, key: str) -> DataFrame:
-    """Replace rows of equal key by their update, append updates with a new key, keep the rest."""
-    new = _unique(updates.select(*target.columns), key).withColumnRenamed("_row", "_new")
-    old = target.select(F.col(key), F.struct(*target.columns).alias("_old"))
-    return old.join(new, key, "full_outer").select(F.coalesce("_new", "_old").alias("r")).select("r.*")
+    """Replace rows of equal key by their update, append updates with a new key, keep the rest.
+
+    A null key is a key like any other, so a second run changes nothing.
+    """
+    # A full outer join on a null-safe condition would be a nested loop; the key and whether it is null are plain ones.
+    on = [F.coalesce(F.col(key).cast("string"), F.lit("")).alias("_on"), F.col(key).isNull().alias("_null")]
+    new = _unique(updates.select(*target.columns), key).select(*on, F.col("_row").alias("_new"))
+    old = target.select(*on, F.struct(*target.columns).alias("_old"))
+    return old.join(new, ["_on", "_null"], "full_outer").select(F.coalesce("_new", "_old").alias("r")).select("r.*")
 
 
 def insert_if_absent(target: DataFrame, new: DataFrame, key: str) -> DataFrame:
@@ -87,9 +93,8 @@ def upgrade_path(
         (version_key(F.col(col)) > at(current)) & (version_key(F.col(col)) <= at(target))
     )
     steps = releases.filter(wanted).select(*by, col).distinct().withColumn("_k", version_key(F.col(col)))
-    # Distinct versions of one product: a short list by nature, whatever the number of rows.
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_k")
-    return steps.withColumn("step", F.row_number().over(w)).drop("_k")
+    steps = steps.withColumn("_all", F.lit(0))
+    return position(steps, ["_all", *by], ["_k"], version_number(F.col("_k")), "step").withColumn("step", F.col("step").cast("int")).drop("_k", "_all")
 
 
 def profile_set_ops(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
 from wardline.operators.same import join_same
-from wardline.operators.sizing import checked_broadcast
+from wardline.operators.sizing import MAX_ROWS, checked_broadcast, measured
+from wardline.session import checkpointed
 
 HOT_ROWS = 20_000_000  # what one task may still sort in good time
 HOT_KEYS = 4096  # also: a key with more than 1/HOT_KEYS of all rows is always found
@@ -236,18 +237,62 @@ def nth_before(df, keys, order, at, n: int, name: str, value: Column) -> DataFra
     return placed.join(earlier, [*match, F.col("_pos") == F.col("_to")], "left").select(*df.columns, name)
 
 
+#: Bits of a value that a round of a histogram looks at; together all 64.
+_ROUNDS = (22, 21, 21)
+_BUCKET = "_bucket"
+
+
+def ordered_bits(value: Column) -> Column:
+    """A double as a long of the same order: NaN after all numbers, -0.0 as 0.0."""
+    number = F.coalesce(value.cast("double"), F.lit(0.0)) + F.lit(0.0)
+    bits = F.java_method(F.lit("java.lang.Double"), F.lit("doubleToLongBits"), number).cast("long")
+    return F.when(value.isNull(), None).when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+
+
+def _value_of(bits: Column) -> Column:
+    raw = F.when(bits >= 0, bits).otherwise(bits.bitwiseXOR(F.lit((1 << 63) - 1)))
+    return F.java_method(F.lit("java.lang.Double"), F.lit("longBitsToDouble"), raw).cast("double")
+
+
 def value_ranks(df: DataFrame, groups: Sequence[str], value: str, *, descending: bool = False) -> DataFrame:
     """Per group, one row per distinct value: `cnt`, rows `below` it, distinct values below, group size `n`.
 
     All rank functions follow from it: rank = below + 1, dense_rank = distinct_below + 1,
     percent_rank = below / (n - 1), cume_dist = (below + cnt) / n.  Ties collapse
     before the shuffle, so a value shared by a third of all rows costs nothing.
+
+    Numbers are ordered within buckets of about a thousandth of their size, which are as many tasks as there are
+    buckets, however few the groups; what lies in the buckets below comes from a histogram, which is bounded.
     """
+    if isinstance(df.schema[value].dataType, StringType):
+        return _text_ranks(df, groups, value, descending)
+    groups = list(groups)
+    counted = df.groupBy(*groups, value).agg(F.count("*").alias("cnt"))
+    # A null has a bucket of its own: before all numbers, or after them where the order falls.
+    bucket = F.coalesce(F.shiftright(ordered_bits(F.col(value)), 64 - _ROUNDS[0]).cast("long"), F.lit(-(1 << 40)))
+    counted = checkpointed(counted.withColumn(_BUCKET, -bucket if descending else bucket))
+    hist = counted.groupBy(*groups, _BUCKET).agg(F.sum("cnt").alias("_c"), F.count("*").alias("_d"))
+    # At most 2^22 buckets in a group.
+    w = Window.partitionBy(*groups).orderBy(_BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    base = hist.select(
+        *groups, _BUCKET, F.coalesce(F.sum("_c").over(w), F.lit(0)).alias("_b"), F.coalesce(F.sum("_d").over(w), F.lit(0)).alias("_e"),
+        F.sum("_c").over(Window.partitionBy(*groups)).alias("n"),
+    )
+    order = F.desc_nulls_last(value) if descending else F.asc_nulls_first(value)
+    inside = Window.partitionBy(*groups, _BUCKET).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumns({"_i": F.coalesce(F.sum("cnt").over(inside), F.lit(0)), "_j": F.coalesce(F.count("*").over(inside), F.lit(0))})
+    out = join_same(placed, base, [*groups, _BUCKET])
+    return out.select(
+        *groups, value, "cnt", (F.col("_b") + F.col("_i")).cast("long").alias("below"), (F.col("_e") + F.col("_j")).cast("long").alias("distinct_below"), "n"
+    )
+
+
+def _text_ranks(df: DataFrame, groups: Sequence[str], value: str, descending: bool) -> DataFrame:
     split = profile_keys(df, groups, F.col(value))
     counted = df.groupBy(*groups, value).agg(F.count("*").alias("cnt"))
     specs = [Running("below", "sum", F.col("cnt")), Running("distinct_below", "sum", F.lit(1).cast("long"))]
     ranked = running(counted, groups, [value], F.col(value), specs, descending=descending, split=split)
-    sizes = df.groupBy(*groups).agg(F.count("*").alias("n"))
+    sizes = counted.groupBy(*groups).agg(F.sum("cnt").alias("n"))
     if not split.plain:
         # The pieces of a heavy group must not meet again for the sake of this join.
         sizes = checked_broadcast(sizes)
@@ -257,23 +302,52 @@ def value_ranks(df: DataFrame, groups: Sequence[str], value: str, *, descending:
 
 
 def exact_quantiles(df: DataFrame, groups: Sequence[str], value: str, probs: dict[str, float]) -> DataFrame:
-    """Exact interpolated quantiles per group, one column per name in `probs`.
+    """Exact interpolated quantiles per group, one column per name in `probs`; values are taken as doubles.
 
-    No group is ever held in one place: values are counted, ranked piecewise,
-    and only the one or two values at each wanted rank are kept.
+    Selection by histograms: three reads, each of which counts the values by the next bits and goes on with the
+    buckets that hold a wanted rank.  The counts are combined before the shuffle, so a group may hold all rows.
     """
-    ranks = value_ranks(df.filter(F.col(value).isNotNull()), groups, value)
-    aggs = []
-    for name, p in probs.items():
-        place = (F.col("n") - 1) * F.lit(float(p))
-        lo, hi = F.floor(place), F.ceil(place)
-        at = lambda r: F.max(F.when((F.col("below") <= r) & (r < F.col("below") + F.col("cnt")), F.col(value)))
-        aggs += [at(lo).alias(f"_lo_{name}"), at(hi).alias(f"_hi_{name}"), F.max(place - lo).alias(f"_f_{name}")]
-    picked = ranks.groupBy(*groups).agg(*aggs)
+    groups = list(groups)
+    bits = ordered_bits(F.col(value))
+    cuts = [F.shiftright(bits, 42)] + [F.shiftright(bits, s).bitwiseAND(F.lit((1 << 21) - 1)) for s in (21, 0)]
+    rows = df.filter(F.col(value).isNotNull()).select(*groups, *[c.alias(f"_b{i}") for i, c in enumerate(cuts)])
+    wanted = None
+    for i in range(len(_ROUNDS)):
+        by, bucket = [*groups, *[f"_b{j}" for j in range(i)]], f"_b{i}"
+        left = rows if wanted is None else join_same(rows, wanted.select(*by), by)
+        counted = left.groupBy(*by, bucket).agg(F.count("*").alias("cnt"))
+        # A window partition holds one histogram: at most 2^22 rows.
+        ranked = counted.withColumn("_below", F.sum("cnt").over(Window.partitionBy(*by).orderBy(bucket)) - F.col("cnt"))
+        if wanted is None:
+            place = lambda p: (F.sum("cnt").over(Window.partitionBy(*groups)) - 1) * F.lit(float(p))
+            rank = lambda n, side, r, p: F.struct(F.lit(n).alias("name"), F.lit(side).alias("side"), r(place(p)).cast("long").alias("rank"), (place(p) - F.floor(place(p))).alias("part"))
+            ranks = [rank(n, side, r, p) for n, p in probs.items() for side, r in (("lo", F.floor), ("hi", F.ceil))]
+            ranked = ranked.withColumn("_ranks", F.array(*ranks))
+        else:
+            ranked = join_same(ranked, wanted, by)
+        here = F.filter("_ranks", lambda r: (r["rank"] >= F.col("_below")) & (r["rank"] < F.col("_below") + F.col("cnt")))
+        moved = F.transform("_here", lambda r: r.withField("rank", r["rank"] - F.col("_below")))
+        hit = ranked.withColumn("_here", here).filter(F.size("_here") > 0).select(*by, bucket, moved.alias("_ranks"))
+        if i == 0:
+            wanted, small = measured(hit, MAX_ROWS // (2 * len(probs)))
+        elif i == 1:
+            # No more rows than wanted ranks; the first round has shown how many groups there are.
+            wanted = checkpointed(hit)
+        else:
+            wanted = hit
+        wanted = F.broadcast(wanted) if small and i < 2 else wanted
+    found = _value_of(F.shiftleft("_b0", 42).bitwiseOR(F.shiftleft("_b1", 21)).bitwiseOR(F.col("_b2")))
+    flat = wanted.select(*groups, found.alias("_v"), F.explode("_ranks").alias("_r"))
+    one = lambda n, side, c: F.max(F.when((F.col("_r.name") == n) & (F.col("_r.side") == side), c))
+    picked = flat.groupBy(*groups).agg(
+        *[a for n in probs for a in (one(n, "lo", F.col("_v")).alias(f"_lo_{n}"), one(n, "hi", F.col("_v")).alias(f"_hi_{n}"), one(n, "lo", F.col("_r.part")).alias(f"_f_{n}"))]
+    )
     return picked.select(
         *groups,
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}")).alias(n)
+            F.when(F.col(f"_lo_{n}") == F.col(f"_hi_{n}"), F.col(f"_lo_{n}"))
+            .otherwise(F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_f_{n}"))
+            .alias(n)
             for n in probs
         ],
     )

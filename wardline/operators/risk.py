@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import DateType, NumericType
 
-from wardline.operators.ordered import exact_quantiles, position, value_ranks
+from wardline.operators.ordered import Running, exact_quantiles, micros, nth_before, position, running, value_ranks
 from wardline.session import checkpointed
 from wardline.operators.same import join_same
 
@@ -69,18 +71,33 @@ def daily_score(alerts: DataFrame, t: str = "ts", level: str = "level", by: Sequ
     return alerts.groupBy(*by, F.col(t).cast("date").alias("day")).agg(F.sum(level).cast("long").alias("score"))
 
 
+def _time_number(df: DataFrame, t: str) -> Column:
+    """A number in the order of a date, a time or a number."""
+    kind = df.schema[t].dataType
+    return F.unix_date(t) if isinstance(kind, DateType) else F.col(t).cast("double") if isinstance(kind, NumericType) else micros(t)
+
+
 def risk_trend(daily: DataFrame, t: str = "day", col: str = "score", by: Sequence[str] = (), window: int = 7) -> DataFrame:
-    """Daily score with moving mean, change to the row before, highest so far.
+    """Score with the mean over the last `window` rows, the change to the row before, and the highest so far.
 
-    Takes one row per day and group, so a window partition is as long as the calendar.
+    The mean is a difference of running sums, so nothing depends on how many rows a group has.
     """
-    w = Window.partitionBy(*(by or [F.lit(0)])).orderBy(t)
-    return daily.withColumns(
-        {
-            "moving_mean": F.avg(col).over(w.rowsBetween(1 - window, 0)),
-            "change": F.col(col) - F.lag(col).over(w),
-            "running_max": F.max(col).over(w.rowsBetween(Window.unboundedPreceding, 0)),
-        }
+    keys, at = ["_all", *by], _time_number(daily, t)
+    number = F.col(col).cast("decimal(38,6)")
+    rows = running(
+        daily.withColumn("_all", F.lit(0)), keys, [t, col], at,
+        [
+            Running("_before", "previous", F.col(col)),
+            Running("running_max", "max", F.col(col), strict=False),
+            Running("_sum", "sum", F.coalesce(number, F.lit(0)), strict=False),
+            Running("_n", "sum", F.when(F.col(col).isNotNull(), 1).otherwise(0).cast("long"), strict=False),
+        ],
+    )
+    rows = nth_before(rows, keys, [t, col], at, window, "_gone", F.struct("_sum", "_n"))
+    total = (F.col("_sum") - F.coalesce(F.col("_gone._sum"), F.lit(0))).cast("double")
+    n = F.col("_n") - F.coalesce(F.col("_gone._n"), F.lit(0))
+    return rows.select(
+        *daily.columns, F.when(n > 0, total / n).alias("moving_mean"), (F.col(col) - F.col("_before")).alias("change"), "running_max"
     )
 
 
@@ -98,20 +115,33 @@ def risk_projection(daily: DataFrame, horizon: int, by: Sequence[str], t: str =
 
 
 def ewma(df: DataFrame, key: Sequence[str], t: str, col: str, alpha: float) -> DataFrame:
-    """Exponentially weighted mean in time order, one value per row.
+    """Exponentially weighted mean in time order, one value per row: (key, t, ewma).
 
-    Takes one row per key and day: the list folded here is as long as the calendar.
+    The mean is a chain of linear maps, e -> (1 - alpha) e + alpha x, and chains of them compose.  A key's rows are cut
+    into blocks, short enough that the powers of (1 - alpha) keep their precision.  Within a block the mean is a
+    running sum of weighted values; what a block hands on is a plain sum, and reaches four blocks at most, beyond
+    which its weight is below what a double can hold.  Rows of equal time go by value; a row without a value repeats
+    the mean so far.
     """
-    rows = F.sort_array(F.collect_list(F.struct(F.col(t).alias("t"), F.col(col).cast("double").alias("x"))))
-    empty = F.array().cast(f"array<struct<t:{df.schema[t].dataType.simpleString()},x:double,e:double>>")
-
-    def fold(acc, r):
-        before = F.element_at(acc, -1)["e"]
-        e = F.when(F.size(acc) == 0, r["x"]).otherwise(F.lit(alpha) * r["x"] + F.lit(1 - alpha) * before)
-        return F.concat(acc, F.array(F.struct(r["t"].alias("t"), r["x"].alias("x"), e.alias("e"))))
-
-    folded = df.groupBy(*key).agg(rows.alias("_r")).select(*key, F.explode(F.aggregate("_r", empty, fold)).alias("r"))
-    return folded.select(*key, F.col("r.t").alias(t), F.col("r.e").alias("ewma"))
+    keys, left = list(key), 1.0 - alpha
+    size = 1 if left <= 0 else 1 << 40 if left >= 1 else max(1, int(230 / -math.log(left)))
+    at = _time_number(df, t)
+    rows = df.select(*keys, t, F.col(col).cast("double").alias("_x"))
+    seen = Running("_pos", "sum", F.when(F.col("_x").isNotNull(), 1).otherwise(0).cast("long"), strict=False)
+    rows = running(rows, keys, [t, "_x"], at, [seen])
+    before = F.greatest(F.col("_pos") - 1, F.lit(0))
+    power = lambda n: F.pow(F.lit(left), n) if left > 0 else F.when(n == 0, 1.0).otherwise(0.0)
+    share = F.when(F.col("_pos") == 1, F.col("_x")).otherwise(alpha * F.col("_x"))
+    rows = rows.withColumns({"_block": F.floor(before / size).cast("long"), "_at": before % size})
+    rows = rows.withColumn("_u", F.coalesce(share / power(F.col("_at")) if left > 0 else share, F.lit(0.0)))
+    w = Window.partitionBy(*keys, "_block").orderBy(t, "_x").rowsBetween(Window.unboundedPreceding, 0)
+    rows = checkpointed(rows.withColumn("_inside", F.sum("_u").over(w) * power(F.col("_at"))))
+    ends = rows.groupBy(*keys, "_block").agg((F.sum("_u") * F.lit(left ** (size - 1) if size < 1 << 40 else 1.0)).alias("_end"))
+    reach = F.array(*[F.struct((F.col("_block") + m).alias("to"), (F.col("_end") * F.lit((left**size) ** (m - 1))).alias("part")) for m in range(1, 5)])
+    handed = ends.select(*keys, F.explode(reach).alias("h")).groupBy(*keys, F.col("h.to").alias("_block")).agg(F.sum("h.part").alias("_handed"))
+    rows = join_same(rows, handed, [*keys, "_block"], "left")
+    mean = F.col("_inside") + F.coalesce(F.col("_handed") * power(F.col("_at") + 1), F.lit(0.0))
+    return rows.select(*keys, t, F.when(F.col("_pos") > 0, mean).alias("ewma"))
 
 
 def risk_rank(risk: DataFrame, per: str, n: int | None = None, col: str = "risk", id_col: str = "asset_id") -> DataFrame:

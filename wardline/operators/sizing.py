@@ -11,7 +11,15 @@ MAX_BYTES = 64 * 1024 * 1024
 
 
 def measured(df: DataFrame, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> tuple[DataFrame, bool]:
-    """`df`, materialised once, and whether it proved to be small."""
+    """`df`, materialised once, and whether it proved to be small.
+
+    Rows that are written in the query itself are known to be small without a job.
+    """
+    plan = df._jdf.queryExecution().optimizedPlan()
+    if plan.getClass().getSimpleName() == "LocalRelation":
+        known = plan.stats()
+        if int(str(known.rowCount().get())) <= max_rows and int(str(known.sizeInBytes())) <= max_bytes:
+            return df, True
     kept = checkpointed(df)
     size = (
         kept.select(F.length(F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]))).alias("b"))

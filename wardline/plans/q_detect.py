@@ -90,11 +90,11 @@ def correlate_pairs(spark, sf):
     return found.select("entity_id", "effect_id", "cause_id", "n_causes")
 
 
-@query("match_vulnerabilities", with_views("service vuln_feed", """SELECT service_id, s.vendor, version, vuln_id FROM service s JOIN vuln_feed f ON s.vendor = f.vendor
+@query("match_vulnerabilities", with_views("service vuln_feed", """SELECT service_id, s.vendor, version, vuln_id, 'affected' AS status FROM service s JOIN vuln_feed f ON s.vendor = f.vendor
  WHERE major * 1000 + minor >= 1010 AND (hi IS NULL OR major * 1000 + minor < 2025)"""))
 def match_vulnerabilities(spark, sf):
     return enrich.match_vulnerabilities(v.service(spark, sf), v.vuln_feed(spark, sf)).select(
-        "service_id", "vendor", "version", "vuln_id"
+        "service_id", "vendor", "version", "vuln_id", "status"
     )
 
 
