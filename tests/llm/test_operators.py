@@ -488,3 +488,51 @@ def test_a_unigram_model_is_rebuilt(tmp_path):
 
 def test_files_are_read_in_place():
     assert WORDS_FILE == public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_many_places_of_a_sequence_at_once():
+    rng = np.random.default_rng(8)
+    for n, top in ((1, 5), (1000, 10), (20_000, 400), (5000, 1)):
+        values = np.cumsum(rng.integers(0, top + 1, n))
+        coded = elias_fano.EliasFano(elias_fano.encode(values))
+        at = np.unique(rng.integers(0, n, max(1, n // 3)))
+        assert (coded.select_many(at) == values[at]).all() and (coded.select_many(np.arange(n)) == values).all()
+        assert coded.select_many(np.empty(0, int)).size == 0
+    with pytest.raises(IndexError):
+        coded.select_many(np.array([n]))
+
+
+def test_copies_of_a_label_are_no_evidence(spark):
+    """30 good documents guarantee no cutoff, however often their rows are repeated."""
+    good = [(i, "en", " ".join(f"word{i}x{j}" for j in range(60))) for i in range(30)]
+    odd = [(1000 + i, "en", " ".join(f"{'#' * 9}{i}{j}" for j in range(60))) for i in range(300)]
+    labels = spark.createDataFrame([(i, 1) for i in range(30)] + [(1000 + i, 0) for i in range(300)], "doc_id long, quality int")
+    for times in (1, 30):
+        docs = spark.createDataFrame(good * times + odd + [(None, "en", good[0][2])] * 50, "doc_id long, lang string, text string")
+        assert quality_rules.judge(docs, labels).where("size(rejected_by) > 0").count() == 0
+
+
+def test_the_sample_is_bounded_in_rows(spark, monkeypatch):
+    seen = []
+    fit = quality_bayes._fit
+    monkeypatch.setattr(quality_bayes, "_fit", lambda x, y: seen.append(len(x)) or fit(x, y))
+    docs = spark.createDataFrame([(1, f"good text number {i}", "s", "en") for i in range(500)] + [(2, "bad", "s", "en"), (None, "x", None, None)], "doc_id long, text string, source string, lang string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1)], "doc_id long, quality int")
+    assert quality_bayes.classify(docs, labels, sample=3).count() == 502 and seen == [2]
+
+
+def test_a_heavy_id_is_in_many_tiles(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, "src0" if i % 2 else "other") for i in range(3000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string")
+    out = pfair.place(docs, {"src0": 600}, 400, "doc_id", "source", 10, 100)
+    got = out.collect()
+    assert len(got) == 3000 and len({(r.slot, r.place) for r in got}) == 3000
+    for g in ("src0", ""):
+        mine = sorted((r.block, r.place) for r in got if r.group == g)
+        assert mine == [(i // 10, i % 10) for i in range(len(mine))]
+    plain = pfair.place(docs.where("doc_id > 7"), {"src0": 600}, 400, "doc_id", "source", 10, 100).collect()
+    again = pfair.place(docs.where("doc_id > 7").repartition(5), {"src0": 600}, 400, "doc_id", "source", 10, 100).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, again))
+    # The tiles of the heavy ids are no larger than others.
+    h = docs.withColumns({"group": F.lit(""), "_h": F.xxhash64("doc_id"), "_t": F.lit(0).cast("long")})
+    assert {x.parts for r in pfair._heavy(h, 100).collect() for x in r._heavy} == {10}

@@ -68,6 +68,21 @@ class EliasFano:
         at = block * _STEP + int(np.flatnonzero(bits)[i - int(self._directory[block])])
         return (at - i) << self.low_bits | int(self._low(i, 1)[0])
 
+    def select_many(self, at: np.ndarray) -> np.ndarray:
+        """The numbers at the places `at`, which rise: each block of the upper bits that holds one is opened once."""
+        at = np.asarray(at, np.int64)
+        if len(at) and not 0 <= at[0] <= at[-1] < self.n:
+            raise IndexError(at)
+        block = np.searchsorted(self._directory, at, "right") - 1
+        upper = np.empty(len(at), np.int64)
+        edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1]])) if len(at) else at
+        for x, y in zip(edges, np.append(edges[1:], len(at))):
+            b = int(block[x])
+            bits = np.unpackbits(self._upper[b * _STEP // 8 : (b + 1) * _STEP // 8], bitorder="little")
+            upper[x:y] = b * _STEP + np.flatnonzero(bits)[at[x:y] - int(self._directory[b])]
+        low = self._low(int(at[0]), int(at[-1] - at[0]) + 1)[at - at[0]] if len(at) else at
+        return (upper - at) << self.low_bits | low
+
     def all(self) -> np.ndarray:
         """All numbers."""
         at = np.flatnonzero(np.unpackbits(self._upper, bitorder="little")[: self._bits])

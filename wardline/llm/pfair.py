@@ -81,13 +81,31 @@ def mix(
     have places of their own.  No rows give no rows.
 
     A group's rows are numbered in tiles of about `task_rows` rows, and the tiles' sizes added up, so a source
-    with a third of all rows is spread over many tasks.  Only one count per group goes to the driver.
+    with a third of all rows is spread over many tasks, and so is an id that is repeated, or null, as often.  Only
+    one count per group and the heaviest ids go to the driver.
     """
     return place(require(docs, doc_id, source).toDF("id", "source"), weights, rest, "id", "source", block_rows, task_rows).toDF(
         doc_id, source, "group", "block", "release", "deadline", "slot", "place"
     )
 
 
+#: Heavy ids that are found at most; an id with a larger part of all rows than one in so many always is.
+HEAVY = 1024
+
+
+def _heavy(rows: DataFrame, task_rows: int) -> DataFrame:
+    """(group, _t, _heavy): the hashes in a tile that more than `task_rows` rows share, and into how many parts they go."""
+    name = F.concat_ws(" ", F.col("_t").cast("string"), F.col("_h").cast("string"), "group")
+    top = rows.select(name.alias("x")).agg(F.expr(f"approx_top_k(x, {HEAVY}, {8 * HEAVY})").alias("top")).first().top
+    found: dict[tuple[str, int], list[tuple[int, int]]] = {}
+    for r in top or []:
+        if r["count"] > task_rows:
+            t, h, group = r["item"].split(" ", 2)
+            found.setdefault((group, int(t)), []).append((int(h), -(-r["count"] // task_rows)))
+    # At most HEAVY hashes, from a sketch of bounded size.
+    return rows.sparkSession.createDataFrame([(*k, v) for k, v in found.items()], "group string, _t long, _heavy array<struct<h:long,parts:long>>")
+
+
 def place(rows: DataFrame, weights: dict[str, int], rest: int, doc_id: str, source: str, block_rows: int, task_rows: int) -> DataFrame:
     """`rows` with group, block, release, deadline, slot and place; the input may have any other columns but these."""
     spark = rows.sparkSession
@@ -95,7 +113,7 @@ def place(rows: DataFrame, weights: dict[str, int], rest: int, doc_id: str, sour
         raise ValueError("weights are whole numbers of at least 1 for named sources, and add up to MOST_SLOTS at most")
     columns = rows.columns
     group = F.when(F.col(f"`{source}`").isin(*weights), F.col(f"`{source}`")).otherwise("") if weights else F.lit("")
-    rows = rows.withColumns({"group": F.coalesce(group, F.lit("")), "_h": F.xxhash64(f"`{doc_id}`")})
+    rows = rows.withColumns({"group": F.coalesce(group, F.lit("")), "_h": F.xxhash64(f"`{doc_id}`"), "_row": F.monotonically_increasing_id()})
     count = {r["group"]: r["count"] for r in rows.groupBy("group").count().collect()}
     shares = {**weights, "": rest}
     spans, slots = phases(shares, {g: -(-n // block_rows) for g, n in count.items()})
@@ -104,11 +122,21 @@ def place(rows: DataFrame, weights: dict[str, int], rest: int, doc_id: str, sour
     tiles = {g: max(1, -(-n // task_rows)) for g, n in count.items()}
     most = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for g in tiles.items() for x in g]), F.col("group")), F.lit(1)) if tiles else F.lit(1)
     rows = rows.withColumn("_t", F.least(F.floor((F.col("_h") / F.lit(2.0**64) + 0.5) * most), most - 1).cast("long"))
-    sums = rows.groupBy("group", "_t").count()
-    before = Window.partitionBy("group").orderBy("_t").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select("group", "_t", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))
-    number = F.row_number().over(Window.partitionBy("group", "_t").orderBy("_h", f"`{doc_id}`"))
-    rows = rows.withColumn("_i", number - 1).join(sums, ["group", "_t"])
+    # Rows of a heavy id (or of none) have one hash: they are tiles of their own, between what lies before and after.
+    heavy = _heavy(rows, task_rows)
+    rows = rows.join(F.broadcast(heavy), ["group", "_t"], "left")
+    below = F.size(F.filter("_heavy", lambda x: x["h"] < F.col("_h")))
+    parts = F.get(F.filter("_heavy", lambda x: x["h"] == F.col("_h")), F.lit(0))["parts"]
+    rows = rows.withColumns({
+        "_v": F.coalesce(2 * below + F.when(parts.isNotNull(), 1).otherwise(0), F.lit(0)),
+        "_u": F.coalesce(F.pmod(F.xxhash64("_row"), parts), F.lit(0)),
+    })
+    tile = ["_t", "_v", "_u"]
+    sums = rows.groupBy("group", *tile).count()
+    before = Window.partitionBy("group").orderBy(*tile).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select("group", *tile, F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_b"))
+    number = F.row_number().over(Window.partitionBy("group", *tile).orderBy("_h", f"`{doc_id}`", "_row"))
+    rows = rows.withColumn("_i", number - 1).join(sums, ["group", *tile])
     rows = rows.withColumn("_i", F.col("_i") + F.col("_b"))
     rows = rows.withColumns({"block": F.floor(F.col("_i") / block_rows), "place": (F.col("_i") % block_rows).cast("int")})
 

@@ -137,7 +137,9 @@ def classify(
     truth = truth.groupBy("id").agg(F.min("good").alias("x"), F.max("good").alias("y")).where("x = y").select("id", (F.col("x") == 1).alias("good"))
     # `sample` rows at most, so small enough to broadcast.
     chosen = checked_broadcast(truth.orderBy(F.xxhash64("id"), "id").limit(sample))
-    fit = rows.join(chosen, "id").select("good", "text").mapInArrow(_sampled, "good boolean, x array<double>").toPandas()
+    # One row for each id, however often it is repeated.
+    one = rows.join(chosen, "id").groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
+    fit = one.select("good", "text").mapInArrow(_sampled, "good boolean, x array<double>").toPandas()
     if fit.empty or fit["good"].nunique() < 2:
         model = (np.zeros(len(FIGURES)), np.ones(len(FIGURES)), np.zeros(2 * len(FIGURES) + 1), 0.0)
     else:

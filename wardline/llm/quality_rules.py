@@ -158,7 +158,8 @@ def judge(
 
     base_failed: fewer than 50 words, or more than half of them repeated.  kept: not base_failed, and no rule of
     the row's stratum with a cutoff rejects it; rejected_by names the rules that do.  Strata with too few
-    labelled rows to bound the risk have no cutoffs.  A label counts once per id; ids with several unlike labels
+    labelled ids to bound the risk have no cutoffs; the risk is that of good documents which pass the base rule.
+    A label counts once per id, with the least of the id's rows; ids with several unlike labels
     and null labels or ids do not count.  A null stratum is one of its own.  `row` names a column that tells all
     rows apart, and adds it to the result as `row`.
     """
@@ -168,7 +169,10 @@ def judge(
     truth = require(labels, doc_id, quality).toDF("id", "good").where("id is not null and good is not null")
     truth = truth.groupBy("id").agg(F.min("good").alias("x"), F.max("good").alias("y")).where("x = y").select("id", (F.col("x") == 1).alias("good"))
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    chosen = saved(cutoffs(rows.where(~base).join(truth, "id"), alpha, delta, cost), "cutoffs")
+    # Copies under one id are no further evidence: the least of an id's rows stands for it.
+    figures = [c for c in rows.columns if c not in ("id", *tags)]
+    holdout = rows.where(~base).join(truth, "id").groupBy("id", "good").agg(F.min(F.struct(*figures)).alias("x")).select("good", "x.*")
+    chosen = saved(cutoffs(holdout, alpha, delta, cost), "cutoffs")
     # A row per stratum, at most as many rules as there are.
     chosen = chosen.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cuts"))
     rows = rows.join(chosen, "stratum", "left").withColumn("base_failed", base)

@@ -71,7 +71,7 @@ def op8_language_id(spark: SparkSession, sf: str) -> DataFrame:
     docs = _table(spark, sf, "documents")
     model = language_id.train(docs.where((language_id.fold() != 2) & F.col("lang").isNotNull()))
     out = language_id.predict(docs, model)
-    return out.select("doc_id", (language_id.fold() == 2).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
+    return out.select("doc_id", F.coalesce(language_id.fold() == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "cross_entropy", "rejected")
 
 
 def op9_chat_format(spark: SparkSession, sf: str) -> DataFrame:

@@ -20,6 +20,7 @@ from pyspark.sql.types import DataType
 
 from wardline.llm import elias_fano, words as W
 from wardline.llm.common import once, require
+from wardline.operators.sizing import checked_broadcast
 
 _MAGIC = b"EFT1"
 #: A block ends after the document with which it has this many ids.
@@ -165,7 +166,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for t in batches:
         for base, doc_ids, data in zip(t.column("base").to_pylist(), t.column("doc_ids"), t.column("data")):
             ends, ids = parse(data.as_py())
-            to = ends.all()
+            # Where a document ends and the one before it does, by select.
+            to = ends.select_many(np.arange(len(ends)))
             at = np.concatenate([[0], to[:-1]])
             wide = ids.astype("<u4")
             crc = [zlib.crc32(wide[a:b]) for a, b in zip(at, to)]
@@ -177,14 +179,15 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def blocks(spark: SparkSession, path: str) -> DataFrame:
     """The blocks in `path` with `base`, the number of ids before each."""
     every = spark.read.parquet(path)
-    # Sums per part first, so that only one row per part meets in one task.
+    # Sums per part first, so that only one row per part, and not per block, meets in one task.
     parts = every.groupBy("part").agg(F.sum("n_ids").alias("n"))
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     seqs = every.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("inside"))
     bases = seqs.join(parts, "part").select("part", "seq", (F.col("before") + F.col("inside")).alias("base"))
-    return every.join(bases, ["part", "seq"])
+    # A few bytes for each block of millions of ids: while these are few, the blocks stay where they are.
+    return every.join(checked_broadcast(bases), ["part", "seq"])
 
 
 def read_index(spark: SparkSession, path: str, id_type: DataType | str = "long") -> DataFrame:
