@@ -24,13 +24,15 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _numbered(docs: DataFrame) -> DataFrame:
-    """`docs` with `row`, a hash of the file and place that the row is written at; equal rows have rows of their own."""
-    row = F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("row")
+    """`docs` with `row`, the number of the file and the place in it; every row has its own, equal rows too."""
     try:
-        return docs.select(*COLUMNS, row)
+        placed = docs.select(*COLUMNS, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
     except AnalysisException:
         # Not straight from files.
-        return saved(docs, "numbered").select(*COLUMNS, row)
+        return _numbered(saved(docs, "numbered"))
+    files = placed.select("_file").distinct().coalesce(1).withColumn("_no", F.monotonically_increasing_id())
+    row = F.shiftleft("_no", 40).bitwiseOR(F.col("_at")).alias("row")
+    return placed.join(checked_broadcast(saved(files, "files")), "_file").select(*COLUMNS, row)
 
 
 def _but(docs: DataFrame, dropped: DataFrame) -> DataFrame:
@@ -39,25 +41,39 @@ def _but(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
 
 def classified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that text, source and language together show as bad, each row by its own verdict."""
+    """Without the documents that text, source and language together show as bad, each row by its own verdict.
+
+    A row with nulls is judged like any other; repeated rows stay or go alike; an empty table stays empty; columns
+    beyond those of documents are left out.
+    """
     docs = _numbered(docs)
     return _but(docs, quality_bayes.classify(docs, _labels(spark, sf_dir), row="row").where("not kept"))
 
 
 def ruled(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Without the documents that a rule rejects, each row by its own verdict."""
+    """Without the documents that a rule rejects, each row by its own verdict.
+
+    A row with nulls is judged like any other; repeated rows stay or go alike; an empty table stays empty; columns
+    beyond those of documents are left out.
+    """
     docs = _numbered(docs)
     return _but(docs, quality_rules.judge(docs, _labels(spark, sf_dir), row="row").where("not kept"))
 
 
 def deduplicated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The keeper row of each group of near copies, whatever ids its rows have."""
+    """The keeper row of each group of near copies, whatever ids its rows have.
+
+    Repeated rows are near copies; rows without words, or with a null text, all stay.  An empty table stays empty.
+    """
     docs = _numbered(docs)
     return _but(docs, ngram_join.jaccard_components(docs, row="row").where("not keeper"))
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents in the order of the mixture: parts follow one another, rows within them too."""
+    """All documents in the order of the mixture: parts follow one another, rows within them too.
+
+    A null source belongs to the rest; null and repeated ids have places of their own.  An empty table stays empty.
+    """
     docs = _numbered(docs)
     places = pfair.place(docs.select("row", "doc_id", "source"), WEIGHTS, REST, "doc_id", "source", pfair.BLOCK_ROWS, pfair.TASK_ROWS)
     places = saved(places.select("row", "slot", "place"), "places")
@@ -68,7 +84,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids of each document, with their digest, round trip and parity."""
+    """Ids of each document, with their digest, round trip and parity; a null text counts as empty."""
     return pieces.encode(docs, PIECES_FILE)
 
 
