@@ -51,7 +51,8 @@ def rule_hits(events: DataFrame, rules: DataFrame) -> DataFrame:
 
 def category_lists(rules: DataFrame, one: Column) -> tuple[DataFrame, Column]:
     """Measured few rules as lists `_rules`: a broadcast frame by `_key` for the categories, and the list of those without one."""
-    lists = rules.groupBy(category_key(F.col("category")).alias("_key")).agg(F.collect_list(one).alias("_rules"))
+    # Few rules fit one partition, where grouping them takes no exchange.
+    lists = rules.coalesce(1).groupBy(category_key(F.col("category")).alias("_key")).agg(F.collect_list(one).alias("_rules"))
     none = F.array().cast(lists.schema["_rules"].dataType)
     # The rules without a category are one row, for all events.
     wild = lists.filter("_key.any").select("_rules").scalar()
