@@ -6,6 +6,7 @@ from bisect import bisect_left
 from pyspark.sql import functions as F
 
 from wardline import streaming
+from wardline.operators import detect
 from wardline.operators.detect import frequency_rule
 from wardline.plans import views as v
 from wardline.plans.catalog import QUERIES
@@ -150,19 +151,77 @@ def test_late_rows_go_aside(spark):
     assert got == {1: False, 2: False, 3: True, 4: False, 5: False, 6: True, 7: False}
 
 
-def test_upsert_survives_restart_and_compaction(spark):
-    path, out, ckpt, short = (shared_dir(spark, "t") for _ in range(4))
+def test_upsert_survives_restart_and_repetition(spark):
+    path, out, ckpt = (shared_dir(spark, "t") for _ in range(3))
     order = ["ts", "event_id"]
-    run = lambda: streaming.stream_upsert(event_stream(spark, path, "*.parquet"), out, ckpt, "entity_id", order).awaitTermination()
-    now = lambda p: {r.entity_id: r.event_id for r in streaming.current_table(spark, p, "entity_id", order).collect()}
-    put(spark, path, [(1, 0, 1, "view", 1.0), (2, 5, 2, "view", 1.0)])
+    stream = lambda: event_stream(spark, path, "*.parquet").select("entity_id", "event_id", "ts", "category")
+    run = lambda to=ckpt: streaming.stream_upsert(stream(), out, to, "entity_id", order, buckets=4).awaitTermination()
+    now = lambda: {r.entity_id: r.event_id for r in streaming.current_table(spark, out).collect()}
+    put(spark, path, [(1, 0, 1, "view", 1.0), (2, 5, 2, "view", 1.0), (5, 5, None, "view", 1.0)])
+    run()
+    put(spark, path, [(3, 9, 1, "view", 1.0), (4, 1, 2, "view", 1.0), (6, 7, None, "view", 1.0), (7, 7, None, "view", 1.0)])
     run()
-    put(spark, path, [(3, 9, 1, "view", 1.0), (4, 1, 2, "view", 1.0)])
     run()
+    want = {1: 3, 2: 2, None: 7}
+    assert now() == want
+    # All batches once more, as after the loss of the checkpoint.
+    run(shared_dir(spark, "t"))
+    assert now() == want
+    assert streaming.current_table(spark, out).count() == 3
+
+
+def test_upsert_rewrites_the_buckets_of_a_batch_only(spark):
+    path, out, ckpt = (shared_dir(spark, "t") for _ in range(3))
+    run = lambda: streaming.stream_upsert(
+        event_stream(spark, path, "*.parquet").select("entity_id", "event_id", "ts"), out, ckpt, "entity_id", ["ts", "event_id"], 16
+    ).awaitTermination()
+    files = lambda: {r.f for r in spark.read.parquet(out).select(F.col("_metadata.file_path").alias("f")).distinct().collect()}
+    put(spark, path, [(i, i, i, "view", 1.0) for i in range(200)])
     run()
-    assert now(out) == {1: 3, 2: 2}
-    streaming.compact_table(spark, out, short, "entity_id", order)
-    assert now(short) == {1: 3, 2: 2}
+    before = files()
+    for i in range(3):
+        put(spark, path, [(1000 + i, 1000 + i, 7, "view", 1.0)])
+        run()
+    after = files()
+    # One file per bucket, however many batches there were; all but one are those of the first batch.
+    assert len(after) == len(before) and len(after - before) == 1
+    assert {r.entity_id: r.event_id for r in spark.read.parquet(out).collect()} == {**{i: i for i in range(200)}, 7: 1002}
+
+
+def test_leaders_of_a_window_within_the_stated_error(spark):
+    path = shared_dir(spark, "t")
+    rows = [(i, i % 3000, 1 if i % 3 == 0 else 2 if i % 4 == 1 else 10 + i, "view", 1.0) for i in range(3000)]
+    put(spark, path, rows[:1500])
+    put(spark, path, rows[1500:] + [(9000, 10, None, "view", 1.0)])
+    put(spark, path, [CLOSING])
+    top = lambda tracked: {
+        r.src: (r.about, r.error, r.n_events)
+        for r in drain(streaming.stream_top_talkers(event_stream(spark, path, "*.parquet"), "1 hour", "1 minute", 2, tracked=tracked), "t").collect()
+    }
+    true = {s: sum(r[2] == s for r in rows) for s in (1, 2)}
+    # More sources than the sketch tracks: about, with a bound.
+    small = top(64)
+    assert set(small) == {1, 2} and all(abs(small[s][0] - true[s]) <= small[s][1] < 200 for s in small)
+    # All sources tracked: exact.
+    large = top(4096)
+    assert {s: r[0] for s, r in large.items()} == true and all(r[2] == 3000 for r in large.values())
+
+
+def test_a_kept_model_scores_a_stream(spark):
+    rows = spark.createDataFrame([("a", 1.0, 5.0), ("a", 3.0, 5.0), ("b", 5.0, None), ("b", 7.0, 5.0)], "site string, magnitude double, flat double")
+    model = detect.federated_model(rows, "site", ["magnitude", "flat"])
+    kept = shared_dir(spark, "model")
+    model.write.parquet(kept)
+    path = shared_dir(spark, "t")
+    put(spark, path, [(1, 0, 1, "view", 4.0), (2, 0, 1, "view", 8.0), (3, 0, 1, "view", None)])
+    stream = event_stream(spark, path, "*.parquet").select("event_id", "magnitude", F.lit(2.0).alias("flat"))
+    got = {r.event_id: (r.score, r.z_flat) for r in drain(detect.score_by(stream, spark.read.parquet(kept)), "t").collect()}
+    sd = (20 / 3) ** 0.5
+    assert got[1] == (0.0, None) and abs(got[2][0] - 4 / sd) < 1e-12 and got[3] == (None, None)
+    batch = detect.federated_score(rows.select("site", "magnitude"), "site", ["magnitude"]).select("magnitude", "score")
+    again = detect.score_by(rows.select("magnitude"), model.filter("feature = 'magnitude'")).select("magnitude", "score")
+    rounded = lambda df: sorted((r.magnitude, round(r.score, 9)) for r in df.collect())
+    assert rounded(batch) == rounded(again)
 
 
 def test_bounded_batches_keep_all_lines(spark):

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, functions as F
 
@@ -22,6 +24,15 @@ def ip_to_long(ip: Column) -> Column:
     return F.when(is_ipv4(ip), number)
 
 
+def is_private(ip: Column) -> Column:
+    """True for an address of a private, loopback or link-local network; null if it is not a valid address."""
+    number = ip_to_long(ip)
+    # Fixed values: (first address, prefix) of those networks.
+    networks = ((10 << 24, 8), (127 << 24, 8), (169 << 24 | 254 << 16, 16), (172 << 24 | 16 << 16, 12), (192 << 24 | 168 << 16, 16))
+    inside = [number.between(first, first + (1 << 32 - prefix) - 1) for first, prefix in networks]
+    return reduce(or_, inside)
+
+
 def mask_address(number: Column, prefix: Column) -> Column:
     """The network part of an address: its lowest 32 - prefix bits set to zero."""
     # SQL function form: the shift width is a column.

@@ -66,19 +66,17 @@ def transition_matrix(
     return counts.withColumn("p", F.col("n") / F.sum("n").over(Window.partitionBy(state)))
 
 
-BUNDLE = "struct<type:string,id:string,objects:array<map<string,string>>>"
-
-
 def build_bundle(
     df: DataFrame, key: str, kind: str, obj_id: str, props: Sequence[str], at: Column, max_objects: int = 1000
 ) -> DataFrame:
-    """Objects of a key -> JSON bundles of typed objects, at most `max_objects` in each part."""
+    """Objects of a key -> JSON bundles of typed objects, at most `max_objects` in each part.
+
+    Properties keep their types: numbers, booleans, arrays and structs become JSON of their kind; a null one is left out.
+    """
     cut = parts(df, [key], [obj_id], at, max_objects)
     text = lambda c: F.col(c).cast("string")
-    fields = [F.lit("type"), text(kind), F.lit("id"), text(obj_id)]
-    for p in props:
-        fields += [F.lit(p), text(p)]
-    obj = F.struct(F.col(obj_id).alias("_o"), F.create_map(*fields).alias("m"))
+    fields = [text(kind).alias("type"), text(obj_id).alias("id"), *[F.col(p) for p in props]]
+    obj = F.struct(F.col(obj_id).alias("_o"), F.struct(*fields).alias("m"))
     objects = F.transform(F.array_sort(F.collect_list(obj), lambda a, b: F.when(a["_o"] < b["_o"], -1).when(a["_o"] > b["_o"], 1).otherwise(0)), lambda o: o["m"])
     name = F.concat_ws("-", F.lit("bundle"), text(key), text("part"))
     return (
@@ -92,12 +90,21 @@ def build_bundle(
 
 
 def flatten_bundle(df: DataFrame, col: str = "bundle") -> DataFrame:
-    """JSON bundle -> one row per object: bundle id, type, id, all other properties in a map."""
-    opened = df.select(F.from_json(col, BUNDLE).alias("b")).select(
-        F.col("b.id").alias("bundle_id"), F.explode("b.objects").alias("o")
+    """JSON bundle -> one row per object: bundle id, type, id, and the object with all its properties as a VARIANT.
+
+    Take properties with ``variant_get(props, '$.name', type)``; nested ones by their path.  A text that is no JSON
+    gives no rows, nor does a bundle without objects; an object without a type or id has null there.
+    """
+    field = lambda v, path, kind: F.try_variant_get(v, path, kind)
+    opened = df.select(F.try_parse_json(col).alias("b")).select(
+        field("b", "$.id", "string").alias("bundle_id"), F.explode(field("b", "$.objects", "array<variant>")).alias("props")
     )
-    props = F.map_filter("o", lambda k, _: ~k.isin("type", "id"))
-    return opened.select("bundle_id", F.col("o")["type"].alias("type"), F.col("o")["id"].alias("id"), props.alias("props"))
+    return opened.select("bundle_id", field("props", "$.type", "string").alias("type"), field("props", "$.id", "string").alias("id"), "props")
+
+
+def bundle_types(flat: DataFrame) -> DataFrame:
+    """The properties that the objects of each type have, with their types, and the number of objects."""
+    return flat.groupBy("type").agg(F.count("*").alias("n"), F.schema_of_variant_agg("props").alias("properties"))
 
 
 def timeline(sources: dict[str, DataFrame], t: str, key: str, id_col: str) -> DataFrame:

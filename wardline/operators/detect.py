@@ -328,6 +328,28 @@ def federated_average(df: DataFrame, site: str, col: str) -> DataFrame:
     return local.select(site, *own, mean.alias("global_mean"), sd.alias("global_sd"))
 
 
+def federated_model(df: DataFrame, site: str, features: Sequence[str]) -> DataFrame:
+    """The model merged from the sites' own statistics, one row per feature: what can be kept and handed on."""
+    local = _local(df, site, features)
+    row = df.sparkSession.range(1)
+    figures = [F.struct(F.lit(f).alias("feature"), *[c.alias(n) for n, c in zip(("mean", "sd"), _merged(local, f))]) for f in features]
+    return row.select(F.inline(F.array(*figures)))
+
+
+def score_by(df: DataFrame, model: DataFrame) -> DataFrame:
+    """z of each feature by a given model (feature, mean, sd), and `score`, the largest deviation.
+
+    `df` may be a stream.  The model has one row per column, so it is read here and becomes part of the plan.
+    A feature that is null, or without a deviation in the model, has no z; `score` goes by the others.
+    """
+    z = {}
+    for feature, mean, sd in model.select("feature", "mean", "sd").toLocalIterator():
+        known = mean is not None and sd is not None and sd > 0
+        z[f"z_{feature}"] = (F.col(feature) - F.lit(mean)) / F.lit(sd) if known else F.lit(None).cast("double")
+    far = [F.abs(c) for c in z]
+    return df.withColumns(z).withColumn("score", F.greatest(*far) if len(far) > 1 else far[0])
+
+
 def federated_score(df: DataFrame, site: str, features: Sequence[str]) -> DataFrame:
     """z of each feature by the model merged from the sites' own statistics, and `score`, the largest deviation.
 

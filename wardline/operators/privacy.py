@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from decimal import Decimal
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wardline.session import checkpointed
 
@@ -73,8 +74,7 @@ def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float,
 
     The noise is drawn from a nested keyed hash of the release, epsilon and the key: a task that runs again
     gives the same noise, and another release draws anew, so the difference of two releases hides a change.
-    Every release of a table spends `epsilon` of the budget of its subjects; name each once, and stop when the
-    sum of the epsilons reaches the budget.
+    Every release of a table spends `epsilon` of the budget of its subjects; `dp_release` keeps account of it.
     """
     counts = df.select(subject, *keys).distinct().groupBy(*keys).agg(F.count("*").alias("n"))
     inner = F.sha2(F.concat_ws("|", F.lit(secret), F.lit(release), F.lit(repr(float(epsilon))), *[F.col(k).cast("string") for k in keys]), 256)
@@ -86,6 +86,48 @@ def dp_counts(df: DataFrame, subject: str, keys: Sequence[str], epsilon: float,
     return noisy.select(*keys, (F.col("n") + noise).alias("noisy_n"))
 
 
+class BudgetSpent(ValueError):
+    """A release is refused: its epsilon goes beyond the budget, or its name has been used."""
+
+
+LEDGER = "dataset string, release string, epsilon decimal(18,9)"
+
+
+def dp_release(
+    df: DataFrame, subject: str, keys: Sequence[str], epsilon: float, secret: str, release: str,
+    ledger: str, dataset: str, budget: float,
+) -> DataFrame:
+    """Noisy counts as `dp_counts` gives them, if the budget of `dataset` allows; else `BudgetSpent` is raised.
+
+    `ledger` is a shared folder of Parquet rows that are only ever added.  A release first books its epsilon, then
+    reads the ledger: of releases that run at the same time none goes beyond the budget, at worst all are refused.  A
+    refused one books its epsilon back.  A name can be used once, whatever came of it: the noise follows the name.
+    """
+    if epsilon <= 0:
+        raise ValueError("epsilon must be positive")
+    spark = df.sparkSession
+    # One row at a time: a booking is not data of the table.
+    book = lambda sign: (
+        spark.createDataFrame([(dataset, release, sign * Decimal(repr(float(epsilon))))], LEDGER)
+        .coalesce(1).write.mode("append").parquet(ledger)
+    )
+    book(1)
+    own = F.col("release") == release
+    seen = spark.read.schema(LEDGER).parquet(ledger).filter(F.col("dataset") == dataset)
+    total, used = seen.agg(F.sum("epsilon"), F.count_if(own)).first()
+    if used > 1 or total > Decimal(repr(float(budget))):
+        book(-1)
+        why = f"{release!r} has been used" if used > 1 else f"{total} would be spent of {budget}"
+        raise BudgetSpent(f"no release of {dataset!r}: {why}")
+    return dp_counts(df, subject, keys, epsilon, secret, release)
+
+
+def dp_spent(spark: SparkSession, ledger: str) -> DataFrame:
+    """What the ledger says per dataset: epsilon spent, and the number of releases."""
+    booked = spark.read.schema(LEDGER).parquet(ledger).groupBy("dataset", "release").agg(F.sum("epsilon").alias("e"))
+    return booked.groupBy("dataset").agg(F.sum("e").cast("double").alias("spent"), F.count_if(F.col("e") > 0).alias("n_releases"))
+
+
 def pseudonymize(df: DataFrame, cols: Sequence[str], salt: str) -> DataFrame:
     """Replace values by stable keyed tokens: equal values give equal tokens, so joins survive."""
     return df.withColumns({c: F.sha2(F.concat(F.lit(salt), F.col(c).cast("string")), 256) for c in cols})

@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import DateType, NumericType
 
+from wardline.functions import is_private
 from wardline.operators.ordered import Running, exact_quantiles, micros, nth_before, position, running, value_ranks
 from wardline.session import checkpointed
 from wardline.operators.same import join_same
@@ -18,26 +19,32 @@ def severity(cvss: Column) -> Column:
     return F.when(cvss >= 7, "high").when(cvss >= 4, "medium").otherwise("low")
 
 
-def exposure_rollup(finding: DataFrame, asset: DataFrame) -> DataFrame:
-    """Finding counts by site, subnet and severity, with subtotals and grand total.
+def exposure_rollup(finding: DataFrame, asset: DataFrame, levels: Sequence[str] = ("site", "subnet")) -> DataFrame:
+    """Finding counts by the assets' levels (coarse to fine) and severity, with subtotals and grand total.
 
     Findings are counted per asset, one column per severity, so that the join finds them partitioned
     already; and per finest cell before the rollup.
     """
-    kinds = ("high", "medium", "low")
+    kinds, levels = ("high", "medium", "low"), list(levels)
     is_of = lambda kind: severity(F.col("cvss")) == kind
     per_asset = finding.groupBy("asset_id").agg(*[F.count_if(is_of(k)).alias(k) for k in kinds])
     wide = (
-        per_asset.join(asset.select("asset_id", "site", "subnet"), "asset_id")
-        .groupBy("site", "subnet")
+        per_asset.join(asset.select("asset_id", *levels), "asset_id")
+        .groupBy(*levels)
         .agg(*[F.sum(k).alias(k) for k in kinds])
     )
-    cells = wide.unpivot(["site", "subnet"], list(kinds), "severity", "n").filter("n > 0")
-    return cells.rollup("site", "subnet", "severity").agg(
+    cells = wide.unpivot(levels, list(kinds), "severity", "n").filter("n > 0")
+    return cells.rollup(*levels, "severity").agg(
         F.sum("n").alias("n"), F.grouping_id().cast("int").alias("grouping")
     )
 
 
+def surface_side(address: Column) -> Column:
+    """Which side an address faces: ``internal``, ``external``, or ``unknown`` where it is null or no address."""
+    private = is_private(address)
+    return F.when(private, "internal").when(~private, "external").otherwise("unknown")
+
+
 def _cells(risk: DataFrame, dims: Sequence[str], col: str) -> DataFrame:
     return risk.groupBy(*dims).agg(
         F.sum(F.col(col).cast("decimal(18,6)")).alias("_s"), F.count("*").alias("_n"), F.max(col).alias("_m")

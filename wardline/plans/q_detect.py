@@ -338,16 +338,22 @@ def _bundles(spark, sf):
 
 @query("build_bundle", """WITH t AS (SELECT conv_id, turn, role, length(text) AS size, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4 AS part FROM conversations)
 SELECT conv_id, CAST(part AS BIGINT) AS part, count(*) AS n_objects, CAST(to_json(struct_pack(type := 'bundle', id := concat('bundle-', conv_id, '-', part),
- objects := list(struct_pack(type := role, id := CAST(turn AS VARCHAR), size := CAST(size AS VARCHAR)) ORDER BY turn))) AS VARCHAR) AS bundle FROM t GROUP BY conv_id, part""")
+ objects := list(struct_pack(type := role, id := CAST(turn AS VARCHAR), size := size) ORDER BY turn))) AS VARCHAR) AS bundle FROM t GROUP BY conv_id, part""")
 def build_bundle(spark, sf):
     return _bundles(spark, sf)
 
 
 @query("flatten_bundle", """SELECT concat('bundle-', conv_id, '-', (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1) // 4) AS bundle_id,
- role AS type, CAST(turn AS VARCHAR) AS id, CAST(length(text) AS VARCHAR) AS size FROM conversations""")
+ role AS type, CAST(turn AS VARCHAR) AS id, length(text) AS size FROM conversations""")
 def flatten_bundle(spark, sf):
     flat = behaviour.flatten_bundle(_bundles(spark, sf))
-    return flat.select("bundle_id", "type", "id", F.col("props")["size"].alias("size"))
+    return flat.select("bundle_id", "type", "id", F.variant_get("props", "$.size", "long").alias("size"))
+
+
+@query("bundle_types", """SELECT role AS type, count(*) AS n,
+ CASE WHEN count(text) = 0 THEN 'OBJECT<id: STRING, type: STRING>' ELSE 'OBJECT<id: STRING, size: BIGINT, type: STRING>' END AS properties FROM conversations GROUP BY role""")
+def bundle_types(spark, sf):
+    return behaviour.bundle_types(behaviour.flatten_bundle(_bundles(spark, sf)))
 
 
 @query("timeline", """WITH b AS (SELECT user_id AS entity_id, ts, 'events' AS source, event_id AS ref_id FROM events

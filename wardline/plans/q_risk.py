@@ -8,6 +8,7 @@ from wardline.operators import enrich, graph, privacy, response, risk as risk_op
 from wardline.plans import posture, views as v
 from wardline.plans.registry import query
 from wardline.plans.views import with_views
+from wardline.session import shared_dir
 
 _r6 = lambda *cols: {c: F.round(c, 6) for c in cols}
 
@@ -57,6 +58,24 @@ def dp_counts(spark, sf):
     return privacy.dp_counts(v.asset(spark, sf), "asset_id", ["mission"], 0.5, "pepper", "2024-Q1").withColumns(_r6("noisy_n"))
 
 
+@query("dp_release", with_views("asset", """, r(release, e) AS (VALUES ('2024-Q1', '0.5'), ('2024-Q3', '0.25')),
+ u AS (SELECT mission, release, CAST(e AS DOUBLE) AS e, count(DISTINCT asset_id) AS n,
+ (CAST('0x' || substr(sha256('pepper|' || sha256('pepper|' || release || '|' || e || '|' || mission)), 1, 13) AS BIGINT) + 0.5) / 4503599627370496.0 - 0.5 AS u
+ FROM asset, r GROUP BY mission, release, r.e)
+SELECT mission, release, round(n - sign(u) * ln(1 - 2 * abs(u)) / e, 6) AS noisy_n, 0.75::DOUBLE AS spent FROM u"""))
+def dp_release(spark, sf):
+    # The second release would spend more than is left, so it is refused; the third fits.
+    ledger, granted = shared_dir(spark, "ledger"), []
+    for release, epsilon in (("2024-Q1", 0.5), ("2024-Q2", 0.75), ("2024-Q3", 0.25)):
+        try:
+            counts = privacy.dp_release(v.asset(spark, sf), "asset_id", ["mission"], epsilon, "pepper", release, ledger, "asset", 1.0)
+        except privacy.BudgetSpent:
+            continue
+        granted.append(counts.withColumn("release", F.lit(release)))
+    spent = privacy.dp_spent(spark, ledger).select("spent").scalar()
+    return granted[0].unionByName(granted[1]).withColumn("spent", spent).withColumns(_r6("noisy_n"))
+
+
 @query("pseudonymize", with_views("tel", """SELECT event_id, sha256(concat('pepper:', CAST(entity_id AS VARCHAR))) AS entity_id FROM tel"""))
 def pseudonymize(spark, sf):
     return privacy.pseudonymize(v.tel(spark, sf).select("event_id", "entity_id"), ["entity_id"], "pepper:")
@@ -241,6 +260,21 @@ def exposure_rollup(spark, sf):
     return rolled.withColumns({c: F.coalesce(c, F.lit("*")) for c in ("site", "subnet", "severity")})
 
 
+@query("exposure_by_side", with_views("finding asset", """, a AS (SELECT asset_id, site, CASE WHEN asset_id % 5 = 4 THEN 'unknown' WHEN asset_id % 5 = 3 THEN 'external' ELSE 'internal' END AS side FROM asset)
+SELECT coalesce(side, '*') AS side, coalesce(site, '*') AS site, coalesce(severity, '*') AS severity, n, "grouping" FROM (
+ SELECT side, site, severity, count(*) AS n, CAST(grouping(side, site, severity) AS INT) AS "grouping" FROM (
+ SELECT side, site, CASE WHEN cvss >= 7 THEN 'high' WHEN cvss >= 4 THEN 'medium' ELSE 'low' END AS severity FROM finding JOIN a USING (asset_id))
+ GROUP BY ROLLUP (side, site, severity))"""))
+def exposure_by_side(spark, sf):
+    # Addresses by asset number: three private networks, a public one, and none.
+    net = F.get(F.array(*map(F.lit, ("10.0", "172.31", "192.168", "172.32"))), (F.col("asset_id") % 5).cast("int"))
+    host = F.concat_ws(".", (F.col("asset_id") % 200).cast("string"), F.lit("7"))
+    address = F.when(F.col("asset_id") % 5 < 4, F.concat_ws(".", net, host))
+    asset = v.asset(spark, sf).withColumn("side", risk_ops.surface_side(address))
+    rolled = risk_ops.exposure_rollup(v.finding(spark, sf), asset, ["side", "site"])
+    return rolled.withColumns({c: F.coalesce(c, F.lit("*")) for c in ("side", "site", "severity")})
+
+
 def _sql_cube(groups: str) -> str:
     return with_views("asset_risk", f"""SELECT coalesce(site, '*') AS site, coalesce(mission, '*') AS mission, round(mean_risk, 6) AS mean_risk, max_risk, n_assets, "grouping" FROM (
  SELECT site, mission, CAST(sum(CAST(risk AS DECIMAL(18,6))) AS DOUBLE) / count(*) AS mean_risk, max(risk) AS max_risk, count(*) AS n_assets,

@@ -7,10 +7,10 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from wardline import streaming
-from wardline.operators import extend
+from wardline.operators import detect, enrich, extend
 from wardline.operators.ordered import exact_quantiles
 from wardline.operators.sizing import checked_broadcast
 from wardline.plans import views as v
@@ -66,6 +66,40 @@ def stream_sliding(spark, sf):
     return _batch_types(drain(out, "sliding"), "start", "end")
 
 
+@query("stream_top_talkers", with_views("tel", """, c AS (SELECT date_trunc('day', ts) AS d, src, count(*) AS n FROM tel GROUP BY ALL)
+SELECT CAST(d AS TIMESTAMP) AS start, CAST(sum(n) AS BIGINT) AS n_events, CAST(least(10, count(*)) AS BIGINT) AS n_listed, TRUE AS is_near FROM c GROUP BY d"""))
+def stream_top_talkers(spark, sf):
+    # The leaders of each day by sketch; how many they are, and whether all lie within the stated error of the exact counts.
+    listed = drain(streaming.stream_top_talkers(_ending_stream(spark, sf), "1 day", "1 hour", 10), "talkers")
+    exact = v.tel(spark, sf).groupBy(F.date_trunc("day", "ts").alias("start"), "src").agg(F.count("*").alias("n"))
+    total = exact.groupBy("start").agg(F.sum("n").alias("n_events"))
+    # The least count that a leader may have: that of the tenth.
+    tenth = top_k(exact, ["start"], 10).groupBy("start").agg(F.min("n").alias("tenth"))
+    both = listed.select("start", "src", "about", "error").join(exact.withColumn("start", F.col("start").cast("timestamp")), ["start", "src"], "left")
+    figures = total.join(tenth, "start").withColumn("start", F.col("start").cast("timestamp"))
+    near = (F.abs(F.col("about") - F.coalesce("n", F.lit(0))) <= F.col("error")) & (F.coalesce("n", F.lit(0)) >= F.col("tenth") - F.col("error"))
+    out = both.join(figures, "start").groupBy("start", "n_events").agg(F.count("*").alias("n_listed"), F.every(near).alias("is_near"))
+    return _batch_types(out, "start")
+
+
+def top_k(counts, by, k):
+    """The k largest counts of each group; ties by source."""
+    w = Window.partitionBy(*by).orderBy(F.desc("n"), "src")
+    return counts.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= k).drop("_k")
+
+
+@query("stream_score", with_views("tel asset", """, j AS (SELECT event_id, magnitude, level, attr FROM tel JOIN asset ON entity_id = asset_id),
+ m AS (SELECT avg(magnitude) AS m1, stddev_samp(magnitude) AS s1, avg(level) AS m2, stddev_samp(level) AS s2, avg(attr) AS m3, stddev_samp(attr) AS s3 FROM j)
+SELECT event_id, round(greatest(abs((magnitude - m1) / s1), abs((level - m2) / s2), abs((attr - m3) / s3)), 6) AS score FROM tel, m"""))
+def stream_score(spark, sf):
+    # The model of the sites' own figures, applied to all events as they arrive.
+    features = ["magnitude", "level", "attr"]
+    t = v.tel(spark, sf).select("entity_id", *features)
+    model = detect.federated_model(enrich.asset_context(t, v.asset(spark, sf).select("asset_id", "site")), "site", features)
+    scored = detect.score_by(event_stream(spark, sf).select("event_id", *features), model)
+    return drain(scored.select("event_id", F.round("score", 6).alias("score")), "score")
+
+
 @query("stream_sessions", with_views("alerts", """, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) <= 21600000000 THEN 0 ELSE 1 END AS s FROM alerts WINDOW w AS (PARTITION BY entity_id ORDER BY ts, event_id)),
  i AS (SELECT *, sum(s) OVER (PARTITION BY entity_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS k FROM g)
 SELECT entity_id, min(ts) AS start, max(ts) + INTERVAL 6 HOUR AS "end", count(*) AS n, max(level) AS max_level FROM i GROUP BY entity_id, k"""))
@@ -150,7 +184,7 @@ def stream_upsert(spark, sf):
     latest = event_stream(spark, path, "*.parquet").select("entity_id", "event_id", "ts", "category")
     order = ["ts", "event_id"]
     streaming.stream_upsert(latest, out, ckpt, "entity_id", order).awaitTermination()
-    return streaming.current_table(spark, out, "entity_id", order).select("entity_id", "event_id", "category")
+    return streaming.current_table(spark, out).select("entity_id", "event_id", "category")
 
 
 @query("stream_buffered", "SELECT event_id, event_type, value FROM events")

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import StructType
+from pyspark.sql.types import IntegerType, StructField, StructType
 
-from wardline.session import shared_dir
+from wardline.session import checkpointed, shared_dir
 
 
 def stream_buffered(
@@ -35,32 +37,59 @@ def drain(sdf: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(sdf.schema).parquet(out)
 
 
-def stream_upsert(sdf: DataFrame, path: str, ckpt: str, key: str, order: list[str]) -> StreamingQuery:
-    """Keep the latest row of each key: every micro-batch writes its own newest rows, reading merges them.
+def stream_upsert(
+    sdf: DataFrame, path: str, ckpt: str, key: str, order: list[str], buckets: int = 64
+) -> StreamingQuery:
+    """Keep the latest row of each key in a table of `buckets` folders by the key's hash; null is a key like others.
 
-    A batch costs what the batch holds, not what the table holds; a repeated batch writes the same
-    folder again.  `current_table` reads the table, `compact_table` shortens it.
+    A micro-batch reads and rewrites only the buckets that its keys fall into, so reading costs what the table holds,
+    however many batches there were.  Merged buckets are first staged next to the checkpoint and then take the place of
+    the old ones: a batch that runs again after a failure takes what is staged, and one that is staged anew gives the
+    same rows.  Choose `buckets` so that one is a few hundred megabytes; it stays the same for a table's life.
     """
 
     def keep(batch: DataFrame, epoch: int) -> None:
-        _newest(batch, key, order).write.mode("overwrite").parquet(f"{path}/v={epoch}")
+        spark = batch.sparkSession
+        fs, staged = _file_system(spark, ckpt), f"{ckpt}/staged/v={epoch}"
+        if not fs(f"{staged}/_SUCCESS", "exists"):
+            rows = _newest(batch, key, order).withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+            rows = checkpointed(rows)
+            # At most as many as the parameter says.
+            touched = [r.bucket for r in rows.select("bucket").distinct().toLocalIterator()]
+            if _file_system(spark, path)(path, "exists"):
+                old = spark.read.schema(rows.schema).parquet(path).filter(F.col("bucket").isin(touched))
+                rows = _newest(rows.unionByName(old), key, order)
+            rows.write.mode("overwrite").parquet(staged)
+        merged = spark.read.schema(_with_bucket(batch)).parquet(staged)
+        (
+            merged.repartition(F.col("bucket")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+            .partitionBy("bucket").parquet(path)
+        )
+        # This batch may have to run again; those before it are done.
+        fs(f"{ckpt}/staged/v={epoch - 1}", "delete")
 
     return sdf.writeStream.foreachBatch(keep).option("checkpointLocation", ckpt).trigger(availableNow=True).start()
 
 
+def _with_bucket(df: DataFrame) -> StructType:
+    return StructType([*df.schema.fields, StructField("bucket", IntegerType())])
+
+
+def _file_system(spark: SparkSession, path: str) -> Callable[[str, str], bool]:
+    """Asks for paths of the file system that holds `path`, or deletes them."""
+    at = spark._jvm.org.apache.hadoop.fs.Path
+    fs = at(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return lambda p, what: fs.exists(at(p)) if what == "exists" else fs.delete(at(p), True)
+
+
 def _newest(df: DataFrame, key: str, order: list[str]) -> DataFrame:
     rest = [c for c in df.columns if c != key]
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select(key, "_r.*")
 
 
-def current_table(spark: SparkSession, path: str, key: str, order: list[str]) -> DataFrame:
+def current_table(spark: SparkSession, path: str) -> DataFrame:
     """The table that `stream_upsert` keeps."""
-    return _newest(spark.read.parquet(path).drop("v"), key, order)
-
-
-def compact_table(spark: SparkSession, path: str, target: str, key: str, order: list[str]) -> None:
-    """The current table as the first version of a new one."""
-    current_table(spark, path, key, order).write.parquet(f"{target}/v=-1")
+    return spark.read.parquet(path).drop("bucket")
 
 
 def split_late(sdf: DataFrame, path: str, ckpt: str, delay_s: int, t: str = "ts") -> StreamingQuery:

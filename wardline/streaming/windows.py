@@ -40,3 +40,34 @@ def stream_sessions(
         .agg(F.count("*").alias("n"), F.max(level).alias("max_level"))
         .select(key, F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n", "max_level")
     )
+
+
+def stream_top_talkers(
+    sdf: DataFrame, width: str, delay: str, n: int, src: str = "src", t: str = "ts", tracked: int = 4096
+) -> DataFrame:
+    """The `n` sources with most rows in each tumbling window: start, end, n_events, source, `about`, `error`.
+
+    State is one sketch of at most `tracked` sources per open window, whatever the number of sources; parts of a
+    sketch are merged before the shuffle.  `about` differs from the true count by `error` at most, which is zero while
+    a window has no more than 0.75 x `tracked` sources, else 3.5 / `tracked` of the window's rows.  A null is no source.
+    """
+    if not 0 < n <= tracked:
+        raise ValueError("n must be positive and at most the number of tracked sources")
+    rows = sdf.filter(F.col(src).isNotNull()).withWatermark(t, delay)
+    # SQL function form: Python has no name for the sketches.
+    sketch = F.call_function("approx_top_k_accumulate", F.col(src), F.lit(tracked))
+    windows = rows.groupBy(F.window(t, width).alias("_w")).agg(F.count("*").alias("n_events"), sketch.alias("_s"))
+    leaders = windows.select(
+        F.col("_w.start").alias("start"), F.col("_w.end").alias("end"), "n_events",
+        F.explode(F.call_function("approx_top_k_estimate", F.col("_s"), F.lit(n))).alias("_l"),
+    )
+    error = F.ceil(F.col("n_events") * F.lit(3.5 / _map_size(tracked)))
+    return leaders.select("start", "end", "n_events", F.col("_l.item").alias(src), F.col("_l.count").alias("about"), error.alias("error"))
+
+
+def _map_size(tracked: int) -> int:
+    """Size of the sketch's table: the least power of two of which three quarters hold the tracked items."""
+    size = 8
+    while size * 0.75 < tracked:
+        size *= 2
+    return size
