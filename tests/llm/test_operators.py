@@ -149,6 +149,17 @@ def test_classifier_on_labelled_rows_and_without_labels(spark, sf):
     assert quality_bayes.classify(docs(spark, []), truth).count() == 0
 
 
+def test_classifier_on_labels_it_has_not_seen(spark):
+    sf = "/root/testdata/sf0.01"
+    d, truth = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    # The fold goes by the text, so that no copy of a document lies in both.
+    held = d.where(F.crc32(F.col("text").cast("binary")) % 3 == 0).select("doc_id").distinct()
+    out = quality_bayes.classify(d, truth.join(held, "doc_id", "left_anti")).join(held, "doc_id").join(truth, "doc_id").cache()
+    bad, wrong = out.where("quality = 0"), out.where("kept <> (quality = 1)")
+    figures = bad.count(), bad.where("not kept").count(), wrong.count(), out.count()
+    assert figures[0] >= 20 and figures[1] >= 0.8 * figures[0] and figures[2] <= 0.05 * figures[3], figures
+
+
 def test_sparse_sites_stay_near_the_level_above(spark):
     text = "word " * 5
     rows = [(i, text, "small" if i == 0 else "big", "p") for i in range(400)]
@@ -414,6 +425,45 @@ def test_kneser_ney_sums_to_one():
         assert abs(np.exp(-model.losses(follow)).sum() - 1) < 1e-9
 
 
+def test_kneser_ney_is_that_of_the_formula():
+    texts = [["banana bandana", "abab ana", None, "nab a band"], ["abba baba dab", "", "dad bad"]]
+    flat, _ = language_id._codepoints(pa.array([t for own in texts for t in own]))
+    alphabet = language_id.Alphabet(np.unique(flat[flat != 32]))
+    tables, brute = [], []
+    for own in texts:
+        flat, at = language_id._codepoints(pa.array(own))
+        tables.append(np.unique(language_id._grams(alphabet.numbers(flat), at)[0], return_counts=True))
+        numbers, counts = alphabet.numbers(flat).tolist(), Counter()
+        for x, y in zip(at[:-1], at[1:]):
+            padded = [1] * 3 + numbers[x:y]
+            counts.update(tuple(padded[i : i + 4]) for i in range(1, y - x))
+        levels = {4: counts}
+        for k in (3, 2, 1):
+            # Kinds of symbols before a gram.
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        brute.append(levels)
+
+    def chance(levels, gram):
+        if not gram:
+            return 1.0 / alphabet.size
+        own = levels[len(gram)]
+        ones, twos = (sum(n == m for n in own.values()) for m in (1, 2))
+        discount = ones / (ones + 2 * twos) if ones else 0.5
+        follow = {g: n for g, n in own.items() if g[:-1] == gram[:-1]}
+        lower = chance(levels, gram[1:])
+        if not follow:
+            return lower
+        total = sum(follow.values())
+        return (max(own[gram] - discount, 0) + discount * len(follow) * lower) / total
+
+    model = language_id.KneserNey(["x", "y"], alphabet, tables)
+    asked = list(itertools.product(range(1, alphabet.size), repeat=4))
+    bits = np.array([sum(s << alphabet.bits * (3 - i) for i, s in enumerate(g)) for g in asked], np.uint64)
+    got = np.exp(-model.losses(bits))
+    want = np.array([[chance(levels, g) for levels in brute] for g in asked])
+    assert np.abs(got - want).max() < 1e-9
+
+
 # -- op 9
 
 
@@ -451,7 +501,9 @@ def test_pieces_agree_with_the_other_library_and_come_back(spark, sf):
     assert pieces.encode(docs(spark, []), PIECES_FILE).count() == 0
 
 
-def test_a_unigram_model_is_rebuilt(tmp_path):
+def _model_file(path, table, *rules):
+    """A unigram model file of these pieces and normaliser fields."""
+
     def message(*fields):
         out = b""
         for number, value in fields:
@@ -470,22 +522,48 @@ def test_a_unigram_model_is_rebuilt(tmp_path):
             n >>= 7
         return out + bytes([n])
 
-    table = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -2.0, 1), ("▁a", -1.5, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -1.0, 1)]
     data = b"".join(message((1, message((1, p.encode()), (2, s), (3, k)))) for p, s, k in table)
-    data += message((2, message((3, 1)))) + message((3, message((3, 1), (4, 1), (5, 1))))
-    file = tmp_path / "m.model"
-    file.write_bytes(data)
-    model = pieces.parse_model(data)
-    assert model.kind == pieces.UNIGRAM and model.pieces == table and model.squeeze and model.unk_id == 0
+    data += message((2, message((3, 1)))) + message((3, message(*rules)))
+    path.write_bytes(data)
+    return str(path), data
+
+
+UNIGRAMS = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("▁", -2.0, 1), ("▁a", -1.5, 1), ("a", -3.0, 1), ("b", -3.0, 1), ("ab", -1.0, 1)]
+
+
+def test_a_unigram_model_is_rebuilt(tmp_path):
     import sentencepiece
 
-    other = sentencepiece.SentencePieceProcessor(model_file=str(file))
+    file, data = _model_file(tmp_path / "m.model", UNIGRAMS, (3, 1), (4, 1), (5, 1))
+    model = pieces.parse_model(data)
+    assert model.kind == pieces.UNIGRAM and model.pieces == UNIGRAMS and model.squeeze and model.unk_id == 0
+    other = sentencepiece.SentencePieceProcessor(model_file=file)
     texts = ["a ab", "  abab   b ", "b"]
-    ids, n, good, same = pieces.Codec(str(file), 1, True).encode(pa.array(texts))
+    ids, n, good, same = pieces.Codec(file, 1, True).encode(pa.array(texts))
     to = np.cumsum(n)
     assert [ids[b - k : b].tolist() for b, k in zip(to, n)] == other.encode(texts) and good.all() and same.all()
 
 
+def test_parity_covers_the_normaliser(tmp_path):
+    import sentencepiece
+
+    rules = pieces.parse_model(sentencepiece.SentencePieceNormalizer(rule_name="nmt_nfkc").serialized_model_proto()).charsmap
+    assert len(rules) > 100_000
+    table = [*UNIGRAMS, ("8", -3.0, 1), ("1", -3.0, 1), ("é", -3.0, 1), ("…", -3.0, 1), (".", -3.0, 1)]
+    file, _ = _model_file(tmp_path / "n.model", table, (2, rules), (3, 1), (4, 1), (5, 1))
+    other = sentencepiece.SentencePieceProcessor(model_file=file)
+    texts = ["ａｂ　 ａ", "a\u00a0\tb\n", "e\u0301b", "①⑧ ab", "a…", "", None, "  ", "ab " * 40_000]
+    codec = pieces.Codec(file, 1, True)
+    ids, n, _, same = codec.encode(pa.array(texts))
+    to = np.cumsum(n)
+    assert [ids[b - k : b].tolist() for b, k in zip(to, n)] == [other.encode(t or "") for t in texts] and same.all()
+    # Without its map of characters the texts that need it differ, and the mark says so.
+    codec = pieces.Codec(file, 1, True)
+    codec.normal = pieces.normalizer(pieces.Model(squeeze=True))
+    same = codec.encode(pa.array(texts))[3]
+    assert not same[:5].any() and same[5:].all()
+
+
 def test_files_are_read_in_place():
     assert WORDS_FILE == public_tokenizers.path("word_bpe_49k.json")
 

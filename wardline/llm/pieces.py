@@ -191,10 +191,16 @@ class Codec:
         """(ids, ids per document, decodes to its text, both libraries agree)."""
         data, offsets = W.column_bytes(column)
         raw = data.tobytes()
-        normal = [self.normal(raw[a:b].decode()).encode() for a, b in zip(offsets[:-1], offsets[1:])]
+        texts = [raw[a:b].decode() for a, b in zip(offsets[:-1], offsets[1:])]
+        normal = [self.normal(t).encode() for t in texts]
         offsets = np.concatenate([[0], np.cumsum([len(x) for x in normal])]).astype(np.int64)
         data = np.frombuffer(b"".join(normal), np.uint8)
-        return self._split(*self.cached(data, offsets))
+        ids, n, good, same = self._split(*self.cached(data, offsets))
+        if self.other is not None and not self.plain:
+            # Pieces come after the normaliser, so only whole texts show whether it is right.
+            to = np.cumsum(n)
+            same &= np.array([ids[b - k : b].tolist() == self.other.encode(t) for t, b, k in zip(texts, to, n)], bool)
+        return ids, n, good, same
 
     def _split(self, ids: np.ndarray, n: np.ndarray):
         # The two marks of each piece stand where the cache put them; their places follow from the pieces' sizes.
@@ -245,9 +251,10 @@ def _encoded(file: str, threads: int, parity: bool):
 
 def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text", threads: int = 2, parity: bool = True) -> DataFrame:
     """Per row: its id, ids, n_tokens, ids_crc32 (of the ids as little-endian unsigned 32-bit integers), n_byte_tokens,
-    round_trip (decoding gives the normal form of the text again) and parity (the sentencepiece library gives the same ids).
+    round_trip (decoding gives the normal form of the text again) and parity (the sentencepiece library gives the same ids;
+    where the model maps characters or squeezes spaces, for the whole text as it came).
 
-    Whole texts; a null text counts as empty, and an empty one has no ids.  Rows that repeat an id are rows of
+    Whole texts of any length; a null text counts as empty, and an empty one has no ids.  An empty table gives no rows.  Rows that repeat an id are rows of
     their own.  `file` is a model file that every executor has at this path.
     """
     docs = require(docs, doc_id, text).toDF("id", "text")
