@@ -336,6 +336,19 @@ def test_near_copies_with_repeated_and_null_ids(spark):
     assert ngram_join.jaccard_components(docs(spark, [])).count() == 0
 
 
+def test_best_pairs_follow_the_components_and_not_their_pairs():
+    rng = np.random.default_rng(3)
+    comps = list(itertools.combinations(range(60), 2))
+    rows = np.array([(x, y, rng.integers(5), 100 + x, 200 + y) for x, y in comps])
+    kept = ngram_join._firsts(rows)
+    assert len(kept) <= 60
+    for c in range(60):
+        own = rows[(rows[:, 0] == c) | (rows[:, 1] == c)]
+        best = min(own.tolist(), key=lambda r: (-r[2], r[3], r[4]))
+        assert best in kept.tolist()
+    assert len(ngram_join._firsts(rows[:0])) == 0 and len(ngram_join._firsts(rows[:1])) == 1
+
+
 def test_cells_hold_every_pair_that_links():
     rng = np.random.default_rng(3)
     cells = ngram_join._Cells(80)

@@ -245,8 +245,21 @@ def _pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(list(c), ty) for c, ty in zip(zip(*rows), types)], names=names)
 
 
-def _page_pairs(percent: int):
-    """Pairs of points of two pages of a cell that lie in different components and pass the bound."""
+def _firsts(rows: np.ndarray) -> np.ndarray:
+    """Rows (ca, cb, score, a, b) that have the largest score of one of their two components; ties by the points."""
+    both = np.concatenate([rows, rows[:, [1, 0, 2, 3, 4]]])
+    order = np.lexsort((both[:, 4], both[:, 3], -both[:, 2], both[:, 0]))
+    own = both[order, 0]
+    first = order[np.concatenate([[True], own[1:] != own[:-1]])] if len(rows) else order
+    return rows[np.unique(first % max(len(rows), 1))]
+
+
+def _page_pairs(percent: int, best: bool):
+    """Pairs of points of two pages of a cell that lie in different components and pass the bound.
+
+    All of them as (a, b); or with `best` only the most promising of each component, as (ca, cb, score, a, b).
+    """
+    names = ["ca", "cb", "score", "a", "b"] if best else ["a", "b"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
@@ -266,10 +279,18 @@ def _page_pairs(percent: int):
                 va, vb = (_counts(np.frombuffer(r[c], np.uint8).reshape(-1, GROUPS // 2)) for c in ("vec_a", "vec_b"))
                 most = (na[x] + nb[y] - np.abs(va[x] - vb[y]).sum(1, dtype=np.int64)) // 2
                 ok = (100 + percent) * most >= _need(na[x], nb[y], percent)
-                found.append(np.stack([np.minimum(ia[x], ib[y])[ok], np.maximum(ia[x], ib[y])[ok]], 1))
+                x, y, most = x[ok], y[ok], most[ok]
+                pair = [np.minimum(ia[x], ib[y]), np.maximum(ia[x], ib[y])]
+                if best:
+                    # Bounds in millionths, so that all is one table of integers.
+                    score = 1_000_000 * most // np.maximum(na[x] + nb[y] - most, 1)
+                    pair = [np.minimum(ca[x], cb[y]), np.maximum(ca[x], cb[y]), score, *pair]
+                found.append(np.stack(pair, 1))
+                if best:
+                    found[-1] = _firsts(found[-1])
             if found:
-                pairs = np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                pairs = _firsts(np.concatenate(found)) if best else np.unique(np.concatenate(found), axis=0)
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(len(names))], names=names)
 
     return run
 
@@ -356,31 +377,31 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         several = every.groupBy("cell").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("cell")
         return every.join(several, "cell", "left_semi")
 
-    # Parts of one group of copies that the outermost points did not join: a point of each of two components of
-    # a cell against the points of the others, and of each two components only the most promising pair.
-    for turn in range(ROUNDS):
-        still = saved(still_open(known), "open")
-        first = still.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "comp")).alias("f")).select("cell", F.col("f.comp").alias("c1"))
-        others = still.join(first, "cell").where("comp <> c1")
-        second = others.groupBy("cell").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "comp")).alias("s"))
-        pairs = still.join(second, "cell").where(F.col("comp") != F.col("s.comp"))
-        near = saved(promising(pairs.select(F.least("node", "s.node").alias("a"), F.greatest("node", "s.node").alias("b"))), "near")
-        near = apart(near, known).groupBy(F.least("ca", "cb").alias("x"), F.greatest("ca", "cb").alias("y")).agg(F.max(F.struct("score", "a", "b")).alias("p"))
-        links = saved(links.unionAll(_verify(near.select("p.a", "p.b"), sets, percent)), "links")
-        # Unfinished components only leave more pairs to compare; links so far are chains of a few stars.
-        known = saved(components(links, "a", "b", 2), "known")
+    def page_pairs(known: DataFrame, best: bool) -> DataFrame:
+        """What `_page_pairs` finds in the cells that have several components."""
+        still = saved(still_open(known).join(shape, "node"), "open")
+        still = still.select("cell", "node", "n", "comp", "vec").repartitionByRange("cell", "n", "node").sortWithinPartitions("cell", "n", "node")
+        pages = still.mapInArrow(_pages, _PAGE)
+        pages = saved(pages.withColumn("page", F.monotonically_increasing_id()), "pages")
+        side = lambda s: pages.select("cell", F.col("page").alias(f"page_{s}"), F.col("n_min").alias(f"min_{s}"), F.col("n_max").alias(f"max_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "n", "node", "comp", "vec")])
+        two = side("a").join(side("b"), "cell").where(
+            (F.col("page_a") <= F.col("page_b")) & (100 * F.col("max_b") >= percent * F.col("min_a")) & (100 * F.col("max_a") >= percent * F.col("min_b"))
+        )
+        return two.mapInArrow(_page_pairs(percent, best), "ca long, cb long, score long, a long, b long" if best else "a long, b long")
+
+    # Parts of one group of copies that the outermost points did not join: of each component the most promising pair
+    # first, so what is handed on grows with the number of components and not with that of their pairs.
+    for _ in range(ROUNDS):
+        near = page_pairs(known, True).select("score", "a", "b", F.explode(F.array("ca", "cb")).alias("comp"))
+        near = near.groupBy("comp").agg(F.max(F.struct("score", (-F.col("a")).alias("x"), (-F.col("b")).alias("y"))).alias("p"))
+        near = near.select((-F.col("p.x")).alias("a"), (-F.col("p.y")).alias("b")).distinct()
+        links = saved(links.unionAll(_verify(near, sets, percent)), "links")
+        # Finished components stand for the links that made them.
+        known = saved(components(links, "a", "b"), "known")
+        links = known.select(F.col("node").alias("a"), F.col("component").alias("b"))
 
     # All other pairs of these cells.
-    still = saved(still_open(known).join(shape, "node"), "open")
-    still = still.select("cell", "node", "n", "comp", "vec").repartitionByRange("cell", "n", "node").sortWithinPartitions("cell", "n", "node")
-    pages = still.mapInArrow(_pages, _PAGE)
-    pages = saved(pages.withColumn("page", F.monotonically_increasing_id()), "pages")
-    side = lambda s: pages.select("cell", F.col("page").alias(f"page_{s}"), F.col("n_min").alias(f"min_{s}"), F.col("n_max").alias(f"max_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "n", "node", "comp", "vec")])
-    two = side("a").join(side("b"), "cell").where(
-        (F.col("page_a") <= F.col("page_b")) & (100 * F.col("max_b") >= percent * F.col("min_a")) & (100 * F.col("max_a") >= percent * F.col("min_b"))
-    )
-    inner = two.mapInArrow(_page_pairs(percent), "a long, b long").distinct()
-    links = links.unionAll(_verify(inner, sets, percent))
+    links = links.unionAll(_verify(page_pairs(known, False).distinct(), sets, percent))
     known = saved(components(links, "a", "b"), "components")
 
     # Back to the rows.
