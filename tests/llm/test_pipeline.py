@@ -1,6 +1,10 @@
 """The pipeline's stages, each against what its operator says of the same input."""
 
+import tracemalloc
+
 import corpus_pipeline as cp
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import brute_components, shingle_set
 from wardline.llm import pfair, pieces, quality_bayes, quality_rules
@@ -66,3 +70,21 @@ def test_rows_that_share_an_id_are_judged_and_placed_apart(spark, sf):
     assert verdict.where("not kept and doc_id is null").count() and kept.where("doc_id is null").count()
     want = rows.join(verdict.where("kept").select("row"), "row").select("text")
     assert sorted(r.text for r in kept.select("text").collect()) == sorted(r.text for r in want.collect())
+
+
+def test_encoding_holds_a_part_of_a_batch_at_a_time():
+    rng = np.random.default_rng(3)
+    words = ["".join(map(chr, rng.integers(97, 123, 7))) for _ in range(300_000)]
+    texts = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], names=["id", "text"])
+    run = pieces._encoded(cp.PIECES_FILE, 1, False)
+    list(run(iter([batch.slice(0, 1)])))
+    tracemalloc.start()
+    ids, peak = [], 0
+    for out in run(iter([batch])):
+        ids += out.column(0).to_pylist()
+        peak = max(peak, tracemalloc.get_traced_memory()[1])
+    tracemalloc.stop()
+    assert ids == list(range(len(texts)))
+    # Numpy's arrays, texts and lists, without the two libraries' own.
+    assert peak < 70 << 20, peak >> 20

@@ -27,6 +27,8 @@ MARK = "▁"
 # Fixed values of the file format: kinds of pieces and of models.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
+#: Bytes of text that are encoded at once, about, and pieces that both libraries have at a time: a worker's memory follows them.
+SLICE_BYTES, PART_TEXTS = 1 << 20, 4_000
 
 
 @dataclass
@@ -171,9 +173,9 @@ class Codec:
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids, and two numbers before them: whether decoding gives the text again, and whether both libraries agree."""
-        out, sizes = [], np.empty(len(texts), np.int64)
-        for x in range(0, len(texts), 20_000):
-            part = texts[x : x + 20_000]
+        out, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for x in range(0, len(texts), PART_TEXTS):
+            part = texts[x : x + PART_TEXTS]
             ids = [e.ids for e in self.tokenizer.encode_batch_fast([t.replace(" ", MARK) for t in part], add_special_tokens=False)]
             again = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
             same = [True] * len(part)
@@ -182,10 +184,11 @@ class Codec:
                 prefix = self.model.dummy_prefix
                 told = self.other.encode([t[1:] if prefix and t[:1] == " " else t for t in part], num_threads=1)
                 same = [a == b or (prefix and t[:1] != " ") for a, b, t in zip(ids, told, part)]
-            for i, (e, a, t, s) in enumerate(zip(ids, again, part, same), x):
-                out.append([int(a == t.replace(MARK, " ")), int(s), *e])
-                sizes[i] = len(e) + 2
-        return np.fromiter(itertools.chain.from_iterable(out), np.uint32, int(sizes.sum())), sizes
+            rows = [[int(a == t.replace(MARK, " ")), int(s), *e] for e, a, t, s in zip(ids, again, part, same)]
+            sizes.append(np.fromiter(map(len, rows), np.int64, len(rows)))
+            # Python's lists of a part go before the next one.
+            out.append(np.fromiter(itertools.chain.from_iterable(rows), np.uint32, int(sizes[-1].sum())))
+        return np.concatenate(out), np.concatenate(sizes)
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(ids, ids per document, decodes to its text, both libraries agree)."""
@@ -227,7 +230,7 @@ def _encoded(file: str, threads: int, parity: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = codec(file, threads, parity)
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", SLICE_BYTES):
                 ids, n, good, same = made.encode(batch.column(1))
                 to = np.cumsum(n)
                 wide = ids.astype("<u4")

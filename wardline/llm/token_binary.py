@@ -58,7 +58,8 @@ class CachedWords:
         self.ids = np.concatenate([self.ids, ids.astype(np.uint32)])
         self.hashes = np.concatenate([self.hashes, hashes])
         self.sizes = np.concatenate([self.sizes, sizes])
-        order = np.argsort(self.hashes)
+        # Two sorted runs, which a stable sort merges.
+        order = np.argsort(self.hashes, kind="stable")
         self.hashes, self.at, self.sizes = self.hashes[order], self.at[order], self.sizes[order]
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
