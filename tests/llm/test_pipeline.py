@@ -1,5 +1,6 @@
 """The pipeline's stages, each against what its operator says of the same input."""
 
+import time
 import tracemalloc
 
 import corpus_pipeline as cp
@@ -7,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
 from test_operators import brute_components, shingle_set
-from wardline.llm import pfair, pieces, quality_bayes, quality_rules
+from wardline.llm import common, ngram_join, pfair, pieces, quality_bayes, quality_rules
 from wardline.llm.common import saved
 
 
@@ -88,3 +89,57 @@ def test_encoding_holds_a_part_of_a_batch_at_a_time():
     assert ids == list(range(len(texts)))
     # Numpy's arrays, texts and lists, without the two libraries' own.
     assert peak < 70 << 20, peak >> 20
+
+
+def test_batches_for_python_are_bounded_on_any_session(spark, sf):
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    try:
+        spark.conf.set(name, "64m")
+        out = cp.encoded(spark, docs, sf)
+        assert spark.conf.get(name) == cp.BATCH_BYTES and out.columns[0] == "doc_id"
+        assert all(hasattr(stage, "__wrapped__") for _, stage in cp.STAGES)
+    finally:
+        spark.conf.set(name, before)
+
+
+def test_the_schedule_stands_in_the_plan(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "source")
+    # Python's rows would be read by Python workers of their own.
+    for task_rows in (pfair.TASK_ROWS, 1):
+        placed = pfair.place(docs.unionAll(docs), cp.WEIGHTS, cp.REST, "doc_id", "source", pfair.BLOCK_ROWS, task_rows)
+        assert "ExistingRDD" not in placed._jdf.queryExecution().toString()
+        assert placed.count() == 2 * docs.count()
+
+
+def test_a_worker_gives_up_what_no_task_has_asked_for():
+    made = []
+    make = lambda: made.append(1) or len(made)
+    run = common.lean(lambda batches: ((common.once("a", make), b)[1] for b in batches))
+    kept = common._held()
+    kept["b"] = 0, time.monotonic() - common.HELD_S - 1
+    assert list(run(iter([1, 2]))) == [1, 2] and list(run(iter([3]))) == [3]
+    assert made == [1] and "a" in kept and "b" not in kept
+    kept["a"] = 1, time.monotonic() - common.HELD_S - 1
+    assert list(run(iter([4]))) == [4] and made == [1, 1]
+    # What a long task uses is held for the one after it.
+    for b in run(iter([5])):
+        kept["a"] = kept["a"][0], time.monotonic()
+    assert time.monotonic() - kept.pop("a")[1] < 1
+
+
+def test_pairs_of_pages_do_not_depend_on_batches():
+    rng = np.random.default_rng(5)
+    sets = [np.unique(rng.integers(0, 1 << 63, 60).astype(np.uint64)) for _ in range(6)]
+    sets = [np.unique(np.concatenate([s[i % 7 :], rng.integers(0, 1 << 63, i % 3).astype(np.uint64)])) for i, s in enumerate(sets * 20)]
+    n, node = np.array([len(s) for s in sets]), np.arange(len(sets))
+    vec = [ngram_join._vector(s, 56, ngram_join.GROUPS) for s in sets]
+    points = pa.RecordBatch.from_arrays([pa.array(np.repeat([3, 4], len(n))), *[pa.array(np.tile(x, 2)) for x in (n, node, node)], pa.array(vec * 2, pa.binary())], names=["cell", "n", "node", "comp", "vec"])
+    # The two cells have the same points, so that every pair comes twice.
+    pages = [r for x in range(0, points.num_rows, 20) for t in ngram_join._pages(iter([points.slice(x, 20)])) for r in t.to_pylist()]
+    both = lambda a, b: {f"{k}_{s}": v for s, r in (("a", a), ("b", b)) for k, v in {**r, "min": r["n_min"], "max": r["n_max"]}.items()}
+    two = pa.RecordBatch.from_pylist([both(a, b) for i, a in enumerate(pages) for b in pages[i:] if a["cell"] == b["cell"]])
+    for best in (True, False):
+        out = [[r for t in ngram_join._page_pairs(80, best)(iter(parts)) for r in map(tuple, (x.values() for x in t.to_pylist()))] for parts in ([two], [two.slice(i, 1) for i in range(two.num_rows)])]
+        assert out[0] and len(set(out[0])) == len(out[0]) and out[0] == out[1]

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from wardline.llm import words as W
-from wardline.llm.common import require, saved
+from wardline.llm.common import lean, require, saved
 from wardline.llm.links import components
 from wardline.operators.sizing import checked_broadcast
 
@@ -37,6 +37,8 @@ U = np.uint64
 GROUPS = 256
 FINE = 512
 PAGE = 128
+#: Pairs of pages' points that a task holds to tell repeated ones, about.
+PAIRS = 100_000
 ROUNDS = 1
 
 
@@ -113,7 +115,7 @@ def _features(k: int, percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", W.SLICE_BYTES):
                 n, a, b, key, vec = [], [], [], [], []
                 for s in _sets(batch, "text", k):
                     n.append(len(s))
@@ -142,7 +144,7 @@ def _features(k: int, percent: int):
 def _text_sets(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in W.slices(whole, "text"):
+            for batch in W.slices(whole, "text", W.SLICE_BYTES):
                 a, b, sets, fine = [], [], [], []
                 for s in _sets(batch, "text", k):
                     x, y = _mark(s)
@@ -214,11 +216,11 @@ def _verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose sets link; the sets travel only where the finer counts leave a pair over."""
     with_fine = pairs.select("a", "b").join(sets.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("fine").alias("va")), "a")
     with_fine = with_fine.join(sets.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("fine").alias("vb")), "b")
-    close = with_fine.select("a", "b", "na", "nb", "va", "vb").mapInArrow(_closer(percent), "a long, b long")
+    close = with_fine.select("a", "b", "na", "nb", "va", "vb").mapInArrow(lean(_closer(percent)), "a long, b long")
     close = saved(close, "close")
     joined = close.join(sets.select(F.col("node").alias("a"), F.col("set").alias("sa")), "a")
     joined = joined.join(sets.select(F.col("node").alias("b"), F.col("set").alias("sb")), "b").select("a", "b", "sa", "sb")
-    return joined.mapInArrow(_verified(percent), "a long, b long")
+    return joined.mapInArrow(lean(_verified(percent)), "a long, b long")
 
 
 _PAGE = "cell long, n_min long, n_max long, low binary, high binary, n binary, node binary, comp binary, vec binary"
@@ -260,10 +262,13 @@ def _page_pairs(percent: int, best: bool):
     All of them as (a, b); or with `best` only the most promising of each component, as (ca, cb, score, a, b).
     """
     names = ["ca", "cb", "score", "a", "b"] if best else ["a", "b"]
+    fewest = _firsts if best else lambda rows: np.unique(rows, axis=0)
+    table = lambda rows: pa.RecordBatch.from_arrays([pa.array(rows[:, i]) for i in range(len(names))], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Over batches too, as these are bounded in bytes and a page has many.
+        found, n = [], 0
         for t in batches:
-            found = []
             for r in t.to_pylist():
                 box = [np.frombuffer(r[c], np.uint8).astype(np.int64) for c in ("low_a", "high_a", "low_b", "high_b")]
                 gap = np.maximum(np.maximum(box[0] - box[3], box[2] - box[1]), 0).sum()
@@ -288,9 +293,15 @@ def _page_pairs(percent: int, best: bool):
                 found.append(np.stack(pair, 1))
                 if best:
                     found[-1] = _firsts(found[-1])
-            if found:
-                pairs = _firsts(np.concatenate(found)) if best else np.unique(np.concatenate(found), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, i]) for i in range(len(names))], names=names)
+                n += len(found[-1])
+                if n > PAIRS:
+                    found = [fewest(np.concatenate(found))]
+                    n = len(found[0])
+                if n > PAIRS // 2 and len(found) == 1:
+                    yield table(found[0])
+                    found, n = [], 0
+        if found:
+            yield table(fewest(np.concatenate(found)))
 
     return run
 
@@ -314,7 +325,7 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
     docs = require(docs, doc_id, text, *([row] if row else [])).toDF("id", "text", *tags)
     id_type = docs.schema["id"].dataType.simpleString()
     schema = f"{'tag long, ' if row else ''}id {id_type}, n long, mark_a long, mark_b long, cells array<long>, vec binary"
-    rows = saved(docs.mapInArrow(_features(k, percent), schema).withColumn("row", F.monotonically_increasing_id()), "shingles")
+    rows = saved(docs.mapInArrow(lean(_features(k, percent)), schema).withColumn("row", F.monotonically_increasing_id()), "shingles")
 
     # Equal sets are one node, named by its first row.
     nodes = saved(
@@ -343,14 +354,14 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         pairs = pairs.distinct().join(shape.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va")), "a")
         pairs = pairs.join(shape.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb")), "b")
         pairs = pairs.where(100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")).select("a", "b", "na", "nb", "va", "vb")
-        return pairs.mapInArrow(_bounded(percent), "a long, b long, score double")
+        return pairs.mapInArrow(lean(_bounded(percent)), "a long, b long, score double")
 
     ends = saved(promising(to_ends), "ends")
 
     # The sets of all points that take part in a comparison, from the texts once more.
     ids = checked_broadcast(vectors.select("id").distinct())
     texts = docs.join(ids, docs["id"].eqNullSafe(ids["id"]), "left_semi").select("text")
-    sets = texts.mapInArrow(_text_sets(k), "mark_a long, mark_b long, set binary, fine binary")
+    sets = texts.mapInArrow(lean(_text_sets(k)), "mark_a long, mark_b long, set binary, fine binary")
     marks = vectors.select("mark_a", "mark_b", "node", "n")
     sets = saved(sets.join(marks, ["mark_a", "mark_b"]).dropDuplicates(["mark_a", "mark_b", "node"]).select("node", "n", "fine", "set"), "sets")
 
@@ -381,13 +392,13 @@ def jaccard_components(docs: DataFrame, doc_id: str = "doc_id", text: str = "tex
         """What `_page_pairs` finds in the cells that have several components."""
         still = saved(still_open(known).join(shape, "node"), "open")
         still = still.select("cell", "node", "n", "comp", "vec").repartitionByRange("cell", "n", "node").sortWithinPartitions("cell", "n", "node")
-        pages = still.mapInArrow(_pages, _PAGE)
+        pages = still.mapInArrow(lean(_pages), _PAGE)
         pages = saved(pages.withColumn("page", F.monotonically_increasing_id()), "pages")
         side = lambda s: pages.select("cell", F.col("page").alias(f"page_{s}"), F.col("n_min").alias(f"min_{s}"), F.col("n_max").alias(f"max_{s}"), *[F.col(c).alias(f"{c}_{s}") for c in ("low", "high", "n", "node", "comp", "vec")])
         two = side("a").join(side("b"), "cell").where(
             (F.col("page_a") <= F.col("page_b")) & (100 * F.col("max_b") >= percent * F.col("min_a")) & (100 * F.col("max_a") >= percent * F.col("min_b"))
         )
-        return two.mapInArrow(_page_pairs(percent, best), "ca long, cb long, score long, a long, b long" if best else "a long, b long")
+        return two.mapInArrow(lean(_page_pairs(percent, best)), "ca long, cb long, score long, a long, b long" if best else "a long, b long")
 
     # Parts of one group of copies that the outermost points did not join: of each component the most promising pair
     # first, so what is handed on grows with the number of components and not with that of their pairs.

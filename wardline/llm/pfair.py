@@ -13,9 +13,10 @@ from __future__ import annotations
 import heapq
 import math
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from wardline.llm.common import require
+from wardline.llm.common import require, rows_of
 
 #: The sum of all weights, so the number of slots in a period, at most.
 MOST_SLOTS = 10_000
@@ -103,7 +104,9 @@ def _heavy(rows: DataFrame, task_rows: int) -> DataFrame:
             t, h, group = r["item"].split(" ", 2)
             found.setdefault((group, int(t)), []).append((int(h), -(-r["count"] // task_rows)))
     # At most HEAVY hashes, from a sketch of bounded size.
-    return rows.sparkSession.createDataFrame([(*k, v) for k, v in found.items()], "group string, _t long, _heavy array<struct<h:long,parts:long>>")
+    parts = pa.list_(pa.struct([("h", pa.int64()), ("parts", pa.int64())]))
+    schema = pa.schema([("group", pa.string()), ("_t", pa.int64()), ("_heavy", parts)])
+    return rows_of(rows.sparkSession, [(*k, [{"h": h, "parts": n} for h, n in v]) for k, v in found.items()], schema)
 
 
 def place(rows: DataFrame, weights: dict[str, int], rest: int, doc_id: str, source: str, block_rows: int, task_rows: int) -> DataFrame:
@@ -141,8 +144,9 @@ def place(rows: DataFrame, weights: dict[str, int], rest: int, doc_id: str, sour
     rows = rows.withColumns({"block": F.floor(F.col("_i") / block_rows), "place": (F.col("_i") % block_rows).cast("int")})
 
     # Both tables are bounded by the weights: a row per group and phase, and one per slot of each phase's period.
-    spans = spark.createDataFrame(spans, "group string, _p int, _from long, _to long, _start long, _w long, _len long")
-    slots = spark.createDataFrame(slots, "group string, _p int, _k long, _s long, _r long, _d long")
+    phase = [("group", pa.string()), ("_p", pa.int32())]
+    spans = rows_of(spark, spans, pa.schema(phase + [(c, pa.int64()) for c in ("_from", "_to", "_start", "_w", "_len")]))
+    slots = rows_of(spark, slots, pa.schema(phase + [(c, pa.int64()) for c in ("_k", "_s", "_r", "_d")]))
     rows = rows.join(F.broadcast(spans), (rows["group"] == spans["group"]) & F.col("block").between(F.col("_from"), F.col("_to") - 1)).drop(spans["group"])
     rows = rows.withColumns({"_k": (F.col("block") - F.col("_from")) % F.col("_w"), "_c": F.floor((F.col("block") - F.col("_from")) / F.col("_w"))})
     rows = rows.join(F.broadcast(slots), ["group", "_p", "_k"])

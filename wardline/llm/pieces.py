@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from wardline.llm import words as W
-from wardline.llm.common import once, require
+from wardline.llm.common import lean, once, require
 from wardline.llm.token_binary import CachedWords
 
 MARK = "▁"
@@ -262,7 +262,7 @@ def encode(docs: DataFrame, file: str, doc_id: str = "doc_id", text: str = "text
     """
     docs = require(docs, doc_id, text).toDF("id", "text")
     schema = f"id {docs.schema['id'].dataType.simpleString()}, ids array<int>, n_tokens long, ids_crc32 long, n_byte_tokens long, round_trip boolean, parity boolean"
-    return docs.mapInArrow(_encoded(file, threads, parity), schema).withColumnRenamed("id", doc_id)
+    return docs.mapInArrow(lean(_encoded(file, threads, parity)), schema).withColumnRenamed("id", doc_id)
 
 
 def _decoded(file: str, threads: int):
@@ -281,5 +281,5 @@ def decode(rows: DataFrame, file: str, doc_id: str = "doc_id", ids: str = "ids",
     """Per row: its id and the text of its ids; null ids count as none."""
     rows = require(rows, doc_id, ids).toDF("id", "ids")
     schema = f"id {rows.schema['id'].dataType.simpleString()}, text string"
-    return rows.mapInArrow(_decoded(file, threads), schema).withColumnRenamed("id", doc_id)
+    return rows.mapInArrow(lean(_decoded(file, threads)), schema).withColumnRenamed("id", doc_id)
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from wardline.llm import words as W
-from wardline.llm.common import require, saved
+from wardline.llm.common import lean, require, saved
 from wardline.operators.sizing import checked_broadcast
 
 #: Labelled rows that the text model is fitted on, at most: those with the smallest hash of their id.
@@ -79,14 +79,14 @@ def _fit(x: np.ndarray, good: np.ndarray, ridge: float = 1.0) -> tuple[np.ndarra
 
 def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
-        for t in W.slices(whole, "text"):
+        for t in W.slices(whole, "text", W.SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([t.column("good"), pa.array(list(figures(t.column("text"))), pa.list_(pa.float64()))], names=["good", "x"])
 
 
 def _scored(mean, spread, w, prior):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for t in W.slices(whole, "text"):
+            for t in W.slices(whole, "text", W.SLICE_BYTES):
                 x = figures(t.column("text"))
                 z = np.clip((x - mean) / spread, -_SPREAD, _SPREAD)
                 evidence = np.column_stack([z, z**2, np.ones(len(z))]) @ w - prior
@@ -139,7 +139,7 @@ def classify(
     chosen = checked_broadcast(truth.orderBy(F.xxhash64("id"), "id").limit(sample))
     # One row for each id, however often it is repeated.
     one = rows.join(chosen, "id").groupBy("id", "good").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
-    fit = one.select("good", "text").mapInArrow(_sampled, "good boolean, x array<double>").toPandas()
+    fit = one.select("good", "text").mapInArrow(lean(_sampled), "good boolean, x array<double>").toPandas()
     if fit.empty or fit["good"].nunique() < 2:
         model = (np.zeros(len(FIGURES)), np.ones(len(FIGURES)), np.zeros(2 * len(FIGURES) + 1), 0.0)
     else:
@@ -148,7 +148,7 @@ def classify(
         model = (mean, spread, w, float(np.log(good.mean() / (1 - good.mean()))))
     prior = 1 / (1 + np.exp(-model[3]))
     types = {c: rows.schema[c].dataType.simpleString() for c in ("id", "host", "path", *tags)}
-    scored = rows.mapInArrow(_scored(*model), ", ".join(f"{c} {t}" for c, t in types.items()) + ", evidence double")
+    scored = rows.mapInArrow(lean(_scored(*model)), ", ".join(f"{c} {t}" for c, t in types.items()) + ", evidence double")
     alone = F.lit(1.0) / (1 + F.exp(-(F.col("evidence") + model[3])))
     scored = saved(scored.withColumns({"host": F.coalesce(F.col("host").cast("string"), F.lit("")), "path": F.coalesce(F.col("path").cast("string"), F.lit("")), "own": alone}), "evidence")
 
