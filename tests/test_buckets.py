@@ -1,4 +1,4 @@
-"""Correlation: keys share buckets, rows are worked off together or slice by slice, batches are large or small."""
+"""Throttle and correlation: keys share buckets, rows are worked off together or slice by slice, batches are large or small."""
 
 import random
 
@@ -10,7 +10,7 @@ from wardline.plans.views import event_stream
 from wardline.session import shared_dir
 from wardline.streaming import drain, state
 
-from test_streaming import CLOSING, T0, put
+from test_streaming import CLOSING, T0, put, throttled
 
 
 @pytest.fixture(params=["together", "slice by slice"])
@@ -35,6 +35,11 @@ def correlated(rows, within):
     return want
 
 
+def all_throttled(rows, quiet):
+    keys = {r[2] for r in rows}
+    return sorted(i for k in keys for i in throttled({r[0]: r[1] for r in rows if r[2] == k}, quiet))
+
+
 def correlate(spark, path, within, delay, of=lambda stream: stream, **more):
     stream = of(event_stream(spark, path, "*.parquet"))
     kind = lambda what: stream.filter(F.col("category") == what)
@@ -42,6 +47,11 @@ def correlate(spark, path, within, delay, of=lambda stream: stream, **more):
     return {r.effect_id: (r.entity_id, r.cause_id, r.n_causes) for r in out.collect()}
 
 
+def throttle(spark, path, quiet, delay, of=lambda stream: stream, **more):
+    out = streaming.stream_throttle(of(event_stream(spark, path, "*.parquet")), "entity_id", quiet, delay, **more)
+    return sorted(r.event_id for r in drain(out, "t").collect())
+
+
 ENDS = [CLOSING, (1000, 10**8, 999, "signup", 1.0)]
 KEYS = [1, 2, 3, (1 << 62) + 1, None]
 
@@ -53,6 +63,8 @@ def test_results_by_brute_force(spark, ways, buckets):
     put(spark, path, rows[::2])
     put(spark, path, rows[1::2])
     put(spark, path, [(10_000 + i, *rest) for i, *rest in ENDS])
+    got = throttle(spark, path, 100, "1 hour", buckets=buckets)
+    assert got == all_throttled(rows, 100) and len(got) > 50
     got = correlate(spark, path, 160, "1 hour", buckets=buckets)
     assert got == correlated(rows, 160) and len({k for k, _, _ in got.values()}) == 4
 
@@ -66,6 +78,7 @@ def test_many_small_batches_as_one(spark, ways):
         part = by_time[x : x + 20]
         put(spark, path, part[::-1])
     put(spark, path, [(10_000 + i, *rest) for i, *rest in ENDS])
+    assert throttle(spark, path, 60, "100 seconds", buckets=2) == all_throttled(rows, 60)
     assert correlate(spark, path, 400, "100 seconds", buckets=2) == correlated(rows, 400)
 
 
@@ -78,11 +91,21 @@ def test_keys_of_other_types(spark, kind):
     text = {"timestamp": "concat('2024-01-0', cast(entity_id % 10 as string), ' 01:02:03.000004')", "date": "concat('2024-01-0', cast(entity_id % 10 as string))"}
     value = F.expr(f"cast({text.get(kind, 'entity_id')} as {kind})")
     of = lambda stream: stream.withColumn("entity_id", value)
+    assert throttle(spark, path, 50, "1 hour", of) == all_throttled(rows, 50)
     named = {r.n: r.v for r in spark.sql("select * from values (1L), (2L), (999L) as t(entity_id)").select(F.col("entity_id").alias("n"), value.alias("v")).collect()}
     want = {i: (named[k], c, n) for i, (k, c, n) in correlated(rows, 60).items()}
     assert correlate(spark, path, 60, "1 hour", of) == want
 
 
+def test_zeros_and_not_a_numbers_are_one_key_each(spark):
+    path = shared_dir(spark, "t")
+    rows = [(i, 10 * i, i % 4, "error", 1.0) for i in range(40)]
+    put(spark, path, rows)
+    put(spark, path, [CLOSING])
+    of = lambda stream: stream.withColumn("entity_id", F.expr("case entity_id when 0 then 0.0D when 1 then 0.0D * -1 when 999 then 5.0D else double('NaN') end"))
+    assert throttle(spark, path, 45, "1 hour", of) == all_throttled([(i, t, u // 2, *rest) for i, t, u, *rest in rows], 45)
+
+
 def test_state_grows_with_buckets_and_not_with_keys(spark):
     """A call into the state costs more than a row: 30,000 keys with two rows each had a chunk for each row."""
     path = shared_dir(spark, "t")
@@ -95,6 +118,7 @@ def test_state_grows_with_buckets_and_not_with_keys(spark):
     stream = event_stream(spark, path, "*.parquet")
     kind = lambda what: stream.filter(F.col("category") == what)
     for out in (
+        streaming.stream_throttle(kind("error"), "entity_id", 10, "1 hour"),
         streaming.stream_correlate(kind("signup"), kind("error"), "entity_id", 600, "1 hour"),
     ):
         query = (

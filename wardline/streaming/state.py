@@ -4,7 +4,7 @@ Operators that need a key's rows in the order of time keep them in slices of tim
 chunks, each as large as a batch for Python, and is worked off when the watermark has passed its end: chunk by
 chunk, slice after slice.  So no frame ever holds a key, and the result does not depend on how the stream was cut
 into micro-batches.  The state is in RocksDB (see `wardline.session`), so it may be larger than memory.
-A call into the state costs more than the row it brings, so the correlation keeps many keys in one bucket
+A call into the state costs more than the row it brings, so throttle and correlation keep many keys in one bucket
 (`_Buckets`): calls grow with the chunks and not with the keys.
 Columns for a processor have no leading underscore: its frames would lose such names.
 """
@@ -315,28 +315,56 @@ def ranks(values: list) -> np.ndarray:
     return pd.factorize(pd.Series(values), sort=True)[0]
 
 
-class _Throttle(_Slices):
-    """Slices as wide as the quiet time: at most one row of a slice is emitted, the first that is late enough."""
+class _Throttle(_Buckets):
+    """Slices as wide as the quiet time: at most one row of a key and slice is emitted, the first that is late enough."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         super().init(handle)
-        self.last = handle.getValueState("last", "us long")
+        self.kept = handle.getMapState("last", "part long", f"names array<{self.key_type}>, us binary")
+        self.last = {}
 
-    def passed(self, slice_: int, seqs: list[int]) -> Iterator[tuple]:
-        after = self.last.get()[0] + self.width if self.last.exists() else None
-        first = None
-        for us, ids, _ in self.taken(slice_, seqs):
-            at = 0 if after is None else int(np.searchsorted(np.asarray(us), after, "right"))
-            if at < len(us) and (first is None or (us[at], ids[at]) < first):
-                first = us[at], ids[at]
-        if first:
-            self.last.update((first[0],))
-            self.handle.registerTimer(self.until(first[0] + self.width))
-            yield first[1], first[0]
+    def _passed(self, chunks: list[_Chunk], low: int, last: int) -> Iterator[tuple]:
+        self.last = {}
+        self.parts = sorted(p for p, in self.kept.keys())
+        for part in self.parts:
+            names, us = self.kept.getValue((part,))
+            self.last.update(zip(names, np.frombuffer(us, np.int64).tolist()))
+        yield from super()._passed(chunks, low, last)
 
-    def forget(self, now: int) -> None:
-        if self.last.exists() and self.until(self.last.get()[0] + self.width) <= now:
-            self.last.clear()
+    def few(self, rows: _Rows, low: int) -> Iterator[tuple]:
+        for x in np.lexsort((ranks(rows.ids), rows.us)).tolist():
+            yield from self._emitted(rows.keys[x], int(rows.us[x]), rows.ids[x])
+
+    def many(self, chunks: list[_Chunk], slice_: int) -> Iterator[tuple]:
+        first = {}
+        for c in chunks:
+            rows = self._read(c, slice_, slice_)
+            for k, us, i in zip(rows.keys, rows.us.tolist(), rows.ids):
+                if self._late_enough(k, us) and (k not in first or _order(us, i) < first[k]):
+                    first[k] = _order(us, i)
+        for k, (us, _, i) in first.items():
+            yield from self._emitted(k, us, i)
+
+    def _late_enough(self, key, us: int) -> bool:
+        after = self.last.get(key)
+        return after is None or us > after + self.width
+
+    def _emitted(self, key, us: int, id_) -> Iterator[tuple]:
+        if self._late_enough(key, us):
+            self.last[key] = us
+            yield key, id_, us
+
+    def forget(self, now: int) -> int:
+        left = [(k, us) for k, us in self.last.items() if self.until(us + self.width) > now]
+        parts = range(0, len(left), 10_000)
+        for part in parts:
+            names, us = zip(*left[part : part + 10_000])
+            self.kept.updateValue((part,), (list(names), np.array(us, np.int64).tobytes()))
+        for part in self.parts:
+            if part not in parts:
+                self.kept.removeKey((part,))
+        self.last = {}
+        return self.until(max(us for _, us in left) + self.width) if left else _HIGHEST
 
 
 class _Frequency(_Slices):
@@ -395,21 +423,24 @@ def bucket_of(name: Column, buckets: int) -> Column:
 
 
 def stream_throttle(
-    sdf: DataFrame, key: str, quiet_s: int, delay: str, t: str = "ts", id_col: str = "event_id"
+    sdf: DataFrame, key: str, quiet_s: int, delay: str, t: str = "ts", id_col: str = "event_id", buckets: int = 1024
 ) -> DataFrame:
     """Emit an alert only if the last *emitted* one of its key is older than the quiet time.
 
     Alerts are taken in the order of time and id, whatever batch brings them, and are emitted when the watermark
     has passed their slice of time.  What stays of a key is one timestamp, until it is older than the quiet time.
-    Rows without a time are left out; rows with a null key are one key.
+    Rows without a time are left out; rows with a null key are one key.  The keys of one of `buckets` share state and
+    task; their timestamps are in memory together while a slice is worked off.  The number stays the same for a stream's life.
     """
-    key_type, id_type = _types(sdf, key, id_col)
+    name, key_type, own = key_text(sdf, key)
+    (id_type,) = _types(sdf, id_col)
     schema = f"at_key {key_type}, at_id {id_type}, at_us long"
     return (
-        _rows(sdf, F.col(key), t, id_col, delay)
-        .groupBy("at_key")
-        .transformWithStateInPandas(_Throttle(quiet_s * 1_000_000, id_type, schema), schema, "append", "eventTime")
-        .select(F.col("at_key").alias(key), F.col("at_id").alias(id_col), F.timestamp_micros("at_us").alias(t))
+        _rows(sdf, name, t, id_col, delay)
+        .withColumn("at_bucket", bucket_of(F.col("at_key"), buckets))
+        .groupBy("at_bucket")
+        .transformWithStateInPandas(_Throttle(quiet_s * 1_000_000, key_type, id_type, schema), schema, "append", "eventTime")
+        .select(F.col("at_key").cast(own).alias(key), F.col("at_id").alias(id_col), F.timestamp_micros("at_us").alias(t))
     )
 
 
