@@ -69,6 +69,16 @@ def test_results_by_brute_force(spark, ways, buckets):
     assert got == correlated(rows, 160) and len({k for k, _, _ in got.values()}) == 4
 
 
+def test_a_null_key_leaves_other_keys_alone(spark):
+    path = shared_dir(spark, "t")
+    rows = random_rows(600, 3000, [*range(1, 41), None], 5)
+    put(spark, path, rows)
+    put(spark, path, [(10_000 + i, *rest) for i, *rest in ENDS])
+    out = streaming.stream_throttle(event_stream(spark, path, "*.parquet"), "entity_id", 100, "1 hour")
+    key = {r[0]: r[2] for r in rows}
+    assert sorted((r.event_id, r.entity_id or 0) for r in drain(out, "t").collect()) == [(i, key[i] or 0) for i in all_throttled(rows, 100)]
+
+
 def test_many_small_batches_as_one(spark, ways):
     path = shared_dir(spark, "t")
     rows = random_rows(240, 1500, KEYS, 7)
